@@ -1,4 +1,8 @@
-"""Array helpers built from higher-order functions (no shuffle, no Python)."""
+"""Array helpers built from higher-order functions (no shuffle, no Python).
+
+Longer lambdas are written as SQL text: built from Columns, each operator is a
+call to the JVM, and planning would take longer than the query on small data.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ROUNDS = 30
-
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once.
@@ -19,23 +21,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def running_sum(numbers: Column) -> Column:
-    """Inclusive prefix sums of an int array, in O(n log n) inside one row.
+def running_sum_sql(numbers: str) -> str:
+    """Inclusive prefix sums of an array of int, in O(n log n) inside one row.
 
     Spark has no scan over arrays, and an ``aggregate`` that appends would copy
     the array at each step.  Instead each round adds the array shifted by
     1, 2, 4, ... places to itself; log2(n) rounds are enough, the rest of the
-    fixed list of rounds is skipped.
+    30 rounds only compare two numbers.
     """
-    def add_shifted(total: Column, round_: Column) -> Column:
-        shift = F.call_function("shiftleft", F.lit(1), round_)
-        moved = F.concat(F.array_repeat(F.lit(0), shift), total)
-        return F.when(shift >= F.size(total), total).otherwise(
-            F.slice(F.zip_with(total, moved, lambda a, b: a + b), 1, F.size(total))
-        )
-
-    return F.aggregate(
-        F.array(*[F.lit(i) for i in range(_ROUNDS)]),
-        F.transform(numbers, lambda n: n.cast("int")),
-        add_shifted,
-    )
+    return f"""
+      aggregate(sequence(0, 29), {numbers}, (total, j) ->
+        if(shiftleft(1, j) >= size(total), total,
+           slice(zip_with(total, concat(array_repeat(0, shiftleft(1, j)), total), (a, b) -> a + b),
+                 1, size(total))))"""
+
+
+def running_sum(numbers: str) -> Column:
+    """:func:`running_sum_sql` of a column of int arrays, by name."""
+    return F.expr(running_sum_sql(numbers))

@@ -19,82 +19,62 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codeloom.functions.arrays import let, running_sum
-from codeloom.functions.text import find_all, java_regex
+from codeloom.functions.arrays import running_sum_sql
+from codeloom.functions.text import java_regex
 from codeloom.rules import Pattern
 
-_BRACE = r"[{}]"
-
 
 def brace_chunks(text: Column) -> Column:
     return F.split(text, r"(?<=[{}])", -1)
 
 
-def brace_partners(chunks: Column) -> Column:
-    """For brace i (1-based) the number of its closing partner, else null."""
-
-    def opens(chunk: Column) -> Column:
-        return chunk.endswith("{")
-
-    def with_level(chunk: Column, at: Column) -> Column:
-        return F.struct(
-            (at["depth"] + F.when(opens(chunk), 0).otherwise(1)).alias("level"),
-            at["nr"].alias("nr"),
-            opens(chunk).alias("opens"),
-        )
-
-    def by_level(braces: Column) -> Column:
-        depth = running_sum(F.transform(braces, lambda c: F.when(opens(c), 1).otherwise(-1)))
-        numbered = F.transform(
-            depth, lambda d, i: F.struct(d.alias("depth"), (i + 1).alias("nr"))
-        )
-        return F.sort_array(F.zip_with(braces, numbered, with_level))
-
-    def partners(ordered: Column) -> Column:
-        def partner(brace: Column, place: Column) -> Column:
-            after = F.get(ordered, place + 1)
-            pair = brace["opens"] & (after["level"] == brace["level"])
-            return F.struct(brace["nr"].alias("nr"), F.when(pair, after["nr"]).alias("close"))
-
-        return F.sort_array(F.transform(ordered, partner))
-
-    braces = F.slice(chunks, 1, F.greatest(F.size(chunks) - 1, F.lit(0)))
-    return let(let(braces, by_level), partners)
+def brace_partners(chunks: str) -> Column:
+    """For brace i (1-based) ``nr, close``: its closing partner, else null."""
+    signs = f"""transform(slice({chunks}, 1, greatest(size({chunks}) - 1, 0)),
+                          c -> if(endswith(c, '{{'), 1, -1))"""
+    # (level, nr, sign): level first, then place in the text.
+    numbered = f"""
+      sort_array(transform(zip_with(sign, {running_sum_sql("sign")},
+                                    (s, depth) -> named_struct('level', if(s = 1, depth, depth + 1), 'sign', s)),
+                           (b, i) -> named_struct('level', b.level, 'nr', i + 1, 'sign', b.sign)))"""
+    paired = """
+      sort_array(transform(ordered, (b, i) -> named_struct(
+        'nr', b.nr,
+        'close', if(b.sign = 1 AND get(ordered, i + 1).level = b.level, get(ordered, i + 1).nr, NULL))))"""
+    return F.expr(
+        f"transform(transform(array({signs}), sign -> {numbered}), ordered -> {paired})[0]"
+    )
 
 
-def headers(text: Column, header: Pattern) -> Column:
-    """``name, nr`` of each header match; ``nr`` numbers its opening brace."""
+def headers(text: str, header: Pattern, kind: str) -> Column:
+    """``name, fn_type, nr`` of each header match; ``nr`` numbers its brace."""
     regex = java_regex(header)
-
-    def braces_in(part: Column) -> Column:
-        return F.regexp_count(part, F.lit(_BRACE))
-
-    def of(matched: Column) -> Column:
-        between = F.slice(F.split(text, regex, -1), 1, F.size(matched))
-        counts = F.zip_with(between, matched, lambda a, b: braces_in(a) + braces_in(b))
-        return F.zip_with(
-            matched,
-            running_sum(counts),
-            lambda m, nr: F.struct(F.regexp_extract(m, regex, 1).alias("name"), nr.alias("nr")),
-        )
-
-    return let(find_all(text, header), of)
+    assert "'" not in regex
+    counts = f"""
+      zip_with(slice(split({text}, r'{regex}', -1), 1, size(matched)), matched,
+               (a, b) -> regexp_count(a, '[{{}}]') + regexp_count(b, '[{{}}]'))"""
+    return F.expr(
+        f"""transform(array(regexp_extract_all({text}, r'{regex}', 0)), matched ->
+              zip_with(matched, {running_sum_sql(counts)}, (m, nr) -> named_struct(
+                'name', regexp_extract(m, r'{regex}', 1), 'fn_type', '{kind}', 'nr', nr)))[0]"""
+    )
 
 
-def body(chunks: Column, partners: Column, nr: Column, with_braces: bool) -> Column:
-    """Text of the body whose opening brace has number ``nr``.
+def bodies(found: str, chunks: str, partners: str, with_braces: str) -> Column:
+    """``name, fn_type, open_brace, body`` of each header in ``found``.
 
-    Without a partner the body is the opening brace and the next character
-    (``with_braces``) or empty.
+    Without a partner the body is the opening brace and the next character or,
+    where ``with_braces`` (an SQL condition) does not hold, empty.
     """
-    close = F.get(partners, nr - 1)["close"]
-    if with_braces:
-        inner = F.array_join(F.slice(chunks, nr + 1, close - nr), "")
-        alone = F.concat(F.lit("{"), F.left(F.get(chunks, nr), F.lit(1)))
-        return F.when(close.isNull(), alone).otherwise(F.concat(F.lit("{"), inner))
-    last = F.get(chunks, close - 1)
-    inner = F.concat(
-        F.array_join(F.slice(chunks, nr + 1, close - nr - 1), ""),
-        F.left(last, F.char_length(last) - 1),
+    close = f"{partners}[h.nr - 1].close"
+    inner = f"array_join(slice({chunks}, h.nr + 1, {close} - h.nr - 1), '')"
+    last = f"{chunks}[{close} - 1]"
+    return F.expr(
+        f"""transform({found}, h -> named_struct(
+              'name', h.name, 'fn_type', h.fn_type, 'open_brace', h.nr,
+              'body', CASE
+                WHEN {with_braces} AND {close} IS NULL THEN concat('{{', left(get({chunks}, h.nr), 1))
+                WHEN {with_braces} THEN concat('{{', {inner}, {last})
+                WHEN {close} IS NULL THEN ''
+                ELSE concat({inner}, left({last}, char_length({last}) - 1)) END))"""
     )
-    return F.when(close.isNull(), F.lit("")).otherwise(inner)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import rules
-from codeloom.functions.braces import body, brace_chunks, brace_partners, headers
+from codeloom.functions.braces import bodies, brace_chunks, brace_partners, headers
 from codeloom.functions.text import count_matches
 from codeloom.operators import pyfacts
 from codeloom.sources.corpus import analysed_files, by_language
@@ -24,17 +24,8 @@ def decision_count(text: Column, language: str) -> Column:
 
 def _headers(language: str) -> Column:
     """``name, fn_type, nr`` of each function header; ``nr`` is its brace."""
-    text = F.col("content")
-
-    def matches(pattern: rules.Pattern, kind: str) -> Column:
-        return F.transform(
-            headers(text, pattern),
-            lambda h: F.struct(
-                h["name"].alias("name"), F.lit(kind).alias("fn_type"), h["nr"].alias("nr")
-            ),
-        )
-
-    return F.concat(*[matches(*header) for header in rules.FUNCTION_HEADERS[language]])
+    found = [headers("content", *header) for header in rules.FUNCTION_HEADERS[language]]
+    return F.concat(*found) if len(found) > 1 else found[0]
 
 
 def functions(files: DataFrame, *languages: str) -> DataFrame:
@@ -45,7 +36,6 @@ def functions(files: DataFrame, *languages: str) -> DataFrame:
     """
     wanted = languages or BRACE_LANGUAGES
     found = by_language({name: _headers(name) for name in wanted})
-    chunks, partners = F.col("chunks"), F.col("partners")
     # No filter on ``headers`` here: it would be pushed below the projection and
     # run the patterns twice.
     text = F.when(F.size("headers") > 0, F.col("content")).otherwise("")
@@ -53,20 +43,14 @@ def functions(files: DataFrame, *languages: str) -> DataFrame:
         analysed_files(files, *wanted)
         .select("repo_id", "path", "language", found.alias("headers"), "content")
         .select("repo_id", "path", "language", "headers", brace_chunks(text).alias("chunks"))
-        .select("*", brace_partners(chunks).alias("partners"))
+        .select("*", brace_partners("chunks").alias("partners"))
     )
-    bodies = F.transform(
-        "headers",
-        lambda h: F.struct(
-            h["name"].alias("name"),
-            h["fn_type"].alias("fn_type"),
-            h["nr"].alias("open_brace"),
-            by_language(
-                {name: body(chunks, partners, h["nr"], name != "csharp") for name in wanted}
-            ).alias("body"),
-        ),
+    return cut.select(
+        "repo_id",
+        "path",
+        "language",
+        F.inline(bodies("headers", "chunks", "partners", "language <> 'csharp'")),
     )
-    return cut.select("repo_id", "path", "language", F.inline(bodies))
 
 
 def brace_function_complexity(files: DataFrame, *languages: str) -> DataFrame:

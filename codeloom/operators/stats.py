@@ -89,7 +89,7 @@ def _kinds(language: str) -> dict[str, Column]:
 PATTERN_LANGUAGES = ("javascript", "csharp", "java", "go")
 
 
-def declarations(files: DataFrame, *languages: str) -> DataFrame:
+def declarations(files: DataFrame, *languages: str, kinds: tuple[str, ...] = ()) -> DataFrame:
     """One row per declared name: ``repo_id, path, language, kind, name``."""
     wanted = languages or PATTERN_LANGUAGES
 
@@ -97,7 +97,8 @@ def declarations(files: DataFrame, *languages: str) -> DataFrame:
         return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
 
     def named(language: str) -> Column:
-        return F.concat(*[labelled(kind, names) for kind, names in _kinds(language).items()])
+        every = _kinds(language)
+        return F.concat(*[labelled(kind, every[kind]) for kind in every if kind in (kinds or every)])
 
     found = by_language({name: named(name) for name in wanted})
     return analysed_files(files, *wanted).select(*KEYS, F.inline(found))

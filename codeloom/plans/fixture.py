@@ -10,8 +10,8 @@ tables becomes one file:
 * ``pages``     -> the whole web page, as a PHP file.
 
 One third of the source files fall into repository 0, which is thus a hot key.
-``~k~ ~s~ ~name~ ~brand~`` stand for columns, ``~n~ ~q~ ~b~`` for the
-characters newline, single quote and backslash.
+``~k~ ~s~ ~name~`` and the like stand for columns, ``~n~ ~q~ ~t~ ~d~`` for the
+characters newline, single quote, tab and dollar.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ _PYTHON = (
     ("s % 2 = 0", "from lib.mod~m~ import helper_~s~ as h, other~n~"),
     ("s % 5 = 0", "from . import local_~s~~n~from ..up import thing~n~"),
     ("s % 7 = 0", "import pkg.sub~m~ as alias, pkg.other~n~"),
+    (None, "import part_~j~, src.part_~j~, srclib.part_~j~ as near, lib.part_~i~~n~from app.models import part_~i~~n~"),
     (None, "~n~class Part~k~:~n~    \"\"\"Doc of ~name~.\"\"\"~n~~n~    def total(self, qty):~n~        if qty > ~s~ and qty < 100 or qty == 0:~n~            return qty~n~        for i in range(qty):~n~            while i > 3 and qty and i:~n~                i -= 1~n~        return 0~n~"),
     ("s % 3 = 0", "~n~async def fetch_~k~(url):~n~    if url:~n~        return requests.get(\"http://localhost:80~s~/items/~k~\")~n~"),
     ("s % 4 = 0", "~n~@app.route(~q~/api/parts/~s~~q~)~n~def handler_~k~(req):~n~    with open(\"config.json\") as f:~n~        try:~n~            data = eval(f.read())~n~        except ValueError:~n~            data = None~n~    def inner(x):~n~        if x:~n~            return x or data or 1~n~    os.exec(data)~n~    return inner(data)~n~"),
@@ -35,7 +36,7 @@ _JAVASCRIPT = (
     (None, "// part ~name~~n~"),
     ("s % 2 = 0", "import React, { useState } from ~q~react~q~;~n~import \"./style-~m~.css\";~n~"),
     ("s % 2 = 1", "const fs = require(~q~fs~q~);~n~const lib~m~ = require( \"./lib/mod~m~\" );~n~"),
-    (None, "~n~class Part~k~ extends Base {}~n~~n~function load_~k~(id) {~n~  if (id > ~s~ && id < 10 || !id) {~n~    return id ? fetch(`/api/parts/${id}`) : null;~n~  }~n~  for (let i = 0; i < id; i++) { while (i) { i--; } }~n~}~n~"),
+    (None, "~n~class Part~k~ extends Base {}~n~~n~function load_~k~(id) {~n~  if (id > ~s~ && id < 10 || !id) {~n~    return id ? fetch(`/api/parts/~d~{id}`) : null;~n~  }~n~  for (let i = 0; i < id; i++) { while (i) { i--; } }~n~}~n~"),
     ("s % 3 = 0", "const handlers = {~n~  onLoad~s~: function (e) { switch (e) { case 1: break; } },~n~  load_~k~: function () {}~n~};~n~"),
     ("s % 4 = 0", "let calc_~k~ = function inner_~k~(a, b) {~n~  try { return a || b; } catch (e) { return \"}\"; }~n~};~n~"),
     ("s % 5 = 0", "const arrow_~k~ = (a, b) => {~n~  const nested = (c) => { if (c) { return a?.b ?? c; } };~n~  return nested;~n~};~n~const short = (x) => x + 1;~n~"),
@@ -123,7 +124,11 @@ _MANIFESTS = (
     ("Dockerfile", ((None, "FROM scratch~n~# ~k~~n~"),)),
     ("deploy/docker-compose.yml", ((None, "services: {}~n~# ~k~~n~"),)),
     ("requirements.txt", ((None, "requests==2.~s~~n~"),)),
-    ("native/CMakeLists.txt", ((None, "project(p~k~)~n~"),)),
+    ("pom.xml", (
+        ("s % 3 = 0", "<project xmlns=\"http://maven.apache.org/POM/4.0.0\">~n~  <dependencies>~n~    <dependency><groupId>org.a</groupId><artifactId>a~s~</artifactId><version>1.~s~</version></dependency>~n~    <dependency><groupId>org.b</groupId><artifactId>b</artifactId><exclusions><exclusion><groupId>x</groupId></exclusion></exclusions></dependency>~n~    <dependency><groupId>org.c</groupId></dependency>~n~  </dependencies>~n~</project>~n~"),
+        ("s % 3 = 1", "<project>~n~  <dependency><groupId>org.n</groupId><artifactId>none</artifactId></dependency>~n~</project>~n~"),
+        ("s % 3 = 2", "<project xmlns=\"http://maven.apache.org/POM/4.0.0\">~n~  <dependency><groupId>org.z</groupId><artifactId>z</artifactId></dependency>~n~"),
+    )),
     ("web/app.config", ((None, "<configuration/>~n~"),)),
     ("data/rows~k~.csv", ((None, "a,b~n~1,~s~~n~"),)),
     ("node_modules/dep/package.json", ((None, "{\"dependencies\": {\"nested~k~\": \"1\"}}"),)),
@@ -149,7 +154,7 @@ def _snippets(snippets) -> str:
 
 
 def _filled(text: str, **columns: str) -> str:
-    marks = {**columns, "n": "chr(10)", "q": "chr(39)", "t": "chr(9)"}
+    marks = {**columns, "n": "chr(10)", "q": "chr(39)", "t": "chr(9)", "d": "chr(36)"}
     for mark, value in marks.items():
         text = f"replace({text}, '~{mark}~', {value})"
     return text
@@ -164,7 +169,8 @@ def _code_sql(table: str) -> str:
         "CASE repo_id % 6 WHEN 1 THEN 0 WHEN 2 THEN k % 2 "
         "WHEN 3 THEN CAST(floor(k / 3) AS BIGINT) % 3 ELSE k % 5 END"
     )
-    keys = dict(k=_as_text("k"), s=_as_text("s"), m=_as_text("s % 10"))
+    keys = dict(k=_as_text("k"), s=_as_text("s"), m=_as_text("s % 10"),
+                i=_as_text("k - 1"), j=_as_text("k - 15"))
     content = _filled(
         _case([(f"lang = {i}", _snippets(t)) for i, (t, _) in enumerate(_LANGUAGES)]),
         **keys, name="name",

@@ -54,6 +54,12 @@ class Inputs:
     def job_events(self) -> DataFrame:
         return self._sql(fixture.JOB_EVENT_SQL, "events")
 
+    def repositories(self) -> DataFrame:
+        """Repositories and their owners: one per order."""
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("repository_id"), F.col("o_custkey").alias("user_id")
+        )
+
     def requests(self) -> DataFrame:
         listed = self._sql(fixture.REQUEST_SQL, "orders")
         return listed.withColumn("languages", F.split("languages", ",")).withColumn(
