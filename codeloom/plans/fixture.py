@@ -170,7 +170,7 @@ def _code_sql(table: str) -> str:
         "WHEN 3 THEN CAST(floor(k / 3) AS BIGINT) % 3 ELSE k % 5 END"
     )
     keys = dict(k=_as_text("k"), s=_as_text("s"), m=_as_text("s % 10"),
-                i=_as_text("k - 1"), j=_as_text("k - 15"))
+                i=_as_text("abs(k - 1)"), j=_as_text("abs(k - 15)"))
     content = _filled(
         _case([(f"lang = {i}", _snippets(t)) for i, (t, _) in enumerate(_LANGUAGES)]),
         **keys, name="name",

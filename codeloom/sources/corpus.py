@@ -55,21 +55,24 @@ def read_trees(spark: SparkSession, roots: DataFrame) -> DataFrame:
         for batch in batches:
             for repo_id, root in zip(batch["repo_id"], batch["root"]):
                 for folder, _, names in os.walk(root):
-                    prefix = os.path.relpath(folder, root).replace(os.sep, "/")
-                    prefix = "" if prefix == "." else prefix + "/"
-                    yield pd.DataFrame(
-                        {"repo_id": repo_id, "root": root, "path": [prefix + n for n in names]}
-                    )
+                    inside = os.path.relpath(folder, root).replace(os.sep, "/")
+                    prefix = "" if inside == "." else inside + "/"
+                    rows = [(repo_id, root, prefix + name) for name in names]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["repo_id", "root", "path"], dtype=object)
+
+    def content(name: str) -> bytes | None:
+        try:
+            with open(name, "rb") as handle:
+                return handle.read()
+        except OSError:
+            return None  # unreadable: kept as a name without text
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for repo_id, root, path in zip(batch["repo_id"], batch["root"], batch["path"]):
-                try:
-                    with open(os.path.join(root, path), "rb") as handle:
-                        data = handle.read()
-                except OSError:
-                    data = None  # unreadable: kept as a name without text
-                yield pd.DataFrame({"repo_id": [repo_id], "path": [path], "bytes": [data]})
+                row = (repo_id, path, content(os.path.join(root, path)))
+                yield pd.DataFrame([row], columns=["repo_id", "path", "bytes"], dtype=object)
 
     names = roots.select("repo_id", "root").mapInPandas(
         walk, "repo_id long, root string, path string"
