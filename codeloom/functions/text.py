@@ -50,6 +50,26 @@ def count_matches(text: Column, pattern: Pattern | str) -> Column:
     return F.regexp_count(text, F.lit(java_regex(pattern)))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the four letters that match ASCII ones without case."""
+    plain_text = text
+    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k")):
+        plain_text = F.replace(plain_text, F.lit(letter), F.lit(plain))
+    is_ascii = F.octet_length(text) == F.char_length(text)
+    return F.when(is_ascii, F.lower(text)).otherwise(F.lower(plain_text))
+
+
+def may_match(low: Column, pattern: Pattern) -> Column:
+    """False only if the pattern has no match; ``low`` is the folded text."""
+    return contains_any(low, pattern.needles) if pattern.needles else F.lit(True)
+
+
+def find_all_with(low: Column, text: Column, pattern: Pattern, group: int = 0) -> Column:
+    """:func:`find_all`, run only on texts that hold a needle of the pattern."""
+    none = F.array().cast("array<string>")
+    return F.when(may_match(low, pattern), find_all(text, pattern, group)).otherwise(none)
+
+
 def any_of(patterns: list[Pattern] | tuple[Pattern, ...]) -> str:
     """One Java regex that matches where any of the patterns does."""
     return "|".join(f"(?d{'iu' if p.ignore_case else ''}U:{p.scan})" for p in patterns)

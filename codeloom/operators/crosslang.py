@@ -17,10 +17,13 @@ from codeloom import rules
 from codeloom.functions.arrays import let
 from codeloom.functions.text import (
     basename,
+    contains_any,
     ends_with_any,
-    find_all,
+    find_all_with,
+    folded,
     found,
     lines,
+    may_match,
     strip,
 )
 from codeloom.session import cut_lineage
@@ -34,12 +37,16 @@ def _text() -> Column:
     return F.col("content")
 
 
+def _find(pattern: rules.Pattern, group: int = 0) -> Column:
+    return find_all_with(F.col("low"), _text(), pattern, group)
+
+
 # ------------------------------------------------- per-file arrays (one pass)
 
 
 def _endpoints() -> Column:
     """Endpoint matches without quotes at their ends (backticks stay)."""
-    matches = F.concat(*[find_all(_text(), p) for p in rules.ENDPOINT_PATTERNS])
+    matches = F.concat(*[_find(p) for p in rules.ENDPOINT_PATTERNS])
     return F.transform(matches, lambda m: F.btrim(m, F.lit("'\"")))
 
 
@@ -67,7 +74,7 @@ def _configs() -> Column:
                 ),
             )
 
-        return let(find_all(_text(), pattern, 1), rows)
+        return let(_find(pattern, 1), rows)
 
     return F.concat(*[of(*entry) for entry in rules.CONFIG_PATTERNS])
 
@@ -83,18 +90,20 @@ def _routes() -> Column:
                 route.alias("route"),
             )
 
-        paths = find_all(_text(), pattern, path)
+        paths = _find(pattern, path)
         if method is None:
             return F.transform(paths, lambda p: mark(p, F.lit(None)))
-        return F.zip_with(paths, find_all(_text(), pattern, method), mark)
+        return F.zip_with(paths, _find(pattern, method), mark)
 
     return F.concat(*[of(i, *entry) for i, entry in enumerate(rules.HTTP_PATTERNS, 1)])
 
 
 def _queues() -> Column:
     """The queue patterns that occur."""
+    low = F.col("low")
+    seen = [may_match(low, p) & found(_text(), p) for p in rules.QUEUE_PATTERNS]
     return F.array_compact(
-        F.array(*[F.when(found(_text(), p), F.lit(p.text)) for p in rules.QUEUE_PATTERNS])
+        F.array(*[F.when(s, F.lit(p.text)) for s, p in zip(seen, rules.QUEUE_PATTERNS)])
     )
 
 
@@ -123,7 +132,9 @@ def _name_ends() -> Column:
 
         return F.array_distinct(F.transform(tails, upto))
 
-    return let(let(F.regexp_extract_all(_text(), F.lit(f"({suffix})")), tails), joined)
+    ends = let(let(F.regexp_extract_all(_text(), F.lit(f"({suffix})")), tails), joined)
+    none = F.array().cast("array<string>")
+    return F.when(contains_any(_text(), rules.CONFIG_SUFFIXES), ends).otherwise(none)
 
 
 _SCANS = {
@@ -135,10 +146,20 @@ _SCANS = {
 }
 
 
+GRAPH_SCANS = ("endpoints", "name_ends")
+
+
 def scan(files: DataFrame, *wanted: str) -> DataFrame:
     """One row per source file with the wanted arrays (default: all)."""
     columns = [_SCANS[name]().alias(name) for name in wanted or _SCANS]
-    return discovered_files(files).select("repo_id", "path", "language", *columns)
+    return _with_low(files).select("repo_id", "path", "language", *columns)
+
+
+def _with_low(files: DataFrame) -> DataFrame:
+    """Source files with their folded text, made once for all patterns."""
+    return discovered_files(files).select(
+        "repo_id", "path", "language", "content", folded(_text()).alias("low")
+    )
 
 
 # ------------------------------------------------------------ exploded facts
@@ -177,7 +198,7 @@ def comm_catalogue(files: DataFrame) -> DataFrame:
         return F.struct(
             F.lit(family).alias("family"),
             F.lit(pattern.text).alias("pattern"),
-            F.size(find_all(_text(), pattern)).cast("long").alias("n"),
+            F.size(_find(pattern)).cast("long").alias("n"),
         )
 
     counted = [
@@ -187,7 +208,7 @@ def comm_catalogue(files: DataFrame) -> DataFrame:
     ]
     hits = F.filter(F.array(*counted), lambda e: e["n"] > 0)
     return (
-        discovered_files(files)
+        _with_low(files)
         .select("repo_id", "language", F.inline(hits))
         .groupBy("repo_id", "language", "family", "pattern")
         .agg(F.sum("n").alias("matches"), F.count("*").alias("files"))
@@ -387,19 +408,17 @@ class Extracts:
     """The extraction tables of one corpus, as used by the reports below.
 
     One pass over the text; the narrow result is checkpointed, because several
-    branches read it, and so are the few shared resources.  Names of configuration and build files come from the
+    branches read it, and so are the few shared resources.  The graph alone needs
+    only ``GRAPH_SCANS``.  Names of configuration and build files come from the
     path column alone.
     """
 
-    def __init__(self, files: DataFrame, keep: bool = True) -> None:
-        scanned = scan(files)
+    def __init__(self, files: DataFrame, *wanted: str) -> None:
         self.files = files
-        self.scanned = cut_lineage(scanned) if keep else scanned
+        self.scanned = cut_lineage(scan(files, *wanted))
         self.present = languages_present(self.scanned)
         self.endpoints = api_endpoints(self.scanned)
-        resources = shared_resources(files, self.scanned)
-        self.resources = cut_lineage(resources) if keep else resources
-        self.configs = config_deps(self.scanned)
+        self.resources = cut_lineage(shared_resources(files, self.scanned))
 
     def multi_language(self) -> DataFrame:
         return self.present.filter(F.size("present") > 1).select("repo_id")
@@ -593,7 +612,7 @@ def polyglot_rows(extracts: Extracts) -> DataFrame:
         shaped(extracts.endpoints, "source_file", "source_language", "api_call", F.col("endpoint")),
         shaped(extracts.resources, "resource_path", "language", "shared_resource",
                basename(F.col("resource_path"))),
-        shaped(extracts.configs, "source_file", "source_language", "configuration",
+        shaped(config_deps(extracts.scanned), "source_file", "source_language", "configuration",
                F.concat_ws("=", "config_type", "config_value")),
     ]
     stored = reduce(DataFrame.unionByName, parts)

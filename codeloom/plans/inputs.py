@@ -14,6 +14,24 @@ TABLES = (
 )
 
 
+# Fixed schemas: reading needs no job to infer them.
+SCHEMAS = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+}
+_SPREAD = ("part", "documents", "pages")
+
+
 def as_source(derived: DataFrame) -> DataFrame:
     """Let derived columns behave like stored ones.
 
@@ -33,7 +51,16 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table; one of fewer files than there are cores is spread by its key.
+
+        One file with one row group is one task however many cores there are.
+        A table of many files is left as it is: no shuffle.
+        """
+        stored = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in _SPREAD and len(stored.inputFiles()) < cores:
+            return stored.repartition(cores, stored.columns[0])
+        return stored
 
     def _sql(self, text: str, *names: str) -> DataFrame:
         for name in names:

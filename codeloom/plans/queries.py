@@ -50,8 +50,10 @@ def _on_scan(name: str, wanted: str, build: Callable[[DataFrame], DataFrame]) ->
     _on_files(name, lambda files: build(crosslang.scan(files, wanted)))
 
 
-def _on_extracts(name: str, build: Callable[[crosslang.Extracts], DataFrame]) -> None:
-    _on_files(name, lambda files: build(crosslang.Extracts(files)))
+def _on_extracts(
+    name: str, build: Callable[[crosslang.Extracts], DataFrame], *wanted: str
+) -> None:
+    _on_files(name, lambda files: build(crosslang.Extracts(files, *wanted)))
 
 
 def _stamp(column: str) -> Column:
@@ -163,11 +165,12 @@ _on_files("shared_resources", lambda f: crosslang.shared_resources(f, crosslang.
 _on_files("build_deps", lambda f: crosslang.build_deps(
     f, crosslang.languages_present(corpus.discovered_files(f))))
 _on_files("comm_catalogue", crosslang.comm_catalogue)
-_on_extracts("graph_edges", lambda e: e.edges())
-_on_extracts("graph_nodes", lambda e: crosslang.graph_nodes(e.edges()))
+_GRAPH = crosslang.GRAPH_SCANS
+_on_extracts("graph_edges", lambda e: e.edges(), *_GRAPH)
+_on_extracts("graph_nodes", lambda e: crosslang.graph_nodes(e.edges()), *_GRAPH)
 _on_extracts("graph_metrics", lambda e: crosslang.graph_metrics(e.edges()).withColumn(
-    "density", F.round("density", 6)))
-_on_extracts("hotspots", lambda e: crosslang.hotspots(e.edges()))
+    "density", F.round("density", 6)), *_GRAPH)
+_on_extracts("hotspots", lambda e: crosslang.hotspots(e.edges()), *_GRAPH)
 _on_extracts("arch_insights", lambda e: crosslang.insights(e.counts()))
 _on_extracts("recommendations", lambda e: crosslang.recommendations(e.counts(), e.edges()))
 _on_extracts("polyglot_rows", crosslang.polyglot_rows)

@@ -24,6 +24,9 @@ class Pattern:
     text: str
     linear: str | None = None
     ignore_case: bool = False
+    # Lower-case words of which every match holds at least one.  Looking for a
+    # word is far cheaper than running an expression, and most texts hold none.
+    needles: tuple[str, ...] = ()
 
     @property
     def scan(self) -> str:
@@ -262,8 +265,12 @@ COMPLEXITY_BUCKETS = (("High (11+)", 11), ("Medium (6-10)", 6), ("Low (1-5)", 1)
 SEVERITY = "medium"
 
 
-def _ci(text: str, linear: str | None = None) -> Pattern:
-    return Pattern(text, linear, ignore_case=True)
+def _ci(text: str, linear: str | None = None, *, needles: tuple[str, ...] = ()) -> Pattern:
+    return Pattern(text, linear, ignore_case=True, needles=needles)
+
+
+def _cs(text: str, *needles: str) -> Pattern:
+    return Pattern(text, needles=needles)
 
 
 SECURITY_RULES: dict[str, tuple[Rule, ...]] = {
@@ -378,47 +385,47 @@ GO_PACKAGE = Pattern(r"package\s+(\w+)")
 # --------------------------------------------------------------------------
 
 ENDPOINT_PATTERNS = (
-    _ci(r"['\"`]/api/[^'\"`\s]+['\"`]"),
-    _ci(r"['\"`]/v\d+/[^'\"`\s]+['\"`]"),
-    _ci(r"localhost:\d+[^'\"`\s]*"),
-    _ci(r"127\.0\.0\.1:\d+[^'\"`\s]*"),
+    _ci(r"['\"`]/api/[^'\"`\s]+['\"`]", needles=("/api/",)),
+    _ci(r"['\"`]/v\d+/[^'\"`\s]+['\"`]", needles=("'/v", '"/v', "`/v")),
+    _ci(r"localhost:\d+[^'\"`\s]*", needles=("localhost:",)),
+    _ci(r"127\.0\.0\.1:\d+[^'\"`\s]*", needles=("127.0.0.1:",)),
 )
 CONFIG_PATTERNS = (
-    ("port_config", _ci(r"PORT\s*=\s*(\d+)")),
-    ("database_config", _ci(r"DATABASE_URL\s*=\s*['\"`]([^'\"`]+)['\"`]")),
-    ("api_key_config", _ci(r"API_KEY\s*=\s*['\"`]([^'\"`]+)['\"`]")),
-    ("redis_config", _ci(r"REDIS_URL\s*=\s*['\"`]([^'\"`]+)['\"`]")),
+    ("port_config", _ci(r"PORT\s*=\s*(\d+)", needles=("port",))),
+    ("database_config", _ci(r"DATABASE_URL\s*=\s*['\"`]([^'\"`]+)['\"`]", needles=("database_url",))),
+    ("api_key_config", _ci(r"API_KEY\s*=\s*['\"`]([^'\"`]+)['\"`]", needles=("api_key",))),
+    ("redis_config", _ci(r"REDIS_URL\s*=\s*['\"`]([^'\"`]+)['\"`]", needles=("redis_url",))),
 )
 # (pattern, group of the method, group of the path); group 0 is the whole match.
 HTTP_PATTERNS = (
-    (_ci(r"(?:GET|POST|PUT|DELETE|PATCH)\s+['\"`]/[^'\"`\s]+['\"`]"), None, 0),
-    (_ci(r"@app\.route\s*\(\s*['\"`]([^'\"`]+)['\"`]"), None, 1),
-    (_ci(r"app\.(get|post|put|delete)\s*\(\s*['\"`]([^'\"`]+)['\"`]"), 1, 2),
-    (_ci(r"\[Route\s*\(\s*['\"`]([^'\"`]+)['\"`]\s*\)\]"), None, 1),
+    (_ci(r"(?:GET|POST|PUT|DELETE|PATCH)\s+['\"`]/[^'\"`\s]+['\"`]", needles=("'/", '"/', "`/")), None, 0),
+    (_ci(r"@app\.route\s*\(\s*['\"`]([^'\"`]+)['\"`]", needles=("@app.route",)), None, 1),
+    (_ci(r"app\.(get|post|put|delete)\s*\(\s*['\"`]([^'\"`]+)['\"`]", needles=("app.",)), 1, 2),
+    (_ci(r"\[Route\s*\(\s*['\"`]([^'\"`]+)['\"`]\s*\)\]", needles=("[route",)), None, 1),
 )
 QUEUE_PATTERNS = (
-    _ci(r"(?:rabbitmq|kafka|redis|sqs|activemq)"),
-    _ci(r"(?:publish|subscribe|queue|topic)"),
+    _ci(r"(?:rabbitmq|kafka|redis|sqs|activemq)", needles=("rabbitmq", "kafka", "redis", "sqs", "activemq")),
+    _ci(r"(?:publish|subscribe|queue|topic)", needles=("publish", "subscribe", "queue", "topic")),
 )
 # Catalogue of communication marks, by family.
 COMMUNICATION_CATALOGUE: dict[str, tuple[Pattern, ...]] = {
     "api_calls": (
-        Pattern(r"fetch\s*\(\s*['\"`]([^'\"`]+)['\"`]"),
-        Pattern(r"requests\.(get|post|put|delete)\s*\(\s*['\"`]([^'\"`]+)['\"`]"),
-        Pattern(r"HttpClient\.\w+\s*\(\s*['\"`]([^'\"`]+)['\"`]"),
-        Pattern(r"curl\s+['\"`]([^'\"`]+)['\"`]"),
+        _cs(r"fetch\s*\(\s*['\"`]([^'\"`]+)['\"`]", "fetch"),
+        _cs(r"requests\.(get|post|put|delete)\s*\(\s*['\"`]([^'\"`]+)['\"`]", "requests."),
+        _cs(r"HttpClient\.\w+\s*\(\s*['\"`]([^'\"`]+)['\"`]", "httpclient."),
+        _cs(r"curl\s+['\"`]([^'\"`]+)['\"`]", "curl"),
     ),
     "database_connections": (
-        Pattern(r"(?:postgres|mysql|mongodb|redis)://[^\s'\"`]+"),
-        Pattern(r"(?:Server|Host|Endpoint)\s*=\s*['\"`]?([^'\"`;\s]+)"),
+        _cs(r"(?:postgres|mysql|mongodb|redis)://[^\s'\"`]+", "://"),
+        _cs(r"(?:Server|Host|Endpoint)\s*=\s*['\"`]?([^'\"`;\s]+)", "server", "host", "endpoint"),
     ),
     "message_queues": (
-        Pattern(r"(?:rabbitmq|kafka|redis|sqs)://[^\s'\"`]+"),
-        Pattern(r"(?:queue|topic|channel)\s*[=:]\s*['\"`]([^'\"`]+)['\"`]"),
+        _cs(r"(?:rabbitmq|kafka|redis|sqs)://[^\s'\"`]+", "://"),
+        _cs(r"(?:queue|topic|channel)\s*[=:]\s*['\"`]([^'\"`]+)['\"`]", "queue", "topic", "channel"),
     ),
     "file_references": (
-        Pattern(r"(?:import|require|include)\s+['\"`]([^'\"`]+\.\w+)['\"`]"),
-        Pattern(r"(?:open|read|write)\s*\(\s*['\"`]([^'\"`]+\.\w+)['\"`]"),
+        _cs(r"(?:import|require|include)\s+['\"`]([^'\"`]+\.\w+)['\"`]", "import", "require", "include"),
+        _cs(r"(?:open|read|write)\s*\(\s*['\"`]([^'\"`]+\.\w+)['\"`]", "open", "read", "write"),
     ),
 }
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from codeloom import rules
 from codeloom.functions.text import find_all
+from codeloom.session import cut_lineage
 
 _TEXT_MAP = "map<string,string>"
 
@@ -167,5 +168,10 @@ def go_modules(files: DataFrame, strict: bool = False) -> DataFrame:
 def package_inventory(files: DataFrame) -> DataFrame:
     """Distinct external packages per repository and language, all manifests."""
     sources = (npm_packages, nuget_packages, maven_packages, gradle_packages, go_modules)
-    found = reduce(DataFrame.unionByName, [source(files) for source in sources])
+    # One pass finds the manifests; their few rows are then read five times.
+    names = ("package.json", "pom.xml", "build.gradle", "go.mod")
+    path = F.col("path")
+    some = files.filter(path.isin(*names) | path.endswith(".csproj") | path.endswith(".sln"))
+    few = cut_lineage(some)
+    found = reduce(DataFrame.unionByName, [source(few) for source in sources])
     return found.select("repo_id", "language", "package").distinct()
