@@ -6,9 +6,9 @@ call to the JVM, and planning would take longer than the query on small data.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,24 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def unnest(df: DataFrame, keys: Sequence[str | Column], values: Column | str, name: str) -> DataFrame:
+    """One row per element of ``values``: column ``name``, never null.
+
+    For a plain ``explode`` Catalyst infers the filter ``size(values) > 0`` and
+    pushes it down, which computes an expensive array a second time.  It does
+    not for the outer form, whose one row without elements is dropped after.
+    """
+    rows = df.select(*keys, F.explode_outer(values).alias(name))
+    return rows.filter(F.col(name).isNotNull())
+
+
+def unnest_structs(
+    df: DataFrame, keys: Sequence[str | Column], values: Column | str, present: str
+) -> DataFrame:
+    """The same for an array of structs, whose field ``present`` is never null."""
+    return df.select(*keys, F.inline_outer(values)).filter(F.col(present).isNotNull())
+
+
 def running_sum_sql(numbers: str) -> str:
     """Inclusive prefix sums of an array of int, in O(n log n) inside one row.
 

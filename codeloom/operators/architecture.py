@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom import rules
+from codeloom.functions.arrays import unnest
 from codeloom.functions.text import (
     basename,
     contains_any,
@@ -101,8 +102,12 @@ def js_module_system(files: DataFrame) -> DataFrame:
 def csharp_namespaces(files: DataFrame) -> DataFrame:
     """Entries per namespace: one per match, so a file may count twice."""
     return (
-        language_files(files, "csharp")
-        .select("repo_id", F.explode(find_all(_text(), rules.CSHARP_NAMESPACE, 1)).alias("namespace"))
+        unnest(
+            language_files(files, "csharp"),
+            ["repo_id"],
+            find_all(_text(), rules.CSHARP_NAMESPACE, 1),
+            "namespace",
+        )
         .groupBy("repo_id", "namespace")
         .agg(F.count("*").alias("files"))
     )

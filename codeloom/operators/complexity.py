@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import rules
+from codeloom.functions.arrays import unnest_structs
 from codeloom.functions.braces import bodies, brace_chunks, brace_partners, headers
 from codeloom.functions.text import count_matches
 from codeloom.operators import pyfacts
 from codeloom.sources.corpus import analysed_files, by_language
 
+_KEYS = ("repo_id", "path", "language")
 BRACE_LANGUAGES = ("javascript", "csharp", "java", "go")
 
 
@@ -28,37 +30,55 @@ def _headers(language: str) -> Column:
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
-def functions(files: DataFrame, *languages: str) -> DataFrame:
-    """One row per function with its body; see :mod:`codeloom.functions.braces`.
+def _with_bodies(files: DataFrame, *languages: str) -> DataFrame:
+    """Files with ``functions``: name, type and body of each function.
 
-    All of it is a narrow projection of the file row.  The steps are separate
-    selects only to name the arrays once.
+    All of it is a narrow projection of the file row; see
+    :mod:`codeloom.functions.braces`.  The steps are separate selects only to
+    name the arrays once.
     """
-    wanted = languages or BRACE_LANGUAGES
-    found = by_language({name: _headers(name) for name in wanted})
+    found = by_language({name: _headers(name) for name in languages})
     # No filter on ``headers`` here: it would be pushed below the projection and
     # run the patterns twice.
     text = F.when(F.size("headers") > 0, F.col("content")).otherwise("")
-    cut = (
-        analysed_files(files, *wanted)
-        .select("repo_id", "path", "language", found.alias("headers"), "content")
-        .select("repo_id", "path", "language", "headers", brace_chunks(text).alias("chunks"))
+    return (
+        analysed_files(files, *languages)
+        .select(*_KEYS, found.alias("headers"), "content")
+        .select(*_KEYS, "headers", brace_chunks(text).alias("chunks"))
         .select("*", brace_partners("chunks").alias("partners"))
+        .select(
+            *_KEYS,
+            bodies("headers", "chunks", "partners", "language <> 'csharp'").alias("functions"),
+        )
     )
-    return cut.select(
-        "repo_id",
-        "path",
-        "language",
-        F.inline(bodies("headers", "chunks", "partners", "language <> 'csharp'")),
-    )
+
+
+def functions(files: DataFrame, *languages: str) -> DataFrame:
+    """One row per function with its body."""
+    found = _with_bodies(files, *(languages or BRACE_LANGUAGES))
+    return unnest_structs(found, _KEYS, "functions", "name")
+
+
+def _with_scores(files: DataFrame, *languages: str) -> DataFrame:
+    """Files with ``scored``: name, type and complexity of each function."""
+
+    def score(language: str) -> Column:
+        return F.transform(
+            "functions",
+            lambda f: F.struct(
+                f["name"].alias("name"),
+                f["fn_type"].alias("fn_type"),
+                decision_count(f["body"], language).alias("complexity"),
+            ),
+        )
+
+    scored = by_language({name: score(name) for name in languages})
+    return _with_bodies(files, *languages).select(*_KEYS, scored.alias("scored"))
 
 
 def brace_function_complexity(files: DataFrame, *languages: str) -> DataFrame:
-    wanted = languages or BRACE_LANGUAGES
-    decisions = by_language({name: decision_count(F.col("body"), name) for name in wanted})
-    return functions(files, *wanted).select(
-        "repo_id", "path", "language", "name", "fn_type", decisions.alias("complexity")
-    )
+    found = _with_scores(files, *(languages or BRACE_LANGUAGES))
+    return unnest_structs(found, _KEYS, "scored", "name")
 
 
 def function_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:
@@ -69,26 +89,16 @@ def function_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:
 def file_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:
     """1 + the sum over the functions of a file; files without functions give 1.
 
-    Python files count only if they parse.  The base 1 of each file joins the
-    aggregation as a row of its own, so that no join is needed.
+    For brace languages a projection of the file row, without a shuffle.  Python
+    files count only if they parse.
     """
-    columns = ["repo_id", "path", "language", "complexity"]
-    readable = analysed_files(files, *BRACE_LANGUAGES).select("repo_id", "path", "language")
-    base = (
-        readable.unionByName(pyfacts.parsed_files(facts))
-        .withColumn("complexity", F.lit(1).cast("long"))
-        .withColumn("is_function", F.lit(0))
-    )
-    parts = function_complexity(files, facts).select(*columns, F.lit(1).alias("is_function"))
-    return (
-        base.select(*columns, "is_function")
-        .unionByName(parts)
-        .groupBy("repo_id", "path", "language")
-        .agg(
-            F.sum("complexity").alias("total_complexity"),
-            F.sum("is_function").alias("functions"),
-        )
+    total = F.aggregate("scored", F.lit(1).cast("long"), lambda sum_, f: sum_ + f["complexity"])
+    braces = _with_scores(files, *BRACE_LANGUAGES).select(
+        *_KEYS,
+        total.alias("total_complexity"),
+        F.size("scored").cast("long").alias("functions"),
     )
+    return braces.unionByName(pyfacts.file_complexity(facts))
 
 
 def repo_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:

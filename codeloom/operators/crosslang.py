@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import rules
-from codeloom.functions.arrays import let
+from codeloom.functions.arrays import let, unnest, unnest_structs
 from codeloom.functions.text import (
     basename,
     contains_any,
@@ -165,30 +165,25 @@ def _with_low(files: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ exploded facts
 
 
-def _facts(scanned: DataFrame, *generated: Column) -> DataFrame:
-    return scanned.select(
-        "repo_id",
-        F.col("path").alias("source_file"),
-        F.col("language").alias("source_language"),
-        *generated,
-    )
+def _sources() -> list[Column | str]:
+    return ["repo_id", F.col("path").alias("source_file"), F.col("language").alias("source_language")]
 
 
 def api_endpoints(scanned: DataFrame) -> DataFrame:
-    return _facts(scanned, F.explode("endpoints").alias("endpoint"))
+    return unnest(scanned, _sources(), "endpoints", "endpoint")
 
 
 def config_deps(scanned: DataFrame) -> DataFrame:
-    return _facts(scanned, F.inline("configs"))
+    return unnest_structs(scanned, _sources(), "configs", "config_type")
 
 
 def http_apis(scanned: DataFrame) -> DataFrame:
-    return _facts(scanned, F.inline("routes"))
+    return unnest_structs(scanned, _sources(), "routes", "pattern_id")
 
 
 def mq_usage(scanned: DataFrame) -> DataFrame:
     """Which queue patterns occur in the sources of a repository."""
-    return scanned.select("repo_id", F.explode("queues").alias("pattern")).distinct()
+    return unnest(scanned, ["repo_id"], "queues", "pattern").distinct()
 
 
 def comm_catalogue(files: DataFrame) -> DataFrame:
@@ -208,8 +203,7 @@ def comm_catalogue(files: DataFrame) -> DataFrame:
     ]
     hits = F.filter(F.array(*counted), lambda e: e["n"] > 0)
     return (
-        _with_low(files)
-        .select("repo_id", "language", F.inline(hits))
+        unnest_structs(_with_low(files), ["repo_id", "language"], hits, "family")
         .groupBy("repo_id", "language", "family", "pattern")
         .agg(F.sum("n").alias("matches"), F.count("*").alias("files"))
     )
@@ -260,7 +254,7 @@ def shared_resources(files: DataFrame, scanned: DataFrame) -> DataFrame:
         .groupBy("repo_id", "key", "stem_part")
         .agg(F.collect_set("length").alias("lengths"))
     )
-    cuts = scanned.select("repo_id", "language", F.explode("name_ends").alias("cut"))
+    cuts = unnest(scanned, ["repo_id", "language"], "name_ends", "cut")
     keyed = cuts.select(
         "*",
         F.explode(F.array(*[F.lit(n) for n in range(_TAIL + 1)])).alias("stem_part"),

@@ -148,6 +148,19 @@ def function_complexity(facts: DataFrame) -> DataFrame:
     )
 
 
+def file_complexity(facts: DataFrame) -> DataFrame:
+    """Total and number of functions per valid file, from one read of the facts."""
+    is_function = F.col("fact") == "complexity"
+    return (
+        facts.filter("fact IN ('parsed', 'complexity')")
+        .groupBy("repo_id", "path", F.lit("python").alias("language"))
+        .agg(
+            F.sum(F.when(is_function, F.col("n")).otherwise(1)).alias("total_complexity"),
+            F.count_if(is_function).alias("functions"),
+        )
+    )
+
+
 def parsed_files(facts: DataFrame) -> DataFrame:
     return facts.filter("fact = 'parsed'").select(
         "repo_id", "path", F.lit("python").alias("language")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import rules
+from codeloom.functions.arrays import unnest_structs
 from codeloom.functions.text import any_of, found, lines, strip
 from codeloom.operators import pyfacts
 from codeloom.sources.corpus import analysed_files, by_language
@@ -37,25 +38,18 @@ def pattern_findings(files: DataFrame, *languages: str) -> DataFrame:
     def suspect(column: str) -> Column:
         return by_language({n: F.col(column).rlike(any_rule[n]) for n in wanted})
 
-    return (
+    keys = ["repo_id", "path", "language"]
+    suspects = (
         analysed_files(files, *wanted)
         .filter(suspect("content"))
-        .select(
-            "repo_id", "path", "language", F.posexplode(lines(F.col("content"))).alias("at", "text")
-        )
+        .select(*keys, F.posexplode(lines(F.col("content"))).alias("at", "text"))
         .filter(suspect("text"))
-        .select(
-            "repo_id",
-            "path",
-            "language",
-            (F.col("at") + 1).cast("long").alias("line"),
-            strip(text).alias("code"),
-            F.inline(by_language({n: matching(n) for n in wanted})),
-        )
-        .select(
-            "repo_id", "path", "language", "line", "rule_id", "issue",
-            F.lit(rules.SEVERITY).alias("severity"), "code",
-        )
+    )
+    at = [(F.col("at") + 1).cast("long").alias("line"), strip(text).alias("code")]
+    hits = by_language({n: matching(n) for n in wanted})
+    severity = F.lit(rules.SEVERITY).alias("severity")
+    return unnest_structs(suspects, [*keys, *at], hits, "rule_id").select(
+        *keys, "line", "rule_id", "issue", severity, "code"
     )
 
 

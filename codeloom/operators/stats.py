@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import rules
+from codeloom.functions.arrays import unnest_structs
 from codeloom.functions.text import code_lines, find_all, strip
 from codeloom.sources.corpus import analysed_files, by_language, language_files
 
@@ -101,7 +102,7 @@ def declarations(files: DataFrame, *languages: str, kinds: tuple[str, ...] = ())
         return F.concat(*[labelled(kind, every[kind]) for kind in every if kind in (kinds or every)])
 
     found = by_language({name: named(name) for name in wanted})
-    return analysed_files(files, *wanted).select(*KEYS, F.inline(found))
+    return unnest_structs(analysed_files(files, *wanted), KEYS, found, "name")
 
 
 def file_stats(files: DataFrame, language: str) -> DataFrame:

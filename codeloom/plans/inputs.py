@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.plans import fixture
+from codeloom.session import shared_folder
 from codeloom.sources.corpus import from_text
 
 TABLES = (
@@ -29,7 +32,6 @@ SCHEMAS = {
     "pages": "page_id long, url string, html string",
     "benchmark": "item_id long, text string",
 }
-_SPREAD = ("part", "documents", "pages")
 
 
 def as_source(derived: DataFrame) -> DataFrame:
@@ -43,6 +45,10 @@ def as_source(derived: DataFrame) -> DataFrame:
     return derived.select(F.inline(F.array(row)))
 
 
+FILES_SCHEMA = "repo_id long, path string, content string, is_utf8 boolean"
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
     """Lazily built DataFrames over one data folder."""
 
@@ -51,16 +57,7 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """A table; one of fewer files than there are cores is spread by its key.
-
-        One file with one row group is one task however many cores there are.
-        A table of many files is left as it is: no shuffle.
-        """
-        stored = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in _SPREAD and len(stored.inputFiles()) < cores:
-            return stored.repartition(cores, stored.columns[0])
-        return stored
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def _sql(self, text: str, *names: str) -> DataFrame:
         for name in names:
@@ -68,12 +65,31 @@ class Inputs:
         return self.spark.sql(text)
 
     def files(self) -> DataFrame:
-        sql = self._sql(fixture.files_sql(), "part", "customer", "documents", "pages")
-        return as_source(from_text(sql))
+        return self._corpus("files", fixture.files_sql())
 
     def previous_files(self) -> DataFrame:
-        sql = self._sql(fixture.previous_files_sql(), "part", "customer", "documents", "pages")
-        return as_source(from_text(sql))
+        return self._corpus("previous", fixture.previous_files_sql())
+
+    def _corpus(self, name: str, sql: str) -> DataFrame:
+        """A corpus, stored once per application and data folder as a table.
+
+        The queries then read a ``files`` table as they would in use, with only
+        the columns they need.  Without a shared folder it is derived each time.
+        """
+        spark = self.spark
+        key = (spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            tables = ("part", "customer", "documents", "pages")
+            derived = from_text(self._sql(sql, *tables))
+            shared = shared_folder(spark)
+            if shared is None:
+                return as_source(derived)
+            target = f"{shared}/corpus-{name}-{uuid.uuid4().hex}"
+            # Spread by path: a file of the table then holds a bit of everything,
+            # whatever the number of input files or the size of a repository.
+            derived.repartition("repo_id", "path").write.parquet(target)
+            _STORED[key] = target
+        return spark.read.schema(FILES_SCHEMA).parquet(_STORED[key])
 
     def logs(self) -> DataFrame:
         return as_source(self._sql(fixture.LOG_SQL, "lineitem"))

@@ -34,20 +34,26 @@ def local_session(cores: int | str = 8, app: str = "codeloom", **conf: str) -> S
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    The folder is read from the session.  Only where it is unset and the master
-    is local (tests) a temporary folder is used; on a cluster that would lose
-    data with the executor, so it is refused.
+    It is read from the session.  Only where it is unset and the master is local
+    (tests) a temporary folder is made; on a cluster a machine-local folder would
+    be lost with the executor, so there is none.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder:
             if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
+                return None
+            folder = tempfile.mkdtemp(prefix="codeloom-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder."""
+    if shared_folder(df.sparkSession) is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
     return df.checkpoint(eager=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom import rules
+from codeloom.functions.arrays import unnest
 from codeloom.functions.text import find_all
 from codeloom.session import cut_lineage
 
@@ -99,12 +100,8 @@ def _manifest(files: DataFrame, where: Column) -> DataFrame:
 
 
 def _packages(manifests: DataFrame, language: str, names: Column) -> DataFrame:
-    return manifests.select(
-        "repo_id",
-        F.lit(language).alias("language"),
-        F.col("path").alias("manifest"),
-        F.explode(names).alias("package"),
-    ).distinct()
+    keys = ["repo_id", F.lit(language).alias("language"), F.col("path").alias("manifest")]
+    return unnest(manifests, keys, names, "package").distinct()
 
 
 def nuget_packages(files: DataFrame) -> DataFrame:
