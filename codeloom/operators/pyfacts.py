@@ -9,7 +9,7 @@ Facts (``fact, name, line, n``):
 
 * ``class`` / ``function``: a declaration (async functions are not counted);
 * ``import``: one import statement;  ``import_name``: one imported name;
-* ``depends_on``: one dependency of the file, may repeat;
+* ``depends_on``: one dependency of the file, given once per file;
 * ``complexity``: ``n`` for the function ``name``;
 * ``call``: a call of a bare ``name``, only of those asked for;
 * ``parsed``: the file is valid;
@@ -56,6 +56,7 @@ def _file_facts(path: str, text: str, calls: frozenset[str]) -> Iterator[tuple]:
         return
 
     yield "parsed", None, None, None
+    dependencies: set[str] = set()
     order: list[tuple[ast.AST, int]] = [(tree, -1)]
     for place, (node, _) in enumerate(order):  # grows while it runs
         order.extend((child, place) for child in ast.iter_child_nodes(node))
@@ -77,12 +78,14 @@ def _file_facts(path: str, text: str, calls: frozenset[str]) -> Iterator[tuple]:
             yield "import", None, line, None
             module = getattr(node, "module", None) or ""
             dotted = isinstance(node, ast.ImportFrom)
-            if module:
-                yield "depends_on", module, line, None
+            targets = [module] if module else []
             for alias in node.names:
                 yield "import_name", f"{module}.{alias.name}" if dotted else alias.name, line, None
-                full = f"{module}.{alias.name}" if module else alias.name
-                yield "depends_on", full, line, None
+                targets.append(f"{module}.{alias.name}" if module else alias.name)
+            for target in targets:
+                if target not in dependencies:
+                    dependencies.add(target)
+                    yield "depends_on", target, line, None
         elif isinstance(node, ast.Call) and getattr(node.func, "id", None) in calls:
             yield "call", node.func.id, line, None
 
@@ -182,9 +185,7 @@ def dangerous_calls(facts: DataFrame) -> DataFrame:
 
 
 def import_edges(facts: DataFrame) -> DataFrame:
-    """Distinct dependencies per file."""
-    return (
-        facts.filter("fact = 'depends_on'")
-        .select("repo_id", "path", F.lit("python").alias("language"), F.col("name").alias("target"))
-        .distinct()
+    """Distinct dependencies per file (made distinct where the file is parsed)."""
+    return facts.filter("fact = 'depends_on'").select(
+        "repo_id", "path", F.lit("python").alias("language"), F.col("name").alias("target")
     )

@@ -29,6 +29,7 @@ _PYTHON = (
     ("s > 45", "~n~def big_~k~(a, b):~n~    if a: b = 1~n~    elif b: a = 2~n~    if a and b and a > b: pass~n~    for x in a:~n~        while x:~n~            if x or b or a:~n~                x = input()~n~    with a as c:~n~        if c and a: pass~n~    try:~n~        pass~n~    finally:~n~        pass~n~"),
     ("s % 6 = 1", "PORT = 80~s~~n~DATABASE_URL = \"postgres://db~s~/main\"~n~"),
     ("s % 11 = 3", "REPORT=~s~~n~API_KEY = ~q~key-~k~~q~~n~settings = load(~q~settings.yaml~q~)~n~"),
+    ("s % 19 = 1", "import ctypes~n~"),
     ("s % 13 = 5", "client.publish(\"topic-~s~\", exec(\"x\"))~n~"),
     ("s % 17 = 0", "def broken_~k~(:~n~    pass~n~"),
 )
@@ -71,6 +72,7 @@ _JAVA = (
     ("s % 4 = 0", "    void run~s~() {~n~        Process p = Runtime.getRuntime().exec(\"ls\"); new ProcessBuilder(\"x\");~n~        Random r = new Random(); Class.forName(\"x~s~\");~n~    }~n~"),
     ("s % 5 = 0", "    protected byte[] hash~k~(String in) {~n~        try { MessageDigest.getInstance(\"MD5\"); MessageDigest.getInstance( \"SHA1\"); }~n~        catch (Exception e) { System.getProperty(\"user.home\"); }~n~        new FileInputStream(in); new FileOutputStream (in, true);~n~        c.setHostnameVerifier(SSL.ALLOW_ALL);~n~        return null;~n~    }~n~"),
     ("s > 45", "    int big~k~(int a) {~n~        if (a > 1) { if (a > 2) { while (a > 0) { for (;;) { a--; } } } }~n~        switch (a) { case 1: break; }~n~        return a > 1 ? a : b > 2 ? c : d && e || f && g || h;~n~    }~n~"),
+    ("s % 19 = 3", "    static { System.loadLibrary (\"part~s~\"); }~n~    String own = \"/api/parts/~s~\";~n~"),
     ("s % 6 = 1", "    String url = \"http://localhost:90~s~/v1/parts\"; String f = \"settings.yaml\";~n~    String REDIS_URL = \"redis://cache~s~\"; class Part~k~Builder { }~n~"),
     ("s % 11 <> 0", "}~n~"),
 )
@@ -84,6 +86,7 @@ _GO = (
     ("s % 4 = 0", "func main() {~n~\thttp.ListenAndServe(\":80~s~\", nil)~n~\thttp.Get(\"http://localhost:80~s~/api\")~n~\texec.Command(\"ls\")~n~}~n~"),
     ("s % 5 = 0", "func show~s~() { fmt.Printf(\"%s\", x); os.Getenv(\"SECRET\"); fmt.Print(\"a%v\") }~n~var u = unsafe.Pointer(x); r := math/rand.Int()~n~"),
     ("s % 7 = 0", "var t = http.DefaultTransport; cfg := TLSClientConfig{InsecureSkipVerify: true}~n~// deployed with Docker on Kubernetes via gRPC~n~"),
+    ("s % 19 = 2", "import \"C\"~n~"),
     ("s > 45", "func big~k~(a int) {~n~\tif a { if a { if a && b && c { } } }~n~\tfor a { for b { } }~n~\tswitch a { case 1: case 2: case 3: }~n~\tselect { case x: }~n~}~n~"),
     ("s % 6 = 1", "var api = \"/api/parts/~k~\"; f := \"config.json\"; API_KEY=\"k~s~\"~n~"),
     ("s % 11 = 0", "func open~k~() {~n~\tif x {~n~"),

@@ -673,6 +673,27 @@ def _sql() -> dict[str, str]:
     LEFT JOIN (SELECT repo_id, count(*) AS hotspots, count(*) FILTER (degree > 10) AS high_hotspots FROM degrees WHERE degree > 5 GROUP BY repo_id) h USING (repo_id)
     LEFT JOIN (SELECT repo_id, count(*) AS recommendations FROM advice GROUP BY repo_id) a USING (repo_id)""".replace(
         "a.recommendations\n", "coalesce(a.recommendations, 0) AS recommendations\n"))
+    o["ffi_marks"] = _cross() + "\nUNION ALL\n".join(
+        f"SELECT repo_id, path, language, {_q(rule)} AS rule_id FROM poly WHERE language IN ({', '.join(_q(n) for n in names)}) AND {_hit('content', p)}"
+        for rule, names, _, p in rules.FFI_RULES
+    )
+    route = "regexp_replace(regexp_replace(regexp_replace({0}, '[''\"`]', '', 'g'), '^[^/]*', ''), '[?#].*$|/+$', '', 'g')"
+    o["network_bridges"] = _cross(_ENDPOINTS, _ROUTES) + f"""SELECT repo_id, route, count(*) FILTER (defines) AS definitions,
+        count(*) FILTER (NOT defines) AS callers, count(DISTINCT source_language) AS languages
+      FROM (SELECT repo_id, route, source_file, source_language, bool_or(defines) AS defines FROM (
+          SELECT repo_id, source_file, source_language, {route.format('route')} AS route, true AS defines FROM routes
+          UNION ALL SELECT repo_id, source_file, source_language, {route.format('endpoint')}, false FROM endpoints) r
+        WHERE route <> '' GROUP BY ALL) f
+      GROUP BY repo_id, route HAVING count(*) FILTER (defines) > 0 AND count(*) FILTER (NOT defines) > 0"""
+    inner = o["internal_edges"].split("SELECT d.repo_id", 1)[1]
+    inner = f"inner_edges AS MATERIALIZED (SELECT d.repo_id{inner})"
+    o["typed_graph"] = _code(_POLY, _PY, inner, _ENDPOINTS, _SHARED, _LANGS, _EDGES) + """SELECT repo_id, 'python:' || source_file AS src, 'python:' || target_file AS dst, 'import' AS type FROM inner_edges
+      UNION ALL SELECT repo_id, src, dst, type FROM edges"""
+    o["blast_radius"] = "WITH RECURSIVE " + _code(_PY, inner, f"old AS ({fixture.previous_files_sql()})", """walk(repo_id, path, distance) AS (
+        SELECT repo_id, path, 0 FROM files WHERE (repo_id, path, sha256(content)) NOT IN (SELECT (repo_id, path, sha256(content)) FROM old)
+        UNION
+        SELECT e.repo_id, e.source_file, w.distance + 1 FROM walk w JOIN inner_edges e ON e.repo_id = w.repo_id AND e.target_file = w.path
+        WHERE w.distance < 50)""")[len("WITH "):] + "SELECT repo_id, path, min(distance)::BIGINT AS distance FROM walk GROUP BY ALL"
     # catalogue and jobs
     o["repos_by_owner"] = _with(_REPOS) + "SELECT user_id, count(*) AS repositories, max(repository_id) AS newest_repository FROM repos GROUP BY user_id"
     o["owned_jobs"] = _with(_REPOS) + """SELECT r.user_id, r.job_id FROM (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom import rules
 from codeloom.operators import (
     architecture,
+    bridges,
     complexity,
     crosslang,
     dependencies,
@@ -177,6 +178,27 @@ _on_extracts("polyglot_rows", crosslang.polyglot_rows)
 _on_extracts("polyglot_report", crosslang.polyglot_report)
 
 
+_on_files("ffi_marks", bridges.ffi_marks)
+
+
+def _bridges(files: DataFrame) -> DataFrame:
+    scanned = crosslang.scan(files, "endpoints", "routes")
+    return bridges.network_bridges(crosslang.http_apis(scanned), crosslang.api_endpoints(scanned))
+
+
+_on_files("network_bridges", _bridges)
+_on_facts("typed_graph", lambda files, facts: bridges.typed_graph(
+    dependencies.internal_edges(files, facts), crosslang.Extracts(files, *_GRAPH).edges()))
+
+
+@_query
+def blast_radius(inputs: Inputs) -> DataFrame:
+    files = inputs.files()
+    edges = dependencies.internal_edges(files, pyfacts.python_facts(files))
+    changed = jobs.changed_files(inputs.previous_files(), files)
+    return bridges.blast_radius(edges, changed)
+
+
 # --------------------------------------------------------- catalogue and jobs
 
 

@@ -460,6 +460,16 @@ RECOMMENDATIONS = {
     "low_testing": "Implement comprehensive integration testing for cross-language components",
 }
 
+# Marks of foreign-function interfaces (own choice, nothing to match here):
+# (rule, languages, words of which any must occur, pattern).
+FFI_RULES = (
+    ("extern_c", ("c", "cpp", "rust"), ("extern",), Pattern(r"extern\s+\"C\"")),
+    ("ctypes", ("python",), ("ctypes",), Pattern(r"\bctypes\b")),
+    ("cgo", ("go",), ("import",), Pattern(r"import\s+\"C\"")),
+    ("jni_native", ("java",), ("System.loadLibrary",), Pattern(r"System\.loadLibrary\s*\(")),
+    ("jni_export", ("c", "cpp"), ("JNIEXPORT",), Pattern(r"\bJNIEXPORT\b")),
+)
+
 # --------------------------------------------------------------------------
 # Jobs and retrieval
 # --------------------------------------------------------------------------
