@@ -86,19 +86,22 @@ def function_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:
     return brace_function_complexity(files).unionByName(pyfacts.function_complexity(facts))
 
 
-def file_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:
+def brace_file_complexity(files: DataFrame, *languages: str) -> DataFrame:
     """1 + the sum over the functions of a file; files without functions give 1.
 
-    For brace languages a projection of the file row, without a shuffle.  Python
-    files count only if they parse.
+    A projection of the file row: no shuffle.
     """
     total = F.aggregate("scored", F.lit(1).cast("long"), lambda sum_, f: sum_ + f["complexity"])
-    braces = _with_scores(files, *BRACE_LANGUAGES).select(
+    return _with_scores(files, *(languages or BRACE_LANGUAGES)).select(
         *_KEYS,
         total.alias("total_complexity"),
         F.size("scored").cast("long").alias("functions"),
     )
-    return braces.unionByName(pyfacts.file_complexity(facts))
+
+
+def file_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Totals of the files of all five languages; Python files only if they parse."""
+    return brace_file_complexity(files).unionByName(pyfacts.file_complexity(facts))
 
 
 def repo_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:

@@ -48,6 +48,12 @@ def top_k(
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _slices(frame: pd.DataFrame, size: int = 2_000) -> Iterator[pd.DataFrame]:
+    """Parts of a batch, so that the matrix of distances stays small."""
+    for start in range(0, len(frame), size):
+        yield frame.iloc[start : start + size]
+
+
 def _nearest(queries: pd.DataFrame, corpus: DataFrame, k: int, filtered: bool) -> DataFrame:
     ids = queries["query_id"].to_numpy()
     if not len(ids):
@@ -59,9 +65,7 @@ def _nearest(queries: pd.DataFrame, corpus: DataFrame, k: int, filtered: bool) -
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Per query the k best rows so far, as a heap of (-distance, -id).
         best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for frame in batches:
-            if not len(frame):
-                continue
+        for frame in (part for batch in batches for part in _slices(batch)):
             rows = np.stack([np.asarray(e, dtype=np.float64) for e in frame["embedding"]])
             names = frame["id"].to_numpy()
             distances = square[:, None] - 2.0 * points @ rows.T + (rows**2).sum(axis=1)[None, :]

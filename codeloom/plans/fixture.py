@@ -72,7 +72,8 @@ _JAVA = (
     ("s % 4 = 0", "    void run~s~() {~n~        Process p = Runtime.getRuntime().exec(\"ls\"); new ProcessBuilder(\"x\");~n~        Random r = new Random(); Class.forName(\"x~s~\");~n~    }~n~"),
     ("s % 5 = 0", "    protected byte[] hash~k~(String in) {~n~        try { MessageDigest.getInstance(\"MD5\"); MessageDigest.getInstance( \"SHA1\"); }~n~        catch (Exception e) { System.getProperty(\"user.home\"); }~n~        new FileInputStream(in); new FileOutputStream (in, true);~n~        c.setHostnameVerifier(SSL.ALLOW_ALL);~n~        return null;~n~    }~n~"),
     ("s > 45", "    int big~k~(int a) {~n~        if (a > 1) { if (a > 2) { while (a > 0) { for (;;) { a--; } } } }~n~        switch (a) { case 1: break; }~n~        return a > 1 ? a : b > 2 ? c : d && e || f && g || h;~n~    }~n~"),
-    ("s % 19 = 3", "    static { System.loadLibrary (\"part~s~\"); }~n~    String own = \"/api/parts/~s~\";~n~"),
+    ("s % 19 = 3", "    static { System.loadLibrary (\"part~s~\"); }~n~"),
+    ("s % 8 = 0", "    String own = \"/api/parts/~s~\";~n~"),
     ("s % 6 = 1", "    String url = \"http://localhost:90~s~/v1/parts\"; String f = \"settings.yaml\";~n~    String REDIS_URL = \"redis://cache~s~\"; class Part~k~Builder { }~n~"),
     ("s % 11 <> 0", "}~n~"),
 )
