@@ -52,11 +52,13 @@ def count_matches(text: Column, pattern: Pattern | str) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case, with the four letters that match ASCII ones without case."""
-    plain_text = text
-    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k")):
-        plain_text = F.replace(plain_text, F.lit(letter), F.lit(plain))
+    letters = {"\u017f": "s", "\u0131": "i", "\u0130": "i", "\u212a": "k"}
+    replaced = text
+    for letter, plain in letters.items():
+        replaced = F.replace(replaced, F.lit(letter), F.lit(plain))
     is_ascii = F.octet_length(text) == F.char_length(text)
-    return F.when(is_ascii, F.lower(text)).otherwise(F.lower(plain_text))
+    usual = is_ascii | ~contains_any(text, tuple(letters))
+    return F.when(usual, F.lower(text)).otherwise(F.lower(replaced))
 
 
 def may_match(low: Column, pattern: Pattern) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom import rules
 from codeloom.functions.arrays import unnest_structs
-from codeloom.functions.text import any_of, found, lines, strip
+from codeloom.functions.text import any_of, contains_any, folded, found, lines, strip
 from codeloom.operators import pyfacts
 from codeloom.sources.corpus import analysed_files, by_language
 
@@ -16,9 +16,9 @@ def pattern_findings(files: DataFrame, *languages: str) -> DataFrame:
     """One finding per (line, rule) that matches.
 
     Most files and nearly all lines match nothing.  A file is therefore tested
-    once as a whole with all rules joined into one expression (a match inside a
-    line is a match inside the text), then its lines, and only the lines left
-    are tested rule by rule.
+    once as a whole, for the words of the rules and then with all rules joined
+    into one expression (a match inside a line is a match inside the text), then
+    its lines, and only the lines left are tested rule by rule.
     """
 
     wanted = languages or tuple(rules.SECURITY_RULES)
@@ -38,9 +38,18 @@ def pattern_findings(files: DataFrame, *languages: str) -> DataFrame:
     def suspect(column: str) -> Column:
         return by_language({n: F.col(column).rlike(any_rule[n]) for n in wanted})
 
+
+    def holds_word(language: str) -> Column:
+        words = {rules.SECURITY_NEEDLES[r.rule_id] for r in rules.SECURITY_RULES[language]}
+        # Bound by a lambda: a filter is pushed down, and a column of its own
+        # would be written out again for each word.
+        low = F.array(folded(F.col("content")))
+        return F.exists(low, lambda text: contains_any(text, tuple(sorted(words))))
+
     keys = ["repo_id", "path", "language"]
     suspects = (
         analysed_files(files, *wanted)
+        .filter(by_language({n: holds_word(n) for n in wanted}))
         .filter(suspect("content"))
         .select(*keys, F.posexplode(lines(F.col("content"))).alias("at", "text"))
         .filter(suspect("text"))

@@ -326,6 +326,44 @@ SECURITY_RULES: dict[str, tuple[Rule, ...]] = {
     ),
 }
 
+# A lower-case word that every match of the rule holds.
+SECURITY_NEEDLES = {
+    "js_eval": "eval",
+    "js_inner_html": "innerhtml",
+    "js_document_write": "document.write",
+    "js_dangerous_html": "dangerouslysetinnerhtml",
+    "js_exec": "exec",
+    "js_timeout_string": "settimeout",
+    "js_interval_string": "setinterval",
+    "js_md5": "crypto.createhash",
+    "js_random": "math.random",
+    "cs_process": "system.diagnostics.process.start",
+    "cs_file_delete": "system.io.file.delete",
+    "cs_assembly_load": "system.reflection.assembly.load",
+    "cs_eval": "eval",
+    "cs_inner_html": "innerhtml",
+    "cs_password": "password",
+    "cs_connection": "connectionstring",
+    "java_runtime_exec": "runtime.getruntime",
+    "java_process": "processbuilder",
+    "java_for_name": "class.forname",
+    "java_property": "system.getproperty",
+    "java_file_in": "fileinputstream",
+    "java_file_out": "fileoutputstream",
+    "java_md5": "messagedigest",
+    "java_sha1": "messagedigest",
+    "java_random": "random",
+    "java_hostname": "sethostnameverifier",
+    "go_command": "exec.command",
+    "go_env_secret": "os.getenv",
+    "go_printf": "fmt.print",
+    "go_unsafe": "unsafe.pointer",
+    "go_weak_hash": "crypto/",
+    "go_rand": "math/rand.",
+    "go_transport": "http.defaulttransport",
+    "go_tls": "tlsclientconfig",
+}
+
 # Calls by bare name that count as a finding in Python sources.
 PYTHON_DANGEROUS_CALLS = (
     "eval", "exec", "compile", "__import__", "input", "raw_input", "open",

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from codeloom import rules
 from codeloom.functions import braces, text
 from codeloom.functions.arrays import running_sum
 from codeloom.session import cut_lineage
@@ -85,3 +86,14 @@ def test_unicode_names(spark):
 def test_cut_lineage_keeps_rows(spark):
     cut = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert cut.agg(F.sum("x")).first()[0] == 90
+
+
+def test_folded_meets_what_matches_without_case(spark):
+    values = ["REDİS KAFKA", "ſqſ redıs", "\u212aafka", "Ärger", ""]
+    assert collect(column(spark, values), text.folded(F.col("v"))) == [
+        "redis kafka", "sqs redis", "kafka", "ärger", "",
+    ]
+    words = rules.QUEUE_PATTERNS[0]
+    hits = collect(column(spark, values), text.found(F.col("v"), words))
+    low = collect(column(spark, values), text.may_match(text.folded(F.col("v")), words))
+    assert [a or not b for a, b in zip(low, hits)] == [True] * 5 and low == [True, True, True, False, False]

@@ -61,3 +61,33 @@ def test_linear_form(name, text):
         if not re.compile(pattern.text).groups:
             ours, plain = [e for _, e in ours], [e for _, e in plain]
         assert ours == plain
+
+
+NEEDLED = {
+    f"{p.text}": p
+    for group in (
+        rules.ENDPOINT_PATTERNS, [c[1] for c in rules.CONFIG_PATTERNS],
+        [h[0] for h in rules.HTTP_PATTERNS], rules.QUEUE_PATTERNS,
+        *rules.COMMUNICATION_CATALOGUE.values(),
+    )
+    for p in group
+}
+for _rules in rules.SECURITY_RULES.values():
+    for _rule in _rules:
+        NEEDLED[_rule.pattern.text] = rules.Pattern(
+            _rule.pattern.text, ignore_case=_rule.pattern.ignore_case,
+            needles=(rules.SECURITY_NEEDLES[_rule.rule_id],),
+        )
+
+
+@pytest.mark.parametrize("text", sorted(NEEDLED))
+@settings(max_examples=60, deadline=None)
+@given(data=st.data())
+def test_every_match_holds_a_needle(text, data):
+    pattern = NEEDLED[text]
+    assert pattern.needles
+    flags = re.IGNORECASE if pattern.ignore_case else 0
+    match = data.draw(st.from_regex(re.compile(text, flags)))
+    found = re.search(text, match, flags).group(0)
+    low = found.translate(str.maketrans("ſıİK", "siik")).lower()
+    assert any(needle in low for needle in pattern.needles)
