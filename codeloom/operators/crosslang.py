@@ -31,6 +31,7 @@ from codeloom.sources.corpus import discovered_files
 
 _NAME_LIMIT = 255  # longest file name of the usual file systems, in bytes
 _TAIL = 4
+_SALTS = 16
 
 
 def _text() -> Column:
@@ -219,8 +220,14 @@ def _suffix_of(text: Column) -> Column:
     return chosen
 
 
-def _tail_key(text: Column, stem_length: Column | int) -> Column:
-    return F.right(text, F.char_length(_suffix_of(text)) + stem_length)
+def _stem_length(column: str) -> Column:
+    """Characters before the suffix."""
+    return F.char_length(column) - F.char_length(_suffix_of(F.col(column)))
+
+
+def _tail(text: Column, stem_part: int) -> Column:
+    """The suffix and up to ``stem_part`` characters before it."""
+    return F.right(text, F.char_length(_suffix_of(text)) + stem_part)
 
 
 def shared_resources(files: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -231,41 +238,43 @@ def shared_resources(files: DataFrame, scanned: DataFrame) -> DataFrame:
     result, because a name ends in a known suffix:
 
     1. Cut the text at each suffix; the name must be the end of a cut.
-    2. A cut meets only repositories' names with the same last characters
-       (suffix and up to four before it): that key gives the *lengths* of the
-       names to try, at most 255 numbers per key.
-    3. The last ``length`` characters of the cut are joined with the names.
-
-    Nothing grows with (files x names); equal (repository, language, text)
-    rows are merged before each shuffle.
+    2. Names with fewer than four characters before the suffix are tried as they
+       are: the last characters of a cut.
+    3. For longer names, the suffix and the four characters before it are a key
+       that gives the *lengths* of the names to try, at most 255 numbers; the
+       last ``length`` characters of the cut are then joined with the names.
+
+    Nothing grows with (files x names).  Equal rows are merged before each
+    shuffle, and the key join is salted: one ending such as ``config.json`` may
+    make up much of a corpus.
     """
     suffixes = rules.CONFIG_SUFFIXES
     configs = files.filter(ends_with_any(F.col("path"), suffixes)).select(
         "repo_id", F.col("path").alias("resource_path"), basename(F.col("path")).alias("name")
     )
-    stem = F.char_length("name") - F.char_length(_suffix_of(F.col("name")))
     lengths = (
-        configs.select(
-            "repo_id",
-            _tail_key(F.col("name"), F.least(stem, F.lit(_TAIL))).alias("key"),
-            F.least(stem, F.lit(_TAIL)).alias("stem_part"),
-            F.char_length("name").alias("length"),
+        configs.filter(_stem_length("name") >= _TAIL)
+        .select(
+            "repo_id", _tail(F.col("name"), _TAIL).alias("key"), F.char_length("name").alias("length")
         )
-        .groupBy("repo_id", "key", "stem_part")
+        .groupBy("repo_id", "key")
         .agg(F.collect_set("length").alias("lengths"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     )
     cuts = unnest(scanned, ["repo_id", "language"], "name_ends", "cut")
-    keyed = cuts.select(
-        "*",
-        F.explode(F.array(*[F.lit(n) for n in range(_TAIL + 1)])).alias("stem_part"),
-    ).withColumn("key", _tail_key(F.col("cut"), F.col("stem_part")))
-    tried = (
-        keyed.join(lengths, ["repo_id", "key", "stem_part"])
+    tails = F.array(*[_tail(F.col("cut"), n) for n in range(_TAIL)])
+    short = unnest(cuts, ["repo_id", "language"], tails, "name")
+    long = (
+        cuts.filter(_stem_length("cut") >= _TAIL)
+        .distinct()
+        .withColumn("key", _tail(F.col("cut"), _TAIL))
+        .withColumn("salt", F.pmod(F.hash("cut"), F.lit(_SALTS)))
+        .join(lengths, ["repo_id", "key", "salt"])
         .select("repo_id", "language", "cut", F.explode("lengths").alias("length"))
         .filter(F.char_length("cut") >= F.col("length"))
         .select("repo_id", "language", F.right("cut", F.col("length")).alias("name"))
-        .distinct()
     )
+    tried = short.unionByName(long).distinct()
     by_name = tried.groupBy("repo_id", "name").agg(F.collect_set("language").alias("languages"))
     return (
         configs.join(by_name.filter(F.size("languages") > 1), ["repo_id", "name"])

@@ -18,7 +18,6 @@ from codeloom.operators import (
     stats,
 )
 from codeloom.sources import manifests
-from codeloom.sources.corpus import language_counts
 
 Tables = dict[str, DataFrame]
 
@@ -110,10 +109,6 @@ def analyse(files: DataFrame, language: str, analysis_types: Iterable[str]) -> d
     }
 
 
-def files_analysed(files: DataFrame) -> DataFrame:
-    return language_counts(files)
-
-
 def cross_language(files: DataFrame) -> Tables:
     """All tables of the cross-language analysis; the text is read once."""
     extracts = crosslang.Extracts(files)
