@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, mixing, tokens
+from codeloom.llm import decontamination, mixing, near_duplicates, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -78,6 +78,41 @@ def op7_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.read_ids(shards)
 
 
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose three-word shingles are 85 % alike."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = near_duplicates.near_duplicates(docs, words=3, percent=85)
+    return found.select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+OP9_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+         ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS shingle
+  FROM words WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS size FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n >= 85 * (x.size + y.size - n)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT r.a AS doc_id, coalesce(any_value(s.size), 0) AS n_shingles, min(r.b) AS component_id,
+       r.a = min(r.b) AS kept
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.a GROUP BY r.a
+"""
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of documents inside occurrences of benchmark windows."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -128,9 +163,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix": op2_mix,
         "op7_token_ids": op7_token_ids,
+        "op9_near_duplicates": op9_near_duplicates,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_mix": OP2_SQL, "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL}
