@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, mixing, near_duplicates, tokens
+from codeloom.llm import decontamination, mixing, near_duplicates, repeats, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,6 +22,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the strings of 200 bytes that occur more than once."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return repeats.without_repeats(docs, length=200).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op2_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the words that the mix takes of each."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
@@ -161,6 +169,7 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeats": op1_repeats,
         "op2_mix": op2_mix,
         "op7_token_ids": op7_token_ids,
         "op9_near_duplicates": op9_near_duplicates,
