@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, mixing, near_duplicates, repeats, tokens
+from codeloom.llm import decontamination, fingerprints, mixing, near_duplicates, repeats, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -86,6 +86,27 @@ def op7_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.read_ids(shards)
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts, and how alike they are."""
+    rows = fingerprints.texts(table(spark, folder, "documents"))
+    pairs = fingerprints.with_next(rows, "doc_id", ["fingerprint", "text"], fingerprints.fingerprints)
+    length = F.char_length("text")
+    changed = F.floor(length / 3).cast("int")
+    edited = F.concat(
+        F.substring("text", F.lit(1), length - changed), F.substring("next_text", F.lit(1), changed)
+    )
+    done = pairs.withColumn("edited", edited).withColumn("edited_fingerprint", fingerprints.fingerprint("edited"))
+    return done.select(
+        "doc_id",
+        length.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose three-word shingles are 85 % alike."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -172,6 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_repeats": op1_repeats,
         "op2_mix": op2_mix,
         "op7_token_ids": op7_token_ids,
+        "op8_fingerprints": op8_fingerprints,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_decontaminate": op10_decontaminate,
     }
