@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, fingerprints, mixing, near_duplicates, repeats, tokens
+from codeloom.llm import decontamination, fingerprints, mixing, near_duplicates, repeats, token_counts, tokens, url_lists
 
 TOKENIZER = "byte_bpe_50k.json"
+VOCABULARY = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,6 +81,73 @@ FROM places
 """
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each document under a unigram vocabulary."""
+    return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path(VOCABULARY))
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Each capture against the list entries of the day it was fetched.
+
+    The pages have neither dates nor a list, so both are derived from them: a
+    page's number gives its day, and each page gives a dated entry for its host,
+    its domain or its first path.
+    """
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    start = F.lit("2024-01-01").cast("date")
+    captures = pages.select("page_id", "url", F.date_add(start, F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")).alias("fetched"))
+    name, number = url_lists.host(F.col("url")), F.col("page_id")
+    pattern = (
+        F.when(name == "", None)
+        .when(F.pmod(number, F.lit(4)) == 0, F.regexp_extract(name, r"([^.]+\.[^.]+)$", 1))
+        .when(F.pmod(number, F.lit(4)) == 1, F.concat_ws("/", name, F.get(url_lists.segments(F.col("url")), F.lit(0))))
+        .otherwise(name)
+    )
+    rules = F.array(F.lit(url_lists.BLOCK), F.lit(url_lists.ALLOW), F.lit(url_lists.END))
+    entries = pages.select(
+        number.alias("entry_id"), F.nullif(pattern, F.lit("")).alias("pattern"),
+        F.get(rules, F.pmod(F.floor(number / 4), F.lit(3)).cast("int")).alias("rule"),
+        F.date_add(start, F.pmod(number * 53, F.lit(360)).cast("int")).alias("day"),
+    )
+    judged = url_lists.judge(captures, entries)
+    return judged.withColumn("blocked", F.coalesce(F.col("rule") == url_lists.BLOCK, F.lit(False)))
+
+
+OP6_SQL = """
+WITH parsed AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS fetched,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'),
+                     lambda s: s <> '') AS parts
+  FROM pages),
+entries AS (
+  SELECT page_id AS entry_id, ['block', 'allow', 'end'][(page_id // 4) % 3 + 1] AS rule,
+         DATE '2024-01-01' + CAST(page_id * 53 % 360 AS INTEGER) AS day,
+         nullif(CASE WHEN host = '' THEN NULL
+              WHEN page_id % 4 = 0 THEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1)
+              WHEN page_id % 4 = 1 THEN concat_ws('/', host, parts[1]) ELSE host END, '') AS pattern
+  FROM parsed),
+daily AS (
+  SELECT pattern, day, arg_max(rule, entry_id) AS rule FROM entries WHERE pattern IS NOT NULL GROUP BY ALL),
+held AS (
+  SELECT pattern, rule, day AS valid_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS valid_to FROM daily),
+captures AS (
+  SELECT page_id, url, fetched, host, parts, string_split(host, '.') AS labels FROM parsed),
+keys AS (
+  SELECT page_id, fetched, unnest(list_concat(
+           list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: array_to_string(labels[i:], '.')),
+           list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS pattern
+  FROM captures WHERE host <> ''),
+found AS (
+  SELECT k.page_id, h.* FROM keys k JOIN held h ON k.pattern = h.pattern AND h.rule <> 'end'
+   AND h.valid_from <= k.fetched AND (h.valid_to IS NULL OR k.fetched < h.valid_to)),
+best AS (SELECT page_id, arg_max(found, len(pattern)) AS entry FROM found GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched, entry.pattern AS pattern, entry.rule AS rule, entry.valid_from AS valid_from,
+       entry.valid_to AS valid_to, coalesce(entry.rule = 'block', false) AS blocked
+FROM captures c LEFT JOIN best USING (page_id)
+"""
+
+
 def op7_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids written as directly addressable codes and read back."""
     shards = tokens.write_ids(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
@@ -192,6 +260,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeats": op1_repeats,
         "op2_mix": op2_mix,
+        "op5_token_counts": op5_token_counts,
+        "op6_url_filter": op6_url_filter,
         "op7_token_ids": op7_token_ids,
         "op8_fingerprints": op8_fingerprints,
         "op9_near_duplicates": op9_near_duplicates,
@@ -200,4 +270,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2_SQL, "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL}
