@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, fingerprints, mixing, near_duplicates, repeats, token_counts, tokens, url_lists
+from codeloom.llm import decontamination, fingerprints, mixing, near_duplicates, quality, repeats, token_counts, tokens, url_lists
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = "piece_bpe_32k.model"
@@ -81,6 +81,12 @@ FROM places
 """
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores from weak labels."""
+    found = quality.quality(table(spark, folder, "documents"))
+    return found.select("doc_id", "votes", "weak_label", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of each document under a unigram vocabulary."""
     return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path(VOCABULARY))
@@ -260,6 +266,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeats": op1_repeats,
         "op2_mix": op2_mix,
+        "op4_quality": op4_quality,
         "op5_token_counts": op5_token_counts,
         "op6_url_filter": op6_url_filter,
         "op7_token_ids": op7_token_ids,

@@ -7,13 +7,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontamination, mixing, tokens
+from codeloom.llm import decontamination, mixing, near_duplicates, quality, tokens
 from codeloom.llm.queries import table, tokenizer_path
 from codeloom.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.good_only(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_duplicates.without_near_duplicates(docs, words=5, percent=80)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark go; a document of nothing else goes."""
     return decontamination.without_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -30,6 +40,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", classified),
+    ("near-duplicates", distinct),
     ("benchmark decontamination", decontaminated),
     ("mixing to target weights", mixed),
     ("token ids", token_ids),
