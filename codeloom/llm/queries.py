@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, fingerprints, mixing, near_duplicates, quality, repeats, token_counts, tokens, url_lists
+from codeloom.llm import decontamination, fingerprints, mixing, near_duplicates, quality, repeats, token_counts, tokens, toxicity, url_lists
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = "piece_bpe_32k.model"
@@ -81,6 +81,12 @@ FROM places
 """
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores, learned from the labels that are not held out."""
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    return toxicity.toxicity(table(spark, folder, "documents"), labels)
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality scores from weak labels."""
     found = quality.quality(table(spark, folder, "documents"))
@@ -266,6 +272,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeats": op1_repeats,
         "op2_mix": op2_mix,
+        "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
         "op5_token_counts": op5_token_counts,
         "op6_url_filter": op6_url_filter,
