@@ -22,8 +22,9 @@ WORDS = 5
 BINS = 128
 BITS = 8
 #: Rows of a range of the order in :func:`with_next`, and ranges at most.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 RANGES = 4096
+_BLOCK = 64
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -84,6 +85,19 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+def _bounds_from(bounds: list[int], key: Column) -> Column:
+    """How many of the descending ``bounds`` are at least ``key``: whole blocks first,
+    then one by one in the next block."""
+
+    def at_least(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b >= key))
+
+    every = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+    ends = F.array(*[F.lit(b) for b in bounds[_BLOCK - 1 :: _BLOCK]]).cast("array<bigint>")
+    before = at_least(ends) * _BLOCK
+    return before + at_least(F.slice(every, before + 1, F.lit(_BLOCK)))
+
+
 def with_next(rows: DataFrame, key: str, values: list[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``derive(rows)`` with ``next_<value>`` of the row after in descending ``key``;
     the last one's next is the first.
@@ -98,10 +112,9 @@ def with_next(rows: DataFrame, key: str, values: list[str], derive: Callable[[Da
     bounds = []
     if shares:
         found = rows.agg(F.percentile_approx(key, shares, 10 * RANGES)).first()[0]
-        bounds = sorted(set(found or []))
-    above = F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b >= F.col(key))
+        bounds = sorted(set(found or []), reverse=True)
     # Ranges in the order of the result: the largest keys first, null last.
-    place = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(F.size(above))
+    place = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(_bounds_from(bounds, F.col(key)))
     dealt = rows.withColumn("_range", place)
     order = [F.col(key).desc_nulls_last(), *[F.col(v) for v in values]]
     # At most RANGES + 1 rows.

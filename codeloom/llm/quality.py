@@ -125,8 +125,11 @@ class Texts:
         """Feature numbers and rows: of the bytes, then of the words."""
         kind = _KIND[self.data]
         code = kind.copy()
-        code[:-1] += kind[1:] * _CLASSES
-        code[:-2] += kind[2:] * _CLASSES**2
+        for ahead, unit in ((1, _CLASSES), (2, _CLASSES**2)):
+            # Past the end of its text a byte sees class 14.
+            later = np.full(len(kind), 14)
+            later[:-ahead] = np.where(self.row[ahead:] == self.row[:-ahead], kind[ahead:], 14)
+            code += later * unit
         trigram = _HASHED[code]
         relation = (
             self.same_as_before(1) + 2 * self.same_as_before(2) + 4 * self.same_as_before(3)

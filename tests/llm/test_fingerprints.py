@@ -80,6 +80,7 @@ def run_query(spark, tmp_path, rows):
 
 def test_query_against_brute_force(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    monkeypatch.setattr(fingerprints, "_BLOCK", 3)
     texts = [("wörd%d " % (k % 11)) * (k % 9) + "A b" * (k % 3) for k in range(60)] + [None, "", "y" * 5000]
     rows = [(3 * k - 40, t, None, "s", None) for k, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in run_query(spark, tmp_path, rows).collect()}

@@ -48,12 +48,12 @@ def test_against_brute_force(spark, monkeypatch, pieces):
     monkeypatch.setattr(repeats, "ANCHOR_PIECES", pieces)
     texts = fixture()
     rows = [(None if k == 7 else k, t, None, "x") for k, t in enumerate(texts)] + [(3, texts[3], "a", "b")] * 2
-    got = repeats.without_repeats(spark.createDataFrame(rows, SCHEMA), length=24)
+    got = repeats.without_repeats(spark.createDataFrame(rows, SCHEMA), length=40)
     found = sorted(
         (-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"])
         for r in got.collect()
     )
-    wanted = brute([(r[1] or "").encode() for r in rows], 24)
+    wanted = brute([(r[1] or "").encode() for r in rows], 40)
     assert found == sorted((-1 if r[0] is None else r[0], *w) for r, w in zip(rows, wanted, strict=True))
 
 
@@ -66,7 +66,7 @@ def test_spans_and_kept_bytes(spark):
 
 
 def test_empty_table(spark):
-    assert repeats.without_repeats(spark.createDataFrame([], SCHEMA), length=24).count() == 0
+    assert repeats.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_long_text_is_cut_with_overlap(monkeypatch):
@@ -74,13 +74,13 @@ def test_long_text_is_cut_with_overlap(monkeypatch):
     import pyarrow as pa
 
     text = noise(8, 9000)
-    parts = list(repeats._segments(pa.array([text]), 24))
+    parts = list(repeats._segments(pa.array([text]), 40))
     size = len(text.encode())
     windows = sorted(
         at + s + k for _, at, data, offsets in parts
-        for s, n in zip(*repeats.pieces(data, offsets, 24)[1:3], strict=True) for k in range(n)
+        for s, n in zip(*repeats.pieces(data, offsets, 40)[1:3], strict=True) for k in range(n)
     )
-    assert len(parts) > 5 and windows == list(range(size - 23))
+    assert len(parts) > 5 and windows == list(range(size - 39))
 
 
 def test_classes_by_backward_extension():
