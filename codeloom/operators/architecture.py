@@ -21,7 +21,7 @@ from codeloom.functions.text import (
     found,
 )
 from codeloom.sources.corpus import analysed_files, language_files, scan_condition
-from codeloom.sources.manifests import package_json, package_names
+from codeloom.sources.manifests import package_json
 
 _PATH = "path"
 
@@ -64,7 +64,7 @@ def _first_present(names: Column, table: tuple[tuple[str, tuple[str, ...]], ...]
 
 def js_stack(files: DataFrame) -> DataFrame:
     """Framework, test framework and build tool named in the root package.json."""
-    names = package_names(F.col("manifest"), rules.JS_STACK_SECTIONS)
+    names = F.col("stack")
     return package_json(files).select(
         "repo_id",
         _first_present(names, rules.JS_FRAMEWORKS).alias("framework"),

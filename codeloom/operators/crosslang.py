@@ -29,9 +29,8 @@ from codeloom.functions.text import (
 from codeloom.session import cut_lineage
 from codeloom.sources.corpus import discovered_files
 
-_NAME_LIMIT = 255  # longest file name of the usual file systems, in bytes
-_TAIL = 4
-_SALTS = 16
+_TAIL = 4  # characters before the suffix that make the key of a name
+_NAME_PARTS = 64  # parts into which the names of one key are dealt
 
 
 def _text() -> Column:
@@ -109,33 +108,16 @@ def _queues() -> Column:
 
 
 def _name_ends() -> Column:
-    """The text up to each place where a configuration suffix ends, as far back
-    as a file name can reach: to the last ``/``, at most 255 characters."""
+    """The distinct ends of possible configuration names: each suffix that occurs,
+    with up to ``_TAIL`` characters before it.  A dozen characters each."""
     suffix = "|".join(s.replace(".", r"\.") for s in rules.CONFIG_SUFFIXES)
-
-    def tails(suffixes: Column) -> Column:
-        before = F.slice(F.split(_text(), suffix, -1), 1, F.size(suffixes))
-        return F.zip_with(
-            before, suffixes, lambda b, s: F.right(F.concat(b, s), F.lit(_NAME_LIMIT))
-        )
-
-    def joined(tails: Column) -> Column:
-        # A piece ends in a suffix of four characters or more, so 64 of them
-        # hold 255 characters.  Most are long enough alone.
-        def upto(tail: Column, place: Column) -> Column:
-            before = F.slice(
-                tails, F.greatest(place - 62, F.lit(1)), F.least(place + 1, F.lit(64))
-            )
-            whole = F.when(
-                (F.char_length(tail) >= _NAME_LIMIT) | tail.contains("/"), tail
-            ).otherwise(F.right(F.array_join(before, ""), F.lit(_NAME_LIMIT)))
-            return F.substring_index(whole, "/", -1)
-
-        return F.array_distinct(F.transform(tails, upto))
-
-    ends = let(let(F.regexp_extract_all(_text(), F.lit(f"({suffix})")), tails), joined)
+    place = f"(?s)(?<=(.{{{_TAIL}}}|^.{{0,{_TAIL - 1}}}))({suffix})"
+    ends = F.zip_with(
+        F.regexp_extract_all(_text(), F.lit(place), 1), F.regexp_extract_all(_text(), F.lit(place), 2),
+        lambda before, suffix: F.concat(before, suffix),
+    )
     none = F.array().cast("array<string>")
-    return F.when(contains_any(_text(), rules.CONFIG_SUFFIXES), ends).otherwise(none)
+    return F.when(contains_any(_text(), rules.CONFIG_SUFFIXES), F.array_distinct(ends)).otherwise(none)
 
 
 _SCANS = {
@@ -220,11 +202,6 @@ def _suffix_of(text: Column) -> Column:
     return chosen
 
 
-def _stem_length(column: str) -> Column:
-    """Characters before the suffix."""
-    return F.char_length(column) - F.char_length(_suffix_of(F.col(column)))
-
-
 def _tail(text: Column, stem_part: int) -> Column:
     """The suffix and up to ``stem_part`` characters before it."""
     return F.right(text, F.char_length(_suffix_of(text)) + stem_part)
@@ -234,48 +211,42 @@ def shared_resources(files: DataFrame, scanned: DataFrame) -> DataFrame:
     """Configuration files whose name occurs in sources of two languages or more.
 
     Rows ``repo_id, resource_path, language``.  "The name is a substring of the
-    text" is a theta join.  Here it is a chain of equi-joins with the same
-    result, because a name ends in a known suffix:
-
-    1. Cut the text at each suffix; the name must be the end of a cut.
-    2. Names with fewer than four characters before the suffix are tried as they
-       are: the last characters of a cut.
-    3. For longer names, the suffix and the four characters before it are a key
-       that gives the *lengths* of the names to try, at most 255 numbers; the
-       last ``length`` characters of the cut are then joined with the names.
-
-    Nothing grows with (files x names).  Equal rows are merged before each
-    shuffle, and the key join is salted: one ending such as ``config.json`` may
-    make up much of a corpus.
+    text" is a theta join.  A name ends in a known suffix, so:
+
+    1. The key of a name is its suffix and up to four characters before it.  The
+       keys of a text are the ends that the scan found in it, each also cut to
+       fewer characters, as a name may be shorter.
+    2. Keys of texts and names are joined by repository.  What is left is a file
+       with the names, of any length, that it may hold.
+    3. These files' texts are read again and searched for the names, dealt in
+       parts, so that no row grows with the number of names of a repository.
+
+    Only keys, names and the texts of files with a known key are moved.
     """
     suffixes = rules.CONFIG_SUFFIXES
     configs = files.filter(ends_with_any(F.col("path"), suffixes)).select(
         "repo_id", F.col("path").alias("resource_path"), basename(F.col("path")).alias("name")
     )
-    lengths = (
-        configs.filter(_stem_length("name") >= _TAIL)
-        .select(
-            "repo_id", _tail(F.col("name"), _TAIL).alias("key"), F.char_length("name").alias("length")
-        )
-        .groupBy("repo_id", "key")
-        .agg(F.collect_set("length").alias("lengths"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    named = configs.select("repo_id", "name").distinct()
+    part = F.pmod(F.xxhash64("name"), F.lit(_NAME_PARTS)).alias("part")
+    names = (
+        named.select("repo_id", _tail(F.col("name"), _TAIL).alias("key"), "name", part)
+        .groupBy("repo_id", "key", "part").agg(F.collect_list("name").alias("names"))
+    )
+    ends = unnest(scanned, ["repo_id", "path", "language"], "name_ends", "end")
+    shorter = F.array_distinct(F.array(*[_tail(F.col("end"), n) for n in range(_TAIL + 1)]))
+    keys = unnest(ends, ["repo_id", "path", "language"], shorter, "key").distinct()
+    tried = keys.join(names, ["repo_id", "key"]).select("repo_id", "path", "language", "part", "names")
+    per_file = tried.groupBy("repo_id", "path", "language", "part").agg(
+        F.array_distinct(F.flatten(F.collect_list("names"))).alias("names")
     )
-    cuts = unnest(scanned, ["repo_id", "language"], "name_ends", "cut")
-    tails = F.array(*[_tail(F.col("cut"), n) for n in range(_TAIL)])
-    short = unnest(cuts, ["repo_id", "language"], tails, "name")
-    long = (
-        cuts.filter(_stem_length("cut") >= _TAIL)
-        .distinct()
-        .withColumn("key", _tail(F.col("cut"), _TAIL))
-        .withColumn("salt", F.pmod(F.hash("cut"), F.lit(_SALTS)))
-        .join(lengths, ["repo_id", "key", "salt"])
-        .select("repo_id", "language", "cut", F.explode("lengths").alias("length"))
-        .filter(F.char_length("cut") >= F.col("length"))
-        .select("repo_id", "language", F.right("cut", F.col("length")).alias("name"))
+    texts = discovered_files(files).select("repo_id", "path", "content")
+    held = F.filter("names", lambda n: F.contains(F.col("content"), n))
+    searched = per_file.join(texts, ["repo_id", "path"]).select("repo_id", "language", held.alias("found"))
+    by_name = (
+        unnest(searched, ["repo_id", "language"], "found", "name").distinct()
+        .groupBy("repo_id", "name").agg(F.collect_set("language").alias("languages"))
     )
-    tried = short.unionByName(long).distinct()
-    by_name = tried.groupBy("repo_id", "name").agg(F.collect_set("language").alias("languages"))
     return (
         configs.join(by_name.filter(F.size("languages") > 1), ["repo_id", "name"])
         .select("repo_id", "resource_path", F.explode("languages").alias("language"))

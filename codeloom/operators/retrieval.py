@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,79 +12,76 @@ from pyspark.sql import types as T
 
 from codeloom import rules
 
-QUERY_BATCH = 2_000
+#: Rows of a block of queries and of a block of the corpus.
+QUERY_ROWS, CORPUS_ROWS = 512, 4_096
 _HIT_SCHEMA = "query_id long, id long, distance double"
 
 
-def top_k(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    filtered: bool = False,
-    batch: int = QUERY_BATCH,
-) -> DataFrame:
-    """The ``k`` nearest corpus rows of each query by squared L2 distance.
+def _blocks(rows: DataFrame, key: str, size: int, *by: str) -> DataFrame:
+    """``block`` for each row: about ``size`` rows of one value of ``by`` in each."""
+    counts = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+    # Without ``by`` the counts are one row.
+    dealt = rows.join(counts, list(by)) if by else rows.crossJoin(F.broadcast(counts))
+    return dealt.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks"))).drop("blocks")
 
-    ``queries``: ``query_id, embedding`` (and ``repository_id`` if ``filtered``);
-    ``corpus``: ``id, embedding`` (and ``repository_id``).  Ties go to the lower
-    id.  Exact: each task compares its rows with all queries as matrices and
-    keeps k per query, so the shuffle holds tasks x queries x k rows and never
-    the pairs.
 
-    Queries travel with the task, so they are taken in batches of at most about
-    ``batch`` rows, each over the whole corpus; their number is counted first.
-    """
-    columns = ["query_id", "embedding"] + (["repository_id"] if filtered else [])
-    wanted = queries.select(*columns)
-    total = wanted.count()
-    parts = max(1, -(-total // batch))
-    hits = None
-    for part in range(parts):
-        chosen = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        found = _nearest(chosen.toPandas(), corpus.select("id", *columns[1:]), k, filtered)
-        hits = found if hits is None else hits.unionByName(found)
-    best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def _packed(rows: DataFrame, key: str, name: str, *by: str) -> DataFrame:
+    """One row for each block, with arrays of keys and vectors."""
+    return rows.groupBy(*by, "block").agg(
+        F.collect_list(F.struct(F.col(key).alias("key"), F.col("embedding"))).alias(name)
+    ).drop("block")
 
 
-def _slices(frame: pd.DataFrame, size: int = 2_000) -> Iterator[pd.DataFrame]:
-    """Parts of a batch, so that the matrix of distances stays small."""
-    for start in range(0, len(frame), size):
-        yield frame.iloc[start : start + size]
+def nearest(points: np.ndarray, rows: np.ndarray, names: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each point the names and squared distances of the k nearest rows.
 
+    The matrix form chooses candidates with a margin for its rounding; these are
+    ranked by the sum of squared differences, unrounded, ties by name.
+    """
+    square, others = (points**2).sum(axis=1), (rows**2).sum(axis=1)
+    rough = square[:, None] - 2.0 * points @ rows.T + others[None, :]
+    margin = 1e-12 * points.shape[1] * (square + others.max(initial=0.0)) + 1e-300
+    found = []
+    for q, row in enumerate(rough):
+        limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+        near = np.flatnonzero(row <= limit + 2 * margin[q])
+        exact = ((rows[near] - points[q]) ** 2).sum(axis=1)
+        best = np.lexsort((names[near], exact))[:k]
+        found.append((names[near][best], exact[best]))
+    return found
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, filtered: bool = False) -> DataFrame:
+    """The ``k`` nearest corpus rows of each query by squared L2 distance.
 
-def _nearest(queries: pd.DataFrame, corpus: DataFrame, k: int, filtered: bool) -> DataFrame:
-    ids = queries["query_id"].to_numpy()
-    if not len(ids):
-        return corpus.sparkSession.createDataFrame([], _HIT_SCHEMA)
-    points = np.stack([np.asarray(e, dtype=np.float64) for e in queries["embedding"]])
-    groups = queries["repository_id"].to_numpy() if filtered else None
-    square = (points**2).sum(axis=1)
+    ``queries``: ``query_id, embedding`` (and ``repository_id`` if ``filtered``);
+    ``corpus``: ``id, embedding`` (and ``repository_id``).  Ties go to the lower
+    id.  Exact, and one lazy plan: blocks of queries meet blocks of the corpus (of
+    the same repository, if filtered) and give k rows per query, so the shuffle
+    holds blocks x queries x k rows and never the pairs.  A hot repository is
+    many blocks.
+    """
+    by = ["repository_id"] if filtered else []
+    asked = _packed(_blocks(queries.select("query_id", "embedding", *by), "query_id", QUERY_ROWS, *by), "query_id", "q", *by)
+    kept = _packed(_blocks(corpus.select("id", "embedding", *by), "id", CORPUS_ROWS, *by), "id", "c", *by)
+    # A stated set of queries against all rows, in blocks.
+    pairs = (asked.join(kept, by) if by else asked.crossJoin(kept)).select("q", "c")
 
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Per query the k best rows so far, as a heap of (-distance, -id).
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for frame in (part for batch in batches for part in _slices(batch)):
-            rows = np.stack([np.asarray(e, dtype=np.float64) for e in frame["embedding"]])
-            names = frame["id"].to_numpy()
-            distances = square[:, None] - 2.0 * points @ rows.T + (rows**2).sum(axis=1)[None, :]
-            # Rounding must not order equal rows differently from task to task.
-            distances = np.round(np.maximum(distances, 0.0), 9)
-            if groups is not None:
-                other = groups[:, None] != frame["repository_id"].to_numpy()[None, :]
-                distances[other] = np.inf
-            for q, row in enumerate(distances):
-                limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                for at in np.flatnonzero((row <= limit) & np.isfinite(row)):
-                    item = (-float(row[at]), -int(names[at]))
-                    if len(best[q]) < k:
-                        heapq.heappush(best[q], item)
-                    else:
-                        heapq.heappushpop(best[q], item)
-        found = [(ids[q], -i, -d) for q, heap in enumerate(best) for d, i in heap]
-        yield pd.DataFrame(found, columns=["query_id", "id", "distance"])
-
-    return corpus.mapInPandas(search, _HIT_SCHEMA)
+        for batch in batches:
+            for q, c in zip(batch["q"], batch["c"], strict=True):
+                points, rows = (np.array([x["embedding"] for x in side], dtype=np.float64) for side in (q, c))
+                names = np.array([x["key"] for x in c])
+                found = nearest(points, rows, names, k)
+                yield pd.DataFrame({
+                    "query_id": np.repeat([x["key"] for x in q], [len(ids) for ids, _ in found]),
+                    "id": np.concatenate([ids for ids, _ in found]),
+                    "distance": np.concatenate([far for _, far in found]),
+                })
+
+    hits = pairs.repartition(F.xxhash64(F.col("q")[0]["key"], F.col("c")[0]["key"])).mapInPandas(search, _HIT_SCHEMA)
+    best = Window.partitionBy("query_id").orderBy("distance", "id")
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def context(hits: DataFrame, documents: DataFrame) -> DataFrame:
@@ -94,7 +90,10 @@ def context(hits: DataFrame, documents: DataFrame) -> DataFrame:
     ``hits``: ``query_id, collection, id, rank`` where collection 0 comes before
     1; a query has a handful of hits, so each list is small.
     """
-    texts = hits.join(documents.select("collection", "id", "text"), ["collection", "id"])
+    # Only texts that were hit are shuffled.
+    keys = ["collection", "id"]
+    wanted = documents.select(*keys, "text").join(hits.select(*keys).distinct(), keys, "left_semi")
+    texts = hits.join(wanted, keys)
     in_order = F.sort_array(F.collect_list(F.struct("collection", "rank", "text")))
     return texts.groupBy("query_id").agg(
         F.concat_ws("\n\n", F.transform(in_order, lambda h: h["text"])).alias("context")

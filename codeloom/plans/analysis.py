@@ -110,15 +110,20 @@ def analyse(files: DataFrame, language: str, analysis_types: Iterable[str]) -> d
 
 
 def cross_language(files: DataFrame) -> Tables:
-    """All tables of the cross-language analysis; the text is read once."""
+    """All tables of the cross-language analysis, for repositories of two languages or more."""
     extracts = crosslang.Extracts(files)
     edges, counts = extracts.edges(), extracts.counts()
+    several = extracts.multi_language()
+
+    def of_several(table: DataFrame) -> DataFrame:
+        return table.join(several, "repo_id", "left_semi")
+
     return {
         "report": crosslang.polyglot_report(extracts),
         "dependencies": crosslang.polyglot_rows(extracts),
-        "http_apis": crosslang.http_apis(extracts.scanned),
-        "message_queues": crosslang.mq_usage(extracts.scanned),
-        "build_dependencies": crosslang.build_deps(files, extracts.present),
+        "http_apis": of_several(crosslang.http_apis(extracts.scanned)),
+        "message_queues": of_several(crosslang.mq_usage(extracts.scanned)),
+        "build_dependencies": of_several(crosslang.build_deps(files, extracts.present)),
         "edges": edges,
         "metrics": crosslang.graph_metrics(edges),
         "hotspots": crosslang.hotspots(edges),

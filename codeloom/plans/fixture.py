@@ -109,8 +109,15 @@ _MANIFESTS = (
         ("s % 5 = 0", "{\"name\": \"repo~r~\", \"dependencies\": {\"react\": \"^18\", \"dep~s~\": \"1\"}, \"devDependencies\": {\"jest\": \"1\", \"vite\": \"2\"}, \"peerDependencies\": {\"peer~r~\": \"1\", \"react\": \"*\"}}"),
         ("s % 5 = 1", "{\"dependencies\": {\"express\": \"4\", \"dep~s~\": \"1\"}, \"devDependencies\": {\"mocha\": \"1\", \"rollup\": \"2\", \"webpack\": \"5\"}}"),
         ("s % 5 = 2", "{\"devDependencies\": {\"@angular/core\": \"17\", \"cypress\": \"9\"}, \"peerDependencies\": {\"vue\": \"3\"}}"),
-        ("s % 5 = 3", "{\"name\": \"bare~r~\", \"dependencies\": {}}"),
-        ("s % 5 = 4", "{\"dependencies\": {\"broken\": "),
+        ("s % 10 = 3", "{\"name\": \"bare~r~\", \"dependencies\": {}}"),
+        # Not valid, or with a section that is no object.
+        ("s % 10 = 8", "{\"dependencies\": {\"react\": \"1\"}, \"devDependencies\": null, \"peerDependencies\": {\"never~s~\": \"1\"}}"),
+        ("s % 30 = 4", "{\"dependencies\": {\"broken\": "),
+        ("s % 30 = 9", "{~q~dependencies~q~: {~q~single~s~~q~: ~q~1~q~}}"),
+        ("s % 30 = 14", "{\"dependencies\": {\"trailing~s~\": \"1\"}} x"),
+        ("s % 30 = 19", "{\"dependencies\": {\"first~s~\": \"1\"}, \"devDependencies\": {\"cut~s~\": \"1\""),
+        ("s % 30 = 24", "{\"dependencies\": [\"listed~s~\"], \"devDependencies\": {\"late~s~\": \"1\"}}"),
+        ("s % 30 = 29", "[{\"dependencies\": {\"inner~s~\": \"1\"}}]"),
     )),
     ("src/App~k~.csproj", (
         ("s % 4 <> 0", "<Project Sdk=\"Microsoft.NET.Sdk\">~n~  <ItemGroup>~n~    <PackageReference Include=\"Serilog\" Version=\"2\" />~n~    <PackageReference Include=\"Pkg~s~\" Version=\"1\" />~n~  </ItemGroup>~n~</Project>~n~"),

@@ -45,7 +45,7 @@ def as_source(derived: DataFrame) -> DataFrame:
     return derived.select(F.inline(F.array(row)))
 
 
-FILES_SCHEMA = "repo_id long, path string, content string, is_utf8 boolean"
+FILES_SCHEMA = "repo_id long, path string, content string, is_utf8 boolean, kind string"
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -85,9 +85,9 @@ class Inputs:
             if shared is None:
                 return as_source(derived)
             target = f"{shared}/corpus-{name}-{uuid.uuid4().hex}"
-            # Spread by path: a file of the table then holds a bit of everything,
-            # whatever the number of input files or the size of a repository.
-            derived.repartition("repo_id", "path").write.parquet(target)
+            # Spread by path, whatever the number of input files or the size of a
+            # repository; one partition for each kind of file.
+            derived.repartition("repo_id", "path").write.partitionBy("kind").parquet(target)
             _STORED[key] = target
         return spark.read.schema(FILES_SCHEMA).parquet(_STORED[key])
 

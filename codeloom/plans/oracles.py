@@ -222,12 +222,23 @@ _IMPORTS = "edges AS MATERIALIZED (" + "\nUNION ALL\n".join([
 
 # ------------------------------------------------------------------ manifests
 
+def _npm_fine(section: str) -> str:
+    """The section is absent or an object."""
+    return f"coalesce(json_type(doc, '$.{section}'), 'OBJECT') = 'OBJECT'"
+
+
+def _npm_keys(section: str, *before: str) -> str:
+    fine = " AND ".join(_npm_fine(s) for s in (*before, section))
+    return f"CASE WHEN {fine} THEN coalesce(json_keys(doc, '$.{section}'), []) ELSE [] END"
+
+
 _NPM_KEYS = "flatten([" + ", ".join(
-    f"coalesce(json_keys(doc, '$.{s}'), [])" for s in rules.NPM_SECTIONS
+    _npm_keys(s, *rules.NPM_SECTIONS[:k]) for k, s in enumerate(rules.NPM_SECTIONS)
 ) + "])"
 _NPM_DOC = """npm AS (
-  SELECT repo_id, path, CASE WHEN json_valid(content) THEN CAST(content AS JSON) ELSE CAST('{}' AS JSON) END AS doc
-  FROM files WHERE path = 'package.json')"""
+  SELECT repo_id, path, CASE WHEN json_type(parsed) = 'OBJECT' THEN parsed ELSE CAST('{}' AS JSON) END AS doc
+  FROM (SELECT repo_id, path, CASE WHEN json_valid(content) THEN CAST(content AS JSON) ELSE CAST('{}' AS JSON) END AS parsed
+        FROM files WHERE path = 'package.json') tested)"""
 _NPM = f"SELECT DISTINCT repo_id, 'javascript' AS language, path AS manifest, unnest({_NPM_KEYS}) AS package FROM npm"
 # All references of the corpus are written plainly, so the pattern finds them in
 # well-formed files too; the malformed one with more blanks also matches it.
@@ -358,9 +369,9 @@ def _first_label(table, keys: str) -> str:
     ) + " END"
 
 
-_STACK_KEYS = "flatten([" + ", ".join(
+_STACK_KEYS = "CASE WHEN " + " AND ".join(_npm_fine(s) for s in rules.JS_STACK_SECTIONS) + " THEN flatten([" + ", ".join(
     f"coalesce(json_keys(doc, '$.{s}'), [])" for s in rules.JS_STACK_SECTIONS
-) + "])"
+) + "]) ELSE [] END"
 
 
 def _java_features() -> str:
@@ -522,8 +533,8 @@ def _topk(k: int, where: str = "true", name: str = "hits") -> str:
     return f"""{name} AS MATERIALIZED (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
     SELECT q.vec_id AS query_id, c.vec_id AS id,
-      round(list_sum(list_transform(list_zip(q.embedding, c.embedding),
-            lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 9) AS distance
+      list_sum(list_transform(list_zip(q.embedding, c.embedding),
+            lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance
     FROM (SELECT e.* FROM embeddings e JOIN benchmark b ON b.item_id = e.vec_id) q, embeddings c
     WHERE {where}) d) ranked WHERE rank <= {k})"""
 

@@ -1,7 +1,7 @@
 """The ``files`` table: one row per file of a repository.
 
 Columns: ``repo_id``, ``path`` (relative to the repository root, ``/`` between
-parts), ``content`` (text with ``\\n`` line ends) and ``is_utf8``.
+parts), ``content`` (text with ``\\n`` line ends), ``is_utf8`` and ``kind``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,36 @@ from codeloom import rules
 from codeloom.functions.text import basename, dirname, ends_with_any, unix_newlines
 
 TREE_SCHEMA = "repo_id long, path string, bytes binary"
+MANIFEST, CONFIGURATION, DATA, OTHER = "manifest", "configuration", "data", "other"
+#: Manifests by exact name and by suffix.
+MANIFEST_NAMES = ("package.json", "pom.xml", "build.gradle", "go.mod")
+MANIFEST_SUFFIXES = (".csproj", ".sln")
+
+
+def kind_of(path: Column) -> Column:
+    """What an analysis could want a file for, by its name alone.
+
+    A language (an analysed one first), else ``manifest``, ``configuration``,
+    ``data`` or ``other``.  A corpus is stored in one partition for each kind, so
+    that an analysis of one language reads no other text.
+    """
+    name = basename(path)
+    branches = [(ends_with_any(path, suffixes), lang) for lang, (suffixes, _) in rules.LANGUAGE_SCANS.items()]
+    branches += [(ends_with_any(path, suffixes), lang) for lang, suffixes in rules.DISCOVERY_SUFFIXES.items()]
+    branches += [
+        (name.isin(*MANIFEST_NAMES) | ends_with_any(path, MANIFEST_SUFFIXES), MANIFEST),
+        (ends_with_any(name, rules.CONFIG_SUFFIXES), CONFIGURATION),
+        (ends_with_any(name, rules.DATA_SUFFIXES), DATA),
+    ]
+    kind = F.lit(OTHER)
+    for test, label in reversed(branches):
+        kind = F.when(test, label).otherwise(kind)
+    return kind
+
+
+def of_kinds(files: DataFrame, *kinds: str) -> DataFrame:
+    """The files of some kinds, without that column; a table without it is left as it is."""
+    return files.filter(F.col("kind").isin(*kinds)).drop("kind") if "kind" in files.columns else files
 
 
 def from_text(files: DataFrame) -> DataFrame:
@@ -26,6 +56,7 @@ def from_text(files: DataFrame) -> DataFrame:
         "path",
         unix_newlines(F.col("content")).alias("content"),
         F.lit(True).alias("is_utf8"),
+        kind_of(F.col("path")).alias("kind"),
     )
 
 
@@ -39,7 +70,8 @@ def from_bytes(files: DataFrame) -> DataFrame:
     valid = F.is_valid_utf8(raw)
     text = F.when(valid, raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit("")))
     return files.select(
-        "repo_id", "path", unix_newlines(text).alias("content"), valid.alias("is_utf8")
+        "repo_id", "path", unix_newlines(text).alias("content"), valid.alias("is_utf8"),
+        kind_of(F.col("path")).alias("kind"),
     )
 
 
@@ -49,6 +81,7 @@ def read_trees(spark: SparkSession, roots: DataFrame) -> DataFrame:
     ``roots`` has ``repo_id, root``.  Names are listed first and spread over the
     cluster by path, so that one huge repository is read by many tasks.  Unlike
     the file sources of Spark this keeps names that start with ``_`` or ``.``.
+    Bytes are read of sources and manifests; of other files only names are known.
     """
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +94,16 @@ def read_trees(spark: SparkSession, roots: DataFrame) -> DataFrame:
                     if rows:
                         yield pd.DataFrame(rows, columns=["repo_id", "root", "path"], dtype=object)
 
+    wanted = tuple(
+        x for group in (
+            *(suffixes for suffixes, _ in rules.LANGUAGE_SCANS.values()), *rules.DISCOVERY_SUFFIXES.values(),
+            MANIFEST_NAMES, MANIFEST_SUFFIXES,
+        ) for x in group
+    )
+
     def content(name: str) -> bytes | None:
+        if not name.endswith(wanted):
+            return None  # no analysis reads its text
         try:
             with open(name, "rb") as handle:
                 return handle.read()
@@ -98,7 +140,7 @@ def language_files(files: DataFrame, language: str, readable_only: bool = True)
     keep = scan_condition(language)
     if readable_only:
         keep = keep & F.col("is_utf8")
-    return files.filter(keep).withColumn("language", F.lit(language))
+    return of_kinds(files, language).filter(keep).withColumn("language", F.lit(language))
 
 
 def analysed_files(files: DataFrame, *languages: str, readable_only: bool = True) -> DataFrame:
@@ -115,7 +157,7 @@ def analysed_files(files: DataFrame, *languages: str, readable_only: bool = True
         language = F.when(
             ends_with_any(F.col("path"), suffixes), F.when(_outside(skipped), F.lit(name))
         ).otherwise(language)
-    scanned = files.withColumn("language", language).filter(F.col("language").isNotNull())
+    scanned = of_kinds(files, *wanted).withColumn("language", language).filter(F.col("language").isNotNull())
     return scanned.filter("is_utf8") if readable_only else scanned
 
 
@@ -136,7 +178,8 @@ def discovered_files(files: DataFrame) -> DataFrame:
     for name, suffixes in reversed(rules.DISCOVERY_SUFFIXES.items()):
         language = F.when(ends_with_any(F.col("path"), suffixes), F.lit(name)).otherwise(language)
     return (
-        files.filter(_outside(rules.DISCOVERY_SKIP))
+        of_kinds(files, *rules.LANGUAGE_SCANS, *rules.DISCOVERY_SUFFIXES)
+        .filter(_outside(rules.DISCOVERY_SKIP))
         .withColumn("language", language)
         .filter(F.col("language").isNotNull())
     )

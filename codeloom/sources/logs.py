@@ -32,11 +32,15 @@ def build_errors(log_lines: DataFrame) -> DataFrame:
 
 
 def read_logs(spark, path: str) -> DataFrame:
-    """Logs stored as ``<path>/repo_id=<id>/tool=<name>/*.log``, one row per line."""
-    lines = spark.read.text(path).select(
-        F.col("repo_id").cast("long").alias("repo_id"),
-        "tool",
-        F.monotonically_increasing_id().alias("line_no"),
-        F.col("value").alias("line"),
-    )
-    return lines
+    """Logs stored as ``<path>/repo_id=<id>/tool=<name>/*.log``, one row per line.
+
+    ``line_no`` counts from 1 inside ``log_file``.  A log is read whole, as the
+    lines of a file say nothing of their place; builds write logs of megabytes.
+    """
+    logs = spark.read.text(path, wholetext=True)
+    text = F.regexp_replace("value", r"\r\n?", "\n")
+    lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
+    return logs.select(
+        F.col("repo_id").cast("long").alias("repo_id"), "tool", F.col("_metadata.file_path").alias("log_file"),
+        F.posexplode(lines).alias("place", "line"),
+    ).select("repo_id", "tool", "log_file", (F.col("place") + 1).cast("long").alias("line_no"), "line")

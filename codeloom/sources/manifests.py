@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import xml.etree.ElementTree as ElementTree
 from functools import reduce
 
@@ -13,33 +14,52 @@ from pyspark.sql import types as T
 from codeloom import rules
 from codeloom.functions.arrays import unnest
 from codeloom.functions.text import find_all
-from codeloom.session import cut_lineage
+from codeloom.sources.corpus import MANIFEST, of_kinds
 
-_TEXT_MAP = "map<string,string>"
+def _npm_names(text: str) -> dict[str, list[str]]:
+    """Package names of a ``package.json``, as its two readers see them.
 
-
-def package_json(files: DataFrame) -> DataFrame:
-    """Root ``package.json`` files that parse, with their sections as maps."""
-    schema = ", ".join(f"{s}: {_TEXT_MAP}" for s in rules.NPM_SECTIONS)
-    parsed = F.from_json("content", f"struct<{schema}>", {"mode": "PERMISSIVE"})
-    return (
-        files.filter((F.col("path") == "package.json") & F.col("is_utf8"))
-        # from_json gives a struct of nulls for text it cannot parse, which
-        # equals a manifest without packages.
-        .select("repo_id", "path", parsed.alias("manifest"))
-    )
+    Only a whole, valid JSON object counts.  The packages are the keys of the
+    sections in turn, up to the first section that is no object; the stack is
+    all sections or, if one is no object, nothing.
+    """
+    found: dict[str, list[str]] = {"packages": [], "stack": []}
+    try:
+        manifest = json.loads(text)
+    except (ValueError, RecursionError):
+        return found
+    if not isinstance(manifest, dict):
+        return found
+    for section in rules.NPM_SECTIONS:
+        entries = manifest.get(section, {})
+        if not isinstance(entries, dict):
+            break
+        found["packages"] += entries
+    stack = [manifest.get(section, {}) for section in rules.JS_STACK_SECTIONS]
+    if all(isinstance(entries, dict) for entries in stack):
+        found["stack"] = [name for entries in stack for name in entries]
+    return {reader: list(dict.fromkeys(names)) for reader, names in found.items()}
+
+
+# from_json is laxer than a JSON parser: it takes single quotes, text after the
+# object and objects that are cut off.
+@F.pandas_udf(
+    T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("packages", "stack")])
+)
+def _npm_manifest(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_npm_names(text or "") for text in texts], columns=["packages", "stack"])
 
 
-def package_names(manifest: Column, sections: tuple[str, ...]) -> Column:
-    empty = F.array().cast("array<string>")
-    return F.array_distinct(
-        F.concat(*[F.coalesce(F.map_keys(manifest[s]), empty) for s in sections])
+def package_json(files: DataFrame) -> DataFrame:
+    """``repo_id, path, packages, stack`` of the root ``package.json`` files."""
+    chosen = _manifest(files, F.col("path") == "package.json")
+    return chosen.select("repo_id", "path", _npm_manifest("content").alias("m")).select(
+        "repo_id", "path", "m.packages", "m.stack"
     )
 
 
 def npm_packages(files: DataFrame) -> DataFrame:
-    names = package_names(F.col("manifest"), rules.NPM_SECTIONS)
-    return _packages(package_json(files), "javascript", names)
+    return _packages(package_json(files), "javascript", F.col("packages"))
 
 
 def _tree(text: str) -> ElementTree.Element | None:
@@ -96,7 +116,7 @@ def _pom_dependencies(texts: pd.Series) -> pd.Series:
 
 
 def _manifest(files: DataFrame, where: Column) -> DataFrame:
-    return files.filter(where & F.col("is_utf8"))
+    return of_kinds(files, MANIFEST).filter(where & F.col("is_utf8"))
 
 
 def _packages(manifests: DataFrame, language: str, names: Column) -> DataFrame:
@@ -163,12 +183,10 @@ def go_modules(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def package_inventory(files: DataFrame) -> DataFrame:
-    """Distinct external packages per repository and language, all manifests."""
+    """Distinct external packages per repository and language, all manifests.
+
+    Each source reads the manifests only, which are a partition of a stored corpus.
+    """
     sources = (npm_packages, nuget_packages, maven_packages, gradle_packages, go_modules)
-    # One pass finds the manifests; their few rows are then read five times.
-    names = ("package.json", "pom.xml", "build.gradle", "go.mod")
-    path = F.col("path")
-    some = files.filter(path.isin(*names) | path.endswith(".csproj") | path.endswith(".sln"))
-    few = cut_lineage(some)
-    found = reduce(DataFrame.unionByName, [source(few) for source in sources])
+    found = reduce(DataFrame.unionByName, [source(files) for source in sources])
     return found.select("repo_id", "language", "package").distinct()

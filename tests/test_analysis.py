@@ -33,3 +33,14 @@ def test_request_end_to_end(spark, corpus, tmp_path):
     report = spark.read.parquet(str(tmp_path / "polyglot/cross_language/report")).first()
     assert report["languages"] == 5 and report["architecture_style"] == "microservices"
     assert spark.read.parquet(str(tmp_path / "python/security_analysis/findings")).count() == 1
+
+
+def test_one_language_has_no_cross_language_rows(spark, corpus):
+    files = corpus([
+        (1, "a.py", "@app.route('/x')\ndef f(): pass\n"), (1, "Dockerfile", "FROM x"),
+        (2, "a.py", "@app.route('/x')\ndef f(): pass\n"), (2, "b.go", "package b"), (2, "Dockerfile", "FROM x"),
+    ])
+    tables = analysis.cross_language(files)
+    for name in ("http_apis", "build_dependencies"):
+        assert {r["repo_id"] for r in tables[name].collect()} == {2}, name
+    assert {r["repo_id"] for r in tables["message_queues"].collect()} <= {2}

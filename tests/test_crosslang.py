@@ -142,3 +142,24 @@ def test_report_agrees_with_its_parts(corpus):
     assert row["recommendations"] == advice.count() == 7
     assert row["high_hotspots"] == 2 and row["hotspots"] == 2
     assert (row["coupling_level"], row["maintainability_score"]) == ("tight", 50)
+
+
+def test_names_of_any_length_are_found(spark, corpus):
+    long = "n" * 300 + ".json"
+    files = corpus({
+        f"conf/{long}": "{}", "a.py": f"open('{long}')", "b.go": f'Read("x/{long}")', "c.js": "n.json",
+        ".env": "", "d.py": "'.env'", "e.js": "'.env'", "x.ini": "", "f.py": "ax.ini", "g.go": "x.ini.env.json",
+    })
+    found = X.shared_resources(files, X.scan(files, "name_ends")).collect()
+    assert sorted((r["resource_path"], r["language"]) for r in found) == sorted(
+        [(f"conf/{long}", "python"), (f"conf/{long}", "go"), ("x.ini", "python"), ("x.ini", "go"),
+         (".env", "python"), (".env", "javascript"), (".env", "go")]
+    )
+
+
+def test_ends_are_smaller_than_the_text(spark, corpus):
+    from pyspark.sql import functions as F
+
+    text = "".join(f"res{i % 50}.json(x); cfg.config.initialize();\n" for i in range(1000))
+    row = X.scan(corpus({"a.js": text}), "name_ends").select(F.char_length(F.array_join("name_ends", ""))).first()
+    assert row[0] < len(text) / 20

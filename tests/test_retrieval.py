@@ -37,13 +37,32 @@ def matrices():
     return queries, corpus
 
 
-def test_top_k_with_ties_and_batches(spark):
+def test_top_k_with_ties_and_blocks(spark, monkeypatch):
     queries, corpus = matrices()
     expected = brute(queries, corpus, 5)
     left = vectors(spark, queries, "query_id")
     right = vectors(spark, corpus).repartition(7)
     assert ranked(R.top_k(left, right, 5)) == expected
-    assert ranked(R.top_k(left, right, 5, batch=2)) == expected
+    monkeypatch.setattr(R, "QUERY_ROWS", 2)
+    monkeypatch.setattr(R, "CORPUS_ROWS", 30)
+    assert ranked(R.top_k(left, right, 5)) == expected
+
+
+def test_near_ties_are_ranked_unrounded(spark):
+    """Far below the rounding of the matrix form around large vectors."""
+    for base in (0.0, 1000.0):
+        step = 2.0**-13 if base else 1e-5
+        corpus = np.array([[base + 2 * step, base], [base + step, base], [base, base + 3 * step]])
+        queries = np.array([[base, base]])
+        hits = R.top_k(vectors(spark, queries, "query_id"), vectors(spark, corpus), 2)
+        assert ranked(hits) == {0: [1, 0]}
+
+
+def test_search_collects_nothing_to_the_driver(spark):
+    queries, corpus = matrices()
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    R.top_k(vectors(spark, queries, "query_id"), vectors(spark, corpus), 5)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
 
 
 def test_top_k_inside_a_repository(spark):

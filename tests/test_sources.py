@@ -28,7 +28,8 @@ def test_trees_keep_hidden_names_and_bad_bytes(spark, tmp_path):
     }
     assert files["src/__init__.py"]["content"] == "x = 1\ny = 2\n"
     assert files["bad.go"]["content"] == "package main\n"
-    assert not files["bad.go"]["is_utf8"] and files[".env"]["is_utf8"]
+    assert not files["bad.go"]["is_utf8"] and files["src/_private.py"]["is_utf8"]
+    assert files[".env"]["content"] is None  # no analysis reads its text
     tree = C.read_trees(spark, roots)
     scanned = {r["path"] for r in C.analysed_files(tree).collect()}
     assert scanned == {"src/__init__.py", "src/_private.py"}
@@ -140,3 +141,61 @@ def test_log_folder(spark, tmp_path):
     (folder / "a.log").write_text("ok\nx error TS9\n")
     found = logs.build_errors(logs.read_logs(spark, str(tmp_path))).collect()
     assert [(r["repo_id"], r["tool"], r["message"]) for r in found] == [(3, "tsc", "x error TS9")]
+
+
+def test_log_line_numbers_count_inside_a_file(spark, tmp_path):
+    folder = tmp_path / "repo_id=3" / "tool=tsc"
+    folder.mkdir(parents=True)
+    (folder / "a.log").write_text("one\ntwo\n")
+    (folder / "b.log").write_bytes(b"three\r\n\r\nfour")
+    got = logs.read_logs(spark, str(tmp_path)).collect()
+    assert sorted((r["log_file"][-5:], r["line_no"], r["line"]) for r in got) == [
+        ("a.log", 1, "one"), ("a.log", 2, "two"), ("b.log", 1, "three"), ("b.log", 2, ""), ("b.log", 3, "four"),
+    ]
+
+
+def test_package_json_is_read_strictly(spark, corpus):
+    texts = {
+        1: "{'dependencies': {'a': '1'}}",
+        2: '{"dependencies": {"b": "1"}} x',
+        3: '{"dependencies": {"c": "1"}, "devDependencies": {"d": "1"',
+        4: '{"dependencies": ["q"], "devDependencies": {"e": "1"}}',
+        5: '{"dependencies": null, "devDependencies": {"f": "1"}}',
+        6: '["dependencies"]',
+        7: '{"dependencies": {"g": "1"}, "devDependencies": 3, "peerDependencies": {"h": "1"}}',
+        8: '{"dependencies": {"i": "1"}, "devDependencies": {"react": "1", "i": "2"}, "peerDependencies": {"j": "1"}}',
+        9: "",
+        10: '{"dependencies": {"k": NaN}}',
+    }
+    files = corpus([(k, "package.json", t) for k, t in texts.items()])
+    got = sorted((r["repo_id"], r["package"]) for r in manifests.npm_packages(files).collect())
+    assert got == [(7, "g"), (8, "i"), (8, "j"), (8, "react"), (10, "k")]
+    stacks = {r["repo_id"]: sorted(r["stack"]) for r in manifests.package_json(files).collect()}
+    assert {k: v for k, v in stacks.items() if v} == {8: ["i", "react"], 10: ["k"]}
+
+
+def test_kinds(spark, corpus):
+    from pyspark.sql import functions as F
+
+    names = {
+        "a/b.py": "python", "x.tsx": "javascript", "m.go": "go", "c.rs": "rust", "d.h": "cpp", "package.json": "manifest",
+        "s/App.csproj": "manifest", "conf/x.json": "configuration", ".env": "configuration", "d.csv": "data",
+        "README": "other", "Dockerfile": "other",
+    }
+    files = corpus(dict.fromkeys(names, ""))
+    assert {r["path"]: r["kind"] for r in files.select("path", F.col("kind")).collect()} == names
+
+
+def test_one_language_reads_its_partition_only(spark, tmp_path, corpus):
+    """The kind of a stored corpus is a partition column."""
+    from codeloom.operators import complexity
+
+    corpus({"a.py": "x = 1", "b.go": "package b", "c.js": "let x", "package.json": "{}"}).write.partitionBy("kind").parquet(
+        str(tmp_path / "files")
+    )
+    stored = spark.read.schema("repo_id long, path string, content string, is_utf8 boolean, kind string").parquet(
+        str(tmp_path / "files")
+    )
+    for frame in (manifests.npm_packages(stored), manifests.go_modules(stored), complexity.brace_function_complexity(stored, "javascript")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(kind" in plan or "PartitionFilters: [kind" in plan, plan
