@@ -35,25 +35,32 @@ def _route(text: Column) -> Column:
     return F.regexp_replace(path, r"[?#].*$|/+$", "")
 
 
-def network_bridges(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Routes that one place defines and another one calls.
+def _route_files(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """``repo_id, route, source_file, source_language, defines``, once per file.
 
-    One row per (repository, route) with the numbers of both; callers and
-    definitions are counted, not paired, so a popular route costs no more than
-    its rows.  A route's own text also reads as an endpoint: a file is not a
-    caller of what it defines.
+    A route's own text also reads as an endpoint: a file is not a caller of what
+    it defines.
     """
     defined = routes.select("repo_id", "source_file", "source_language", _route(F.col("route")).alias("route"), F.lit(True).alias("defines"))
     called = endpoints.select("repo_id", "source_file", "source_language", _route(F.col("endpoint")).alias("route"), F.lit(False).alias("defines"))
-    per_file = (
+    return (
         defined.unionByName(called)
         .filter(F.col("route") != "")
         .groupBy("repo_id", "route", "source_file", "source_language")
         .agg(F.bool_or("defines").alias("defines"))
     )
+
+
+def network_bridges(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Routes that one place defines and another one calls.
+
+    One row per (repository, route) with the numbers of both; callers and
+    definitions are counted, not paired, so a popular route costs no more than
+    its rows.
+    """
     defines = F.col("defines")
     return (
-        per_file.groupBy("repo_id", "route")
+        _route_files(routes, endpoints).groupBy("repo_id", "route")
         .agg(
             F.count_if(defines).alias("definitions"),
             F.count_if(~defines).alias("callers"),
@@ -63,6 +70,24 @@ def network_bridges(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
     )
 
 
+def bridge_edges(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Edges from callers to routes and from routes to the files that define them.
+
+    Two steps through the route say which file reaches which, in as many edges as
+    there are marks; callers and definitions are not paired.
+    """
+    marks = _route_files(routes, endpoints)
+    bridged = network_bridges(routes, endpoints).select("repo_id", "route")
+    file = F.concat("source_language", F.lit(":"), "source_file")
+    route, defines = F.concat(F.lit("route:"), "route"), F.col("defines")
+    return marks.join(bridged, ["repo_id", "route"], "left_semi").select(
+        "repo_id",
+        F.when(defines, route).otherwise(file).alias("src"),
+        F.when(defines, file).otherwise(route).alias("dst"),
+        F.when(defines, "implements").otherwise("calls").alias("type"),
+    )
+
+
 def typed_graph(imports: DataFrame, cross: DataFrame) -> DataFrame:
     """Import edges between files and cross-language edges as one edge table."""
     inner = imports.select(
@@ -78,8 +103,9 @@ def blast_radius(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Files that depend, directly or not, on the seeds, with the shortest distance.
 
     ``edges``: ``repo_id, source_file, target_file``; ``seeds``: ``repo_id, path``.
-    Breadth first: a step joins only the files found last, and each step is
-    checkpointed, so neither plans nor recomputation grow with the depth.
+    Breadth first: a step joins only the files found last.  The files found so far
+    are one checkpoint that each step replaces, so the plan has the same few scans
+    at any depth.
     Every file is found once, which also ends cycles.
     """
     users = cut_lineage(
@@ -96,5 +122,5 @@ def blast_radius(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             .join(reached.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
         )
         last = cut_lineage(step)
-        reached = reached.unionByName(last)
+        reached = cut_lineage(reached.unionByName(last))
     return reached

@@ -570,24 +570,36 @@ def recommendations(counts: DataFrame, edges: DataFrame) -> DataFrame:
 def polyglot_rows(extracts: Extracts) -> DataFrame:
     """Rows as stored: endpoints, shared resources per language, configuration.
 
-    Build dependencies are not stored.
+    ``metadata`` is the whole record as JSON; the target columns of the stored
+    table are never known to these analyses.  Build dependencies are not stored.
     """
 
-    def shaped(rows: DataFrame, file: str, language: str, kind: str, detail: Column) -> DataFrame:
+    def shaped(rows: DataFrame, file: str, language: str, kind: str, record: Column) -> DataFrame:
+        none = F.lit(None).cast("string")
         return rows.select(
             "repo_id",
             F.col(file).alias("source_file"),
             F.col(language).alias("source_language"),
+            none.alias("target_file"),
+            none.alias("target_language"),
             F.lit(kind).alias("dependency_type"),
-            detail.alias("detail"),
+            F.to_json(record).alias("metadata"),
         )
 
+    source = ["source_file", "source_language"]
+    # As many languages as there are at most; one row for each resource.
+    languages = extracts.resources.groupBy("repo_id", "resource_path").agg(
+        F.array_sort(F.collect_set("language")).alias("referring_languages")
+    )
+    resources = extracts.resources.join(languages, ["repo_id", "resource_path"])
     parts = [
-        shaped(extracts.endpoints, "source_file", "source_language", "api_call", F.col("endpoint")),
-        shaped(extracts.resources, "resource_path", "language", "shared_resource",
-               basename(F.col("resource_path"))),
-        shaped(config_deps(extracts.scanned), "source_file", "source_language", "configuration",
-               F.concat_ws("=", "config_type", "config_value")),
+        shaped(extracts.endpoints, *source, "api_call",
+               F.struct(*source, "endpoint", F.lit("api_call").alias("type"))),
+        shaped(resources, "resource_path", "language", "shared_resource",
+               F.struct("resource_path", F.lit("configuration").alias("resource_type"),
+                        "referring_languages", F.lit(True).alias("cross_language_usage"))),
+        shaped(config_deps(extracts.scanned), *source, "configuration",
+               F.struct(*source, "config_type", "config_value", "line_context")),
     ]
     stored = reduce(DataFrame.unionByName, parts)
     return stored.join(extracts.multi_language(), "repo_id", "left_semi")

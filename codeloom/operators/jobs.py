@@ -83,6 +83,27 @@ def changed_files(previous: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def file_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """What became of each file: ``new``, ``changed`` or ``deleted``.
+
+    Results of deleted files are to be dropped; their ``content_hash`` is null.
+    Only (repository, path, hash) is shuffled, never text.
+    """
+
+    def hashed(files: DataFrame, name: str) -> DataFrame:
+        return files.select("repo_id", "path", F.sha2("content", 256).alias(name), F.lit(True).alias(f"has_{name}"))
+
+    both = hashed(current, "new").join(hashed(previous, "old"), ["repo_id", "path"], "full")
+    change = (
+        F.when(F.col("has_old").isNull(), "new")
+        .when(F.col("has_new").isNull(), "deleted")
+        .when(~F.col("new").eqNullSafe(F.col("old")), "changed")
+    )
+    return both.select("repo_id", "path", F.col("new").alias("content_hash"), change.alias("change")).filter(
+        F.col("change").isNotNull()
+    )
+
+
 # ------------------------------------------------------------------ catalogue
 
 
@@ -130,6 +151,26 @@ def recent_jobs(jobs: DataFrame, n: int = 20) -> DataFrame:
     return jobs.orderBy(F.desc("started_at"), F.desc("job_id")).limit(n)
 
 
+def recent_analyses(jobs: DataFrame, requests: DataFrame, n: int = 20) -> DataFrame:
+    """The jobs started last with the repository and languages asked for."""
+    asked = requests.select("job_id", "repository_id", "languages")
+    return recent_jobs(jobs, n).join(asked, "job_id", "left")
+
+
+def job_summaries(jobs: DataFrame, tasks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Start, end, language and number of files of each job and language analysed.
+
+    ``tasks``: ``job_id, repository_id, analyser``; ``counts``: ``repository_id,
+    language, files``.
+    """
+    analysed = tasks.select("job_id", "repository_id", F.col("analyser").alias("language"))
+    return (
+        jobs.join(analysed, "job_id")
+        .join(counts, ["repository_id", "language"], "left")
+        .select("job_id", "started_at", "completed_at", "language", F.coalesce("files", F.lit(0)).alias("files_analyzed"))
+    )
+
+
 def job_durations(jobs: DataFrame) -> DataFrame:
     """Finished jobs with their duration in seconds."""
     seconds = F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")

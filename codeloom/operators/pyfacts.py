@@ -134,6 +134,14 @@ def file_stats(files: DataFrame, facts: DataFrame) -> DataFrame:
     return sizes.join(counts, ["repo_id", "path"])
 
 
+def declarations(facts: DataFrame) -> DataFrame:
+    """Names of classes, functions and imports: ``repo_id, path, kind, name, line``."""
+    kind = F.when(F.col("fact") == "import_name", "import").otherwise(F.col("fact"))
+    return facts.filter("fact IN ('class', 'function', 'import_name')").select(
+        "repo_id", "path", kind.alias("kind"), "name", F.col("line").cast("long").alias("line")
+    )
+
+
 def errors(facts: DataFrame) -> DataFrame:
     return facts.filter("fact IN ('syntax_error', 'read_error')").select(
         "repo_id", "path", "line", F.col("name").alias("message")

@@ -576,6 +576,8 @@ def _sql() -> dict[str, str]:
       len(regexp_extract_all(content, '(?m)^ *class '))::BIGINT AS class_count,
       len(regexp_extract_all(content, '(?m)^ *def '))::BIGINT AS function_count,
       len(regexp_extract_all(content, '(?m)^(import|from) '))::BIGINT AS import_count FROM py WHERE NOT broken"""
+    o["py_declarations"] = _code(_PY) + """SELECT repo_id, path, 'class' AS kind, regexp_extract(text, '^ *class (\\w+)', 1) AS name, ln::BIGINT AS line FROM pyline WHERE regexp_matches(text, '^ *class ')
+      UNION ALL SELECT repo_id, path, 'function', regexp_extract(text, '^ *def (\\w+)', 1), ln::BIGINT FROM pyline WHERE regexp_matches(text, '^ *def ')"""
     o["py_syntax_errors"] = _code(_PY) + """SELECT repo_id, path, ln::BIGINT AS line FROM (
       SELECT repo_id, path, unnest(generate_series(1, len(string_split(content, chr(10))))) AS ln,
              unnest(string_split(content, chr(10))) AS text FROM py WHERE broken) l WHERE starts_with(text, 'def broken_')"""
@@ -666,10 +668,16 @@ def _sql() -> dict[str, str]:
       FROM degrees WHERE degree > 5""")
     o["arch_insights"] = _report("SELECT * FROM insights")
     o["recommendations"] = _report("SELECT * FROM advice")
-    o["polyglot_rows"] = _cross(_ENDPOINTS, _SHARED, _CONFIGS, _LANGS) + f"""SELECT * FROM (
-      SELECT repo_id, source_file, source_language, 'api_call' AS dependency_type, endpoint AS detail FROM endpoints
-      UNION ALL SELECT repo_id, resource_path, language, 'shared_resource', {_base('resource_path')} FROM shared
-      UNION ALL SELECT repo_id, source_file, source_language, 'configuration', config_type || '=' || config_value FROM configs) r
+    o["polyglot_rows"] = _cross(_ENDPOINTS, _SHARED, _CONFIGS, _LANGS) + """SELECT repo_id, source_file, source_language, CAST(NULL AS VARCHAR) AS target_file,
+        CAST(NULL AS VARCHAR) AS target_language, dependency_type, CAST(metadata AS VARCHAR) AS metadata FROM (
+      SELECT repo_id, source_file, source_language, 'api_call' AS dependency_type, to_json({'source_file': source_file,
+        'source_language': source_language, 'endpoint': endpoint, 'type': 'api_call'}) AS metadata FROM endpoints
+      UNION ALL SELECT repo_id, resource_path, language, 'shared_resource', to_json({'resource_path': resource_path,
+        'resource_type': 'configuration', 'referring_languages': list_sort(list(language) OVER (PARTITION BY repo_id, resource_path)),
+        'cross_language_usage': true}) FROM shared
+      UNION ALL SELECT repo_id, source_file, source_language, 'configuration', to_json({'source_file': source_file,
+        'source_language': source_language, 'config_type': config_type, 'config_value': config_value,
+        'line_context': line_context}) FROM configs) r
       WHERE repo_id IN (SELECT repo_id FROM multi)"""
     several = ", ".join(f"CASE WHEN c.languages > 1 THEN c.{n} END AS {n}" for n in _LISTS)
     o["polyglot_report"] = _report(f"""SELECT c.repo_id, c.languages, c.total_files, {several},
@@ -696,6 +704,14 @@ def _sql() -> dict[str, str]:
           UNION ALL SELECT repo_id, source_file, source_language, {route.format('endpoint')}, false FROM endpoints) r
         WHERE route <> '' GROUP BY ALL) f
       GROUP BY repo_id, route HAVING count(*) FILTER (defines) > 0 AND count(*) FILTER (NOT defines) > 0"""
+    o["bridge_edges"] = _cross(_ENDPOINTS, _ROUTES) + f"""SELECT f.repo_id, CASE WHEN defines THEN 'route:' || route ELSE source_language || ':' || source_file END AS src,
+        CASE WHEN defines THEN source_language || ':' || source_file ELSE 'route:' || route END AS dst,
+        CASE WHEN defines THEN 'implements' ELSE 'calls' END AS type
+      FROM (SELECT *, bool_or(defines) OVER (PARTITION BY repo_id, route) AND bool_or(NOT defines) OVER (PARTITION BY repo_id, route) AS bridged
+        FROM (SELECT repo_id, route, source_file, source_language, bool_or(defines) AS defines FROM (
+          SELECT repo_id, source_file, source_language, {route.format('route')} AS route, true AS defines FROM routes
+          UNION ALL SELECT repo_id, source_file, source_language, {route.format('endpoint')}, false FROM endpoints) r
+        WHERE route <> '' GROUP BY ALL) g) f WHERE bridged"""
     inner = o["internal_edges"].split("SELECT d.repo_id", 1)[1]
     inner = f"inner_edges AS MATERIALIZED (SELECT d.repo_id{inner})"
     o["typed_graph"] = _code(_POLY, _PY, inner, _ENDPOINTS, _SHARED, _LANGS, _EDGES) + """SELECT repo_id, 'python:' || source_file AS src, 'python:' || target_file AS dst, 'import' AS type FROM inner_edges
@@ -707,6 +723,14 @@ def _sql() -> dict[str, str]:
         WHERE w.distance < 50)""")[len("WITH "):] + "SELECT repo_id, path, min(distance)::BIGINT AS distance FROM walk GROUP BY ALL"
     # catalogue and jobs
     o["repos_by_owner"] = _with(_REPOS) + "SELECT user_id, count(*) AS repositories, max(repository_id) AS newest_repository FROM repos GROUP BY user_id"
+    o["repos_of_user"] = _with(_REPOS) + "SELECT repository_id, user_id FROM repos WHERE user_id = 7"
+    o["recent_analyses"] = _with(_JOBS, f"req AS ({fixture.REQUEST_SQL})") + f"""SELECT j.job_id, j.status, {_stamp('started_at')}, q.repository_id, q.languages
+      FROM (SELECT * FROM jobs ORDER BY started_at DESC, job_id DESC LIMIT 20) j LEFT JOIN req q USING (job_id)"""
+    o["job_summaries"] = _code(_JOBS, f"req AS ({fixture.REQUEST_SQL})", _aliases()) + f"""SELECT j.job_id, {_stamp('started_at')}, {_stamp('completed_at')},
+        a.analyser AS language, coalesce(n.files, 0) AS files_analyzed
+      FROM jobs j JOIN (SELECT DISTINCT r.job_id, r.repository_id, a.analyser
+          FROM (SELECT job_id, repository_id, unnest(string_split(languages, ',')) AS name FROM req) r JOIN alias a USING (name)) a USING (job_id)
+      LEFT JOIN (SELECT repo_id, language, count(*) AS files FROM src GROUP BY ALL) n ON n.repo_id = a.repository_id % 30 AND n.language = a.analyser"""
     o["owned_jobs"] = _with(_REPOS) + """SELECT r.user_id, r.job_id FROM (
       SELECT l_orderkey * 10 + l_linenumber AS job_id, l_suppkey AS user_id, l_orderkey AS repository_id FROM lineitem) r
       WHERE EXISTS (SELECT 1 FROM repos p WHERE p.repository_id = r.repository_id AND p.user_id = r.user_id)"""
@@ -720,6 +744,10 @@ def _sql() -> dict[str, str]:
     o["jobs_per_window"] = _with(_JOBS) + f"SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS events FROM ev GROUP BY ALL"
     o["changed_files"] = _with(_FILES, f"old AS ({fixture.previous_files_sql()})") + """SELECT repo_id, path, sha256(content) AS content_hash FROM files
       WHERE (repo_id, path, sha256(content)) NOT IN (SELECT (repo_id, path, sha256(content)) FROM old)"""
+    o["file_changes"] = _with(_FILES, f"old AS ({fixture.previous_files_sql()})") + """SELECT coalesce(n.repo_id, o.repo_id) AS repo_id, coalesce(n.path, o.path) AS path, sha256(n.content) AS content_hash,
+        CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
+      FROM files n FULL JOIN old o ON n.repo_id = o.repo_id AND n.path = o.path
+      WHERE n.path IS NULL OR o.path IS NULL OR sha256(n.content) <> sha256(o.content)"""
     # retrieval
     shown = "SELECT query_id, id, round(distance, 6) AS distance, rank FROM hits"
     o["vector_topk"] = _with(_topk(rules.PUBLIC_HITS)) + shown

@@ -104,6 +104,7 @@ _SHORT = {"javascript": "js", "csharp": "csharp", "java": "java", "go": "go"}
 for _name, _short in _SHORT.items():
     _on_files(f"{_short}_file_stats", lambda f, name=_name: stats.file_stats(f, name))
 _on_facts("py_file_stats", pyfacts.file_stats)
+_on_facts("py_declarations", lambda _, facts: pyfacts.declarations(facts).filter("kind <> 'import'"))
 _on_facts("py_syntax_errors", lambda _, facts: _long("line")(
     pyfacts.errors(facts).select("repo_id", "path", "line")))
 
@@ -187,6 +188,14 @@ def _bridges(files: DataFrame) -> DataFrame:
 
 
 _on_files("network_bridges", _bridges)
+
+
+def _bridge_edges(files: DataFrame) -> DataFrame:
+    scanned = crosslang.scan(files, "endpoints", "routes")
+    return bridges.bridge_edges(crosslang.http_apis(scanned), crosslang.api_endpoints(scanned))
+
+
+_on_files("bridge_edges", _bridge_edges)
 _on_facts("typed_graph", lambda files, facts: bridges.typed_graph(
     dependencies.internal_edges(files, facts), crosslang.Extracts(files, *_GRAPH).edges()))
 
@@ -207,6 +216,31 @@ def repos_by_owner(inputs: Inputs) -> DataFrame:
     return jobs.repositories_by_owner(inputs.repositories())
 
 
+@_query
+def repos_of_user(inputs: Inputs) -> DataFrame:
+    return jobs.repositories_of(inputs.repositories(), 7)
+
+
+@_query
+def recent_analyses(inputs: Inputs) -> DataFrame:
+    found = jobs.recent_analyses(jobs.latest_state(inputs.job_events()), inputs.requests())
+    return found.select(
+        "job_id", "status", _stamp("started_at"), "repository_id", F.concat_ws(",", "languages").alias("languages")
+    ).withColumn("languages", F.nullif(F.col("languages"), F.lit("")))
+
+
+@_query
+def job_summaries(inputs: Inputs) -> DataFrame:
+    tasks = jobs.fan_out(inputs.requests()).filter("analyser <> 'polyglot'")
+    # The corpus has thirty repositories; each one asked for stands for one of them.
+    tasks = tasks.withColumn("repository_id", F.col("repository_id") % 30)
+    counts = corpus.analysed_files(inputs.files()).groupBy(F.col("repo_id").alias("repository_id"), "language").agg(
+        F.count("*").alias("files")
+    )
+    found = jobs.job_summaries(jobs.latest_state(inputs.job_events()), tasks, counts)
+    return found.select("job_id", _stamp("started_at"), _stamp("completed_at"), "language", "files_analyzed")
+
+
 @_query
 def owned_jobs(inputs: Inputs) -> DataFrame:
     lines = inputs.table("lineitem").select(
@@ -264,6 +298,11 @@ def changed_files(inputs: Inputs) -> DataFrame:
     return jobs.changed_files(inputs.previous_files(), inputs.files())
 
 
+@_query
+def file_changes(inputs: Inputs) -> DataFrame:
+    return jobs.file_changes(inputs.previous_files(), inputs.files())
+
+
 # ------------------------------------------------------------------ retrieval
 
 

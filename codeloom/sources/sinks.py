@@ -25,9 +25,15 @@ def file_results(stats: DataFrame, job_id: int, analysis_type: str) -> DataFrame
     )
 
 
-def write_file_results(results: DataFrame, folder: str, mode: str = "append") -> None:
-    """Parquet, one folder per language."""
-    _writer(results, mode, ("language",)).parquet(folder)
+def write_file_results(results: DataFrame, folder: str) -> None:
+    """Parquet, one folder per job, analysis and language.
+
+    Writing them again replaces these folders and no others, so a job that runs
+    twice leaves its rows once.
+    """
+    _writer(results, "overwrite", ("job_id", "analysis_type", "language")).option(
+        "partitionOverwriteMode", "dynamic"
+    ).parquet(folder)
 
 
 def write_cross_dependencies(rows: DataFrame, folder: str, mode: str = "append") -> None:

@@ -163,3 +163,16 @@ def test_ends_are_smaller_than_the_text(spark, corpus):
     text = "".join(f"res{i % 50}.json(x); cfg.config.initialize();\n" for i in range(1000))
     row = X.scan(corpus({"a.js": text}), "name_ends").select(F.char_length(F.array_join("name_ends", ""))).first()
     assert row[0] < len(text) / 20
+
+
+def test_bridge_edges_name_callers_and_definitions(spark, corpus):
+    from codeloom.operators import bridges
+
+    files = corpus({
+        "srv.py": "@app.get('/api/items')\ndef f(): pass\n", "web.js": "fetch('/api/items')\n", "other.js": "fetch('/api/none')\n",
+    })
+    scanned = X.scan(files, "endpoints", "routes")
+    found = bridges.bridge_edges(X.http_apis(scanned), X.api_endpoints(scanned)).collect()
+    assert sorted((r["src"], r["dst"], r["type"]) for r in found) == [
+        ("javascript:web.js", "route:/api/items", "calls"), ("route:/api/items", "python:srv.py", "implements"),
+    ]

@@ -135,6 +135,9 @@ def test_stored_results(spark, corpus, tmp_path):
     row = spark.read.parquet(folder).first()
     assert (row["job_id"], row["file_path"], row["language"]) == (7, "a.go", "go")
     assert '"function_count":1' in row["results"]
+    sinks.write_file_results(rows, folder)  # again: the same rows, once
+    sinks.write_file_results(sinks.file_results(stats.file_stats(files, "go"), 8, "syntax_analysis"), folder)
+    assert sorted(r["job_id"] for r in spark.read.parquet(folder).collect()) == [7, 8]
     folder = str(tmp_path / "cross")
     sinks.write_cross_dependencies(crosslang.polyglot_rows(crosslang.Extracts(files)), folder)
     assert spark.read.parquet(folder).first()["dependency_type"] == "api_call"
