@@ -35,32 +35,48 @@ def fan_out(requests: DataFrame) -> DataFrame:
     return requests.select("job_id", "repository_id", F.inline(tasks))
 
 
-def latest_state(events: DataFrame) -> DataFrame:
-    """Fold status events into one row per job.
+def partial_state(events: DataFrame, *by: Column | str) -> DataFrame:
+    """Status events folded by job (and ``by``) into values that can be merged.
 
-    Events are ordered by ``(ts, event_id)``.  The last status wins; progress
-    and error message keep their last value where an event has none; a job is
-    started with its first event and completed with its last completion.  All
-    are plain aggregates, so a job with very many events is combined before the
-    shuffle, and the same fold runs on a stream.
+    Status, progress and error message keep the place ``(ts, event_id)`` they come
+    from; null ones are skipped.  All are plain aggregates, so a job with very
+    many events is combined before the shuffle, and the same fold runs on a stream.
     """
-    order = F.struct("ts", "event_id")
 
     def last(column: str) -> Column:
         # Structs order by their fields; null ones are skipped by max.
-        return F.max(
-            F.when(F.col(column).isNotNull(), F.struct("ts", "event_id", column))
-        ).getField(column)
-
-    return events.groupBy("job_id").agg(
-        F.max_by("status", order).alias("status"),
-        last("progress").alias("progress"),
-        last("error_message").alias("error_message"),
+        found = F.struct("ts", "event_id", column)
+        return F.max(found if column == "status" else F.when(F.col(column).isNotNull(), found)).alias(column)
+
+    return events.groupBy("job_id", *by).agg(
+        last("status"), last("progress"), last("error_message"),
         F.min("ts").alias("started_at"),
         F.max(F.when(F.col("status") == COMPLETED, F.col("ts"))).alias("completed_at"),
     )
 
 
+def merged_state(partials: DataFrame) -> DataFrame:
+    """One row per job from any number of partial states."""
+    folded = partials.groupBy("job_id").agg(
+        *[F.max(c).alias(c) for c in ("status", "progress", "error_message")],
+        F.min("started_at").alias("started_at"),
+        F.max("completed_at").alias("completed_at"),
+    )
+    values = [F.col(c)[c].alias(c) for c in ("status", "progress", "error_message")]
+    return folded.select("job_id", *values, "started_at", "completed_at")
+
+
+def latest_state(events: DataFrame) -> DataFrame:
+    """Fold status events into one row per job.
+
+    Events are ordered by ``(ts, event_id)``.  The last status wins, whatever was
+    before it; progress and error message keep their last value where an event
+    has none; a job is started with its first event and completed with its last
+    completion.
+    """
+    return merged_state(partial_state(events))
+
+
 def jobs_per_window(events: DataFrame, width: str = "5 minutes") -> DataFrame:
     """Status events per tumbling window of event time."""
     counted = events.groupBy(F.window("ts", width).alias("w"), "status").agg(

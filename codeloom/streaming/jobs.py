@@ -14,14 +14,17 @@ def task_stream(requests: DataFrame) -> DataFrame:
     return jobs.fan_out(requests)
 
 
-def state_stream(events: DataFrame) -> DataFrame:
-    """Latest state of every job, for output mode ``update`` or ``complete``.
+def state_stream(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Partial state of every job and ``width`` of event time, for output mode ``update``.
 
-    The state per job is one row of aggregates, whatever the number or order of
-    its events: the fold orders by event time, so late events cannot undo a
-    newer status.
+    The state kept is one row of aggregates for each job with events in the last
+    windows: a window goes when the watermark has passed it.  Events may come in
+    any order, as the fold orders by event time; those later than ``late`` are
+    dropped.  :func:`current_states` merges the windows of a job.
     """
-    return jobs.latest_state(events)
+    windows = F.window("ts", width).alias("w")
+    folded = jobs.partial_state(events.withWatermark("ts", late), windows)
+    return folded.withColumn("window_start", F.col("w.start")).drop("w")
 
 
 def window_stream(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -49,10 +52,19 @@ def upsert_states(states: DataFrame, folder: str) -> DataStreamWriter:
 
 
 def current_states(stored: DataFrame) -> DataFrame:
-    """The last stored state of each job."""
-    columns = [c for c in stored.columns if c not in ("job_id", "batch")]
-    return (
-        stored.groupBy("job_id")
-        .agg(F.max_by(F.struct(*columns), "batch").alias("last"))
-        .select("job_id", "last.*")
+    """The state of each job: the last batch of each of its windows, merged."""
+    values = [c for c in stored.columns if c not in ("job_id", "window_start", "batch")]
+    last = (
+        stored.groupBy("job_id", "window_start")
+        .agg(F.max_by(F.struct(*values), "batch").alias("last"))
+        .select("job_id", "window_start", "last.*")
     )
+    return jobs.merged_state(last)
+
+
+def compact_states(stored: DataFrame, folder: str) -> None:
+    """Write the last batch of each window as batch 0 of a new folder, which then
+    takes the place of the many batches."""
+    values = [c for c in stored.columns if c not in ("job_id", "window_start", "batch")]
+    last = stored.groupBy("job_id", "window_start").agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    last.select("job_id", "window_start", "last.*").write.mode("overwrite").parquet(f"{folder}/batch=0")

@@ -95,6 +95,10 @@ def test_state_stream_equals_batch(spark, tmp_path, event_stream):
     stored = streams.current_states(spark.read.parquet(folder))
     expected = jobs.latest_state(batch)
     names = sorted(expected.columns)
+    compacted = str(tmp_path / "compacted")
+    streams.compact_states(spark.read.parquet(folder), compacted)
+    again = streams.current_states(spark.read.parquet(compacted))
+    assert sorted(map(str, again.select(names).collect())) == sorted(map(str, expected.select(names).collect()))
     assert sorted(map(str, stored.select(names).collect())) == sorted(map(str, expected.select(names).collect()))
 
 
