@@ -76,9 +76,17 @@ def _with_scores(files: DataFrame, *languages: str) -> DataFrame:
     return _with_bodies(files, *languages).select(*_KEYS, scored.alias("scored"))
 
 
+def scored_files(files: DataFrame, *languages: str) -> DataFrame:
+    """Files of brace languages with the array of their scored functions."""
+    return _with_scores(files, *(languages or BRACE_LANGUAGES)).select(*_KEYS, "scored")
+
+
+def scored_functions(scored: DataFrame) -> DataFrame:
+    return unnest_structs(scored, _KEYS, "scored", "name")
+
+
 def brace_function_complexity(files: DataFrame, *languages: str) -> DataFrame:
-    found = _with_scores(files, *(languages or BRACE_LANGUAGES))
-    return unnest_structs(found, _KEYS, "scored", "name")
+    return scored_functions(scored_files(files, *languages))
 
 
 def function_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:
@@ -86,19 +94,23 @@ def function_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:
     return brace_function_complexity(files).unionByName(pyfacts.function_complexity(facts))
 
 
-def brace_file_complexity(files: DataFrame, *languages: str) -> DataFrame:
+def scored_totals(scored: DataFrame) -> DataFrame:
     """1 + the sum over the functions of a file; files without functions give 1.
 
     A projection of the file row: no shuffle.
     """
     total = F.aggregate("scored", F.lit(1).cast("long"), lambda sum_, f: sum_ + f["complexity"])
-    return _with_scores(files, *(languages or BRACE_LANGUAGES)).select(
+    return scored.select(
         *_KEYS,
         total.alias("total_complexity"),
         F.size("scored").cast("long").alias("functions"),
     )
 
 
+def brace_file_complexity(files: DataFrame, *languages: str) -> DataFrame:
+    return scored_totals(scored_files(files, *languages))
+
+
 def file_complexity(files: DataFrame, facts: DataFrame) -> DataFrame:
     """Totals of the files of all five languages; Python files only if they parse."""
     return brace_file_complexity(files).unionByName(pyfacts.file_complexity(facts))

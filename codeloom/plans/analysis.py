@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codeloom import rules
 from codeloom.operators import (
@@ -20,15 +21,37 @@ from codeloom.operators import (
 from codeloom.sources import manifests
 
 Tables = dict[str, DataFrame]
+#: Stores a table that several results are made of, under a name, and reads it back.
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def _syntax(files: DataFrame, facts: DataFrame, language: str) -> Tables:
+def _syntax(files: DataFrame, facts: DataFrame, language: str, keep: Keep, errors: DataFrame | None) -> Tables:
     if language == "python":
-        return {"file_stats": pyfacts.file_stats(files, facts), "errors": pyfacts.errors(facts)}
-    return {"file_stats": stats.file_stats(files, language)}
+        return {
+            "file_stats": pyfacts.file_stats(files, facts),
+            "declarations": pyfacts.declarations(facts),
+            "errors": pyfacts.errors(facts),
+            "valid_files": pyfacts.parsed_files(facts),
+        }
+    tables = {
+        "file_stats": stats.file_stats(files, language),
+        "declarations": stats.declarations(files, language),
+    }
+    if errors is not None:
+        of_language = F.col("tool").isin(*_TOOLS[language])
+        tables["errors"] = errors.filter(of_language)
+        valid = stats.valid_files(files, errors, facts)
+        tables["valid_files"] = valid.filter(F.col("language") == language)
+    return tables
 
 
-def _dependencies(files: DataFrame, facts: DataFrame, language: str) -> Tables:
+#: Build tools of each language, as build logs name them.
+_TOOLS = {
+    "javascript": ("tsc",), "csharp": ("dotnet",), "java": ("maven", "gradle"), "go": ("go build", "go vet"),
+}
+
+
+def _dependencies(files: DataFrame, facts: DataFrame, language: str, *_: object) -> Tables:
     if language == "python":
         return {
             "imports": pyfacts.import_edges(facts),
@@ -50,12 +73,12 @@ def _dependencies(files: DataFrame, facts: DataFrame, language: str) -> Tables:
     }
 
 
-def _complexity(files: DataFrame, facts: DataFrame, language: str) -> Tables:
+def _complexity(files: DataFrame, facts: DataFrame, language: str, keep: Keep, *_: object) -> Tables:
     if language == "python":
         functions, totals = pyfacts.function_complexity(facts), pyfacts.file_complexity(facts)
     else:
-        functions = complexity.brace_function_complexity(files, language)
-        totals = complexity.brace_file_complexity(files, language)
+        scored = keep(complexity.scored_files(files, language), "scored")
+        functions, totals = complexity.scored_functions(scored), complexity.scored_totals(scored)
     return {
         "functions": functions,
         "file_complexity": totals,
@@ -63,13 +86,13 @@ def _complexity(files: DataFrame, facts: DataFrame, language: str) -> Tables:
     }
 
 
-def _security(files: DataFrame, facts: DataFrame, language: str) -> Tables:
+def _security(files: DataFrame, facts: DataFrame, language: str, *_: object) -> Tables:
     if language == "python":
         return {"findings": pyfacts.dangerous_calls(facts)}
     return {"findings": security.pattern_findings(files, language)}
 
 
-def _architecture(files: DataFrame, facts: DataFrame, language: str) -> Tables:
+def _architecture(files: DataFrame, facts: DataFrame, language: str, *_: object) -> Tables:
     folders = architecture.package_structure(files)
     return {
         "python": lambda: {
@@ -101,11 +124,26 @@ _ANALYSES = dict(
 )
 
 
-def analyse(files: DataFrame, language: str, analysis_types: Iterable[str]) -> dict[str, Tables]:
-    """Tables of each requested analysis of one language; unknown types give none."""
+def analyse(
+    files: DataFrame,
+    language: str,
+    analysis_types: Iterable[str],
+    build_errors: DataFrame | None = None,
+    keep: Keep = lambda table, _: table,
+) -> dict[str, Tables]:
+    """Tables of each requested analysis of one language; unknown types give none.
+
+    ``build_errors`` (``sources.logs.build_errors``) adds errors and valid files of
+    compiled languages.  ``keep`` may store the facts of the Python files and the
+    scored functions of the others, which several tables read.
+    """
     facts = pyfacts.python_facts(files)
+    if language == "python":
+        facts = keep(facts, "facts")
     return {
-        name: _ANALYSES[name](files, facts, language) for name in analysis_types if name in _ANALYSES
+        name: _ANALYSES[name](files, facts, language, keep, build_errors)
+        for name in analysis_types
+        if name in _ANALYSES
     }
 
 
@@ -133,10 +171,17 @@ def cross_language(files: DataFrame) -> Tables:
 
 
 def run_request(
-    files: DataFrame, languages: list[str], analysis_types: list[str], folder: str
+    files: DataFrame,
+    languages: list[str],
+    analysis_types: list[str],
+    folder: str,
+    build_errors: DataFrame | None = None,
 ) -> list[str]:
     """Run one request over a corpus and store every table as Parquet.
 
+    A file is parsed once: the facts and scored functions that several tables are
+    made of are stored first, under ``kept``.
+
     Languages are given as users write them; asking for more than one also runs
     the cross-language analysis.  Returns the folders written.
     """
@@ -149,7 +194,13 @@ def run_request(
         if task["analyser"] == "polyglot":
             results = {"cross_language": cross_language(files)}
         else:
-            results = analyse(files, task["analyser"], analysis_types)
+            kept = f"{folder.rstrip('/')}/kept/{task['analyser']}"
+
+            def keep(table: DataFrame, name: str, kept: str = kept) -> DataFrame:
+                table.write.mode("overwrite").parquet(f"{kept}/{name}")
+                return spark.read.schema(table.schema).parquet(f"{kept}/{name}")
+
+            results = analyse(files, task["analyser"], analysis_types, build_errors, keep)
         for analysis, tables in results.items():
             for name, table in tables.items():
                 target = f"{folder.rstrip('/')}/{task['analyser']}/{analysis}/{name}"

@@ -35,6 +35,31 @@ def test_request_end_to_end(spark, corpus, tmp_path):
     assert spark.read.parquet(str(tmp_path / "python/security_analysis/findings")).count() == 1
 
 
+def test_a_request_parses_a_file_once(spark, corpus, tmp_path):
+    """What several tables are made of is stored and read."""
+    seen = []
+
+    def keep(table, name):
+        seen.append(name)
+        table.write.parquet(str(tmp_path / f"{name}{len(seen)}"))
+        return spark.read.schema(table.schema).parquet(str(tmp_path / f"{name}{len(seen)}"))
+
+    for language in ("python", "go"):
+        results = analysis.analyse(corpus(FILES), language, rules.ANALYSIS_TYPES, keep=keep)
+        tables = {n: t for group in ("syntax_analysis", "complexity_analysis", "security_analysis") for n, t in results[group].items()}
+        plans = {n: t._jdf.queryExecution().executedPlan().toString() for n, t in tables.items()}
+        assert not [n for n, p in plans.items() if "MapInPandas" in p]
+        assert "aggregate(" not in plans["functions"]
+    assert seen == ["facts", "scored"]
+
+
+def test_build_errors_give_valid_files(spark, corpus):
+    errors = spark.createDataFrame([(1, "go build", 1, "build: x")], "repo_id long, tool string, line_no long, message string")
+    tables = analysis.analyse(corpus(FILES), "go", ["syntax_analysis"], errors)["syntax_analysis"]
+    assert tables["errors"].count() == 1 and [r["valid_files"] for r in tables["valid_files"].collect()] == [0]
+    assert {r["name"] for r in tables["declarations"].collect()} >= {"F"}
+
+
 def test_one_language_has_no_cross_language_rows(spark, corpus):
     files = corpus([
         (1, "a.py", "@app.route('/x')\ndef f(): pass\n"), (1, "Dockerfile", "FROM x"),

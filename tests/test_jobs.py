@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from codeloom.operators import jobs
 from codeloom.plans import fixture
