@@ -26,7 +26,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op1_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the strings of 200 bytes that occur more than once."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return repeats.without_repeats(docs, length=200).select(
+    return repeats.without_repeats(docs, length=200, with_bytes=False).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
     )
 

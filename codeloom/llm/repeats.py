@@ -1,7 +1,7 @@
 """Repeated passages: exact removal of every byte of a string of ``length`` bytes
 that occurs more than once.
 
-The work is dealt by content.  Of the 16-byte grams in a window of ``length``
+The work is dealt by content.  Of the 32-byte grams in a window of ``length``
 bytes, the one with the smallest hash is the *anchor* of the window; equal
 windows have equal anchors at equal distances.  The windows with one anchor form
 a *piece* of text.  Anchors whose hash occurs once can hold no repeat and drop
@@ -28,15 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bytewise import SpanHasher, chunks, expand, mix
 from codeloom.llm.groups import whole_groups
-from codeloom.llm.tables import stored
 
 #: Bytes of a gram.
-GRAM = 16
+GRAM = 32
 #: Bytes of text whose suffixes are sorted at a time.
 SORT_BYTES = 1 << 21
 #: Different pieces of one anchor that are sorted together.
@@ -50,7 +49,7 @@ _GRAM_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the 16-byte grams that start at each byte but the last 15."""
+    """Hashes of the 32-byte grams that start at each byte but the last 31."""
     value, step, size = data.astype(np.uint64) + np.uint64(1), _GRAM_STEP, 1
     while size < GRAM:
         value = value[: len(value) - size] * step + value[size:]
@@ -116,7 +115,9 @@ def _segments(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndar
             yield first, at, part, np.array([0, len(part)])
 
 
-_PLACES = "anchor long, piece long, id string, text_hash long, start long, windows int"
+#: ``place`` holds the first byte of a piece and, in the low 8 bits, its windows.
+#: Without nulls, so that no branch of the plan filters them and all share a shuffle.
+_PLACES = "anchor long not null, piece long not null, id long not null, check int not null, place long not null"
 
 
 def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -130,8 +131,7 @@ def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                     pa.array(piece.view(np.int64)),
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
-                    pa.array(start + at),
-                    pa.array(count.astype(np.int32)),
+                    pa.array((start + at) << 8 | count),
                 ],
                 names=[x.split()[0] for x in _PLACES.split(", ")],
             )
@@ -147,33 +147,46 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 # ------------------------------------------------------- suffixes and intervals
 
 
+def _sorted_places(key: np.ndarray, bits: int, place_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of ``key``, equal keys by place, and where a new key begins.
+
+    Sorting numbers that hold key and place is much faster than an indirect sort.
+    """
+    if bits + place_bits <= 64:
+        packed = np.sort(key << np.uint64(place_bits) | np.arange(len(key), dtype=np.uint64))
+        order = (packed & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        ordered = packed >> np.uint64(place_bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return order, new
+
+
 def _suffix_order(symbols: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first ``depth`` symbols or more, by doubling.
 
     ``rest`` is the number of symbols to the end of the piece, which ends a suffix.
     """
     size = len(symbols)
-    key, known = np.zeros(size, dtype=np.uint64), 7
+    bits = max(int(size + 1).bit_length(), 1)
+    key, known = np.zeros(size, dtype=np.uint64), 4
     for k in range(known):
         part = np.zeros(size, dtype=np.uint64)
         part[: max(size - k, 0)] = symbols[k:]
         part[rest <= k] = 0
         key = key << np.uint64(9) | part
-    while True:
-        order = np.argsort(key, kind="stable")
-        if known >= depth:
-            return order
-        ordered = key[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        rank = np.zeros(size, dtype=np.uint64)
+    order, new = _sorted_places(key, 9 * known, bits)
+    while known < depth and not new.all():
+        rank = np.empty(size, dtype=np.uint64)
         rank[order] = np.cumsum(new).astype(np.uint64)
-        if new.all():
-            return order
         later = np.zeros(size, dtype=np.uint64)
         later[: max(size - known, 0)] = rank[known:]
         later[rest <= known] = 0
-        key = rank << np.uint64(32) | later
+        order, new = _sorted_places(rank << np.uint64(bits) | later, 2 * bits, bits)
         known *= 2
+    return order
 
 
 def repeat_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,10 +222,10 @@ def repeat_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
         target = step[expand(lows, highs - lows)]
         has = target >= 0
         target, which = target[has], which[has]
-        by_place = np.argsort(target)
-        target, which = target[by_place], which[by_place]
         if not len(target):
             break
+        packed = np.sort(target.astype(np.uint64) << np.uint64(32) | which.astype(np.uint64))
+        target, which = (packed >> np.uint64(32)).astype(np.int64), packed & np.uint64(0xFFFFFFFF)
         # Within an interval the targets with one byte are neighbours.
         byte = first_byte[target]
         begin = np.ones(len(target), dtype=bool)
@@ -249,13 +262,18 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_RUNS = "anchor long, piece long, runs array<struct<first:int,last:int>>"
+_RUNS = "anchor long not null, piece long not null, runs array<struct<first:int,last:int>>"
 
 
 def _repeated_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for table, starts in whole_groups(batches, 1):
-        texts = table.column(3).to_pylist()
-        weights, anchors, names = (table.column(k).to_numpy() for k in (2, 0, 1))
+        # Equal rows of the input give a piece twice.
+        anchors, names = (table.column(k).to_numpy() for k in (0, 1))
+        once = np.ones(len(names), dtype=bool)
+        once[1:] = (anchors[1:] != anchors[:-1]) | (names[1:] != names[:-1])
+        starts = np.concatenate(([0], np.cumsum(once)))[starts]
+        anchors, names, weights = anchors[once], names[once], table.column(2).to_numpy()[once]
+        texts = table.column(3).take(pa.array(np.flatnonzero(once))).to_pylist()
         sizes = np.cumsum([0, *map(len, texts)])
         at = 0
         while at < len(starts) - 1:
@@ -267,13 +285,15 @@ def _repeated_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator
             found = [_spans(x) for x in repeated(texts[first:last], weights[first:last], length)]
             kept = [k for k, (a, _) in enumerate(found) if len(a)]
             if kept:
+                counts = np.array([len(found[k][0]) for k in kept])
+                ends = [np.concatenate([found[k][side] for k in kept]).astype(np.int32) for side in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchors[first:last][kept]),
                         pa.array(names[first:last][kept]),
-                        pa.array(
-                            [[{"first": x, "last": y} for x, y in zip(*(z.tolist() for z in found[k]), strict=True)] for k in kept],
-                            type=pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)),
+                            pa.StructArray.from_arrays([pa.array(x) for x in ends], names=["first", "last"]),
                         ),
                     ],
                     names=["anchor", "piece", "runs"],
@@ -283,129 +303,147 @@ def _repeated_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator
 
 # -------------------------------------------------------------------- documents
 
+_CUT = (
+    "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, "
+    "kept_sha256 string, kept binary"
+)
+
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Texts without the windows that start in ``runs``."""
+def _cut(batches: Iterator[pa.RecordBatch], length: int, with_bytes: bool) -> Iterator[pa.RecordBatch]:
+    """Texts without the windows that start in the runs."""
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     for batch in batches:
-        texts = batch.column(2).cast(pa.large_binary())
-        removed, spans, kept, cut = [], [], [], []
-        for text, runs in zip(texts, batch.column(3), strict=True):
+        size, removed, spans, digest, kept = [], [], [], [], []
+        texts = batch.column(1).cast(pa.large_binary())
+        for text, firsts, lasts in zip(texts, batch.column(2), batch.column(3), strict=True):
             data = text.as_py() or b""
+            size.append(len(data))
+            if not firsts.is_valid:
+                removed.append(0)
+                spans.append([])
+                digest.append(hashlib.sha256(data).hexdigest())
+                kept.append(None)
+                continue
             mark = np.zeros(len(data) + 1, dtype=np.int32)
-            starts = np.array([(r["first"], r["last"]) for r in runs.as_py()], dtype=np.int64).reshape(-1, 2)
-            np.add.at(mark, starts[:, 0], 1)
-            np.add.at(mark, starts[:, 1] + length - 1, -1)
-            firsts, lasts = _spans(np.cumsum(mark[:-1]) > 0)
-            edges = [0, *np.stack((firsts, lasts), axis=1).ravel().tolist(), len(data)]
+            np.add.at(mark, firsts.values.to_numpy(), 1)
+            np.add.at(mark, lasts.values.to_numpy() + length - 1, -1)
+            begin, end = _spans(np.cumsum(mark[:-1]) > 0)
+            edges = [0, *np.stack((begin, end), axis=1).ravel().tolist(), len(data)]
             left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             removed.append(len(data) - len(left))
-            spans.append([{"first": a, "last": b} for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True)])
-            kept.append(hashlib.sha256(left).hexdigest())
-            cut.append(left)
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            spans.append([{"first": a, "last": b} for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            digest.append(hashlib.sha256(left).hexdigest())
+            kept.append(left if with_bytes else None)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), batch.column(1), pa.array(removed, type=pa.int64()), pa.array(spans, type=kind),
-                pa.array(kept, type=pa.string()), pa.array(cut, type=pa.binary()),
+                batch.column(0), pa.array(size, type=pa.int64()), pa.array(removed, type=pa.int64()),
+                pa.array(spans, type=kind), pa.array(digest, type=pa.string()), pa.array(kept, type=pa.binary()),
             ],
-            names=["id", "text_hash", "n_removed", "spans", "kept_sha256", "kept"],
+            names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"],
         )
 
 
-_CUT = (
-    "id string, text_hash long, n_removed long, spans array<struct<first:long,last:long>>, "
-    "kept_sha256 string, kept binary"
-)
+#: Stands for a null ``doc_id``.
+_NO_ID = -(2**63)
 
 
-def _id(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+def _texts(docs: DataFrame) -> DataFrame:
+    """``id, check, text``: ``id`` and ``check`` name a text and are never null."""
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"),
+        F.shiftright(F.xxhash64("text"), 32).cast("int").alias("check"),
+        "text",
+    )
 
 
-def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """``id, text_hash, first, last``: runs of starts of repeated windows, by text."""
-    texts = docs.select(_id(docs), F.xxhash64("text").alias("text_hash"), "text")
-    shared = (
-        docs.select("text").mapInArrow(lambda b: _anchors(b, length), "anchor long, n long")
-        .groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+def _contents(texts: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
+    """``anchor, piece, weight, content``: the bytes of pieces, cut from one text each."""
+    of_text = distinct.groupBy("at.id", "at.check").agg(
+        F.collect_list(F.struct("anchor", "piece", "weight", "at.place")).alias("pieces")
     )
-    places = stored(texts.mapInArrow(lambda b: _places(b, length), _PLACES).join(shared, "anchor"), "repeat-places")
-    place = F.struct("id", "text_hash", "start", "windows")
-    distinct = places.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("place"))
-    of_text = distinct.groupBy("place.id", "place.text_hash").agg(
-        F.collect_list(F.struct("anchor", "piece", "weight", "place.start", "place.windows")).alias("pieces")
-    )
-    # One row of each text; equal texts with one id are the same to us.
-    body = texts.join(of_text, ["id", "text_hash"])
     cut = F.transform(
         "pieces",
         lambda p: F.struct(
             p["anchor"].alias("anchor"), p["piece"].alias("piece"), p["weight"].alias("weight"),
-            F.substring(F.col("bytes"), (p["start"] + 1).cast("int"), p["windows"] + (length - 1)).alias("content"),
+            F.substring(
+                F.col("bytes"),
+                (F.shiftright(p["place"], 8) + 1).cast("int"),
+                (p["place"].bitwiseAND(F.lit(255)) + (length - 1)).cast("int"),
+            ).alias("content"),
         ),
     )
-    content = (
-        body.withColumn("bytes", F.col("text").cast("binary"))
-        .select(F.inline(cut))
-        # Rows of ``docs`` that are equal give equal pieces.
-        .groupBy("anchor", "piece").agg(F.max("weight").alias("weight"), F.max("content").alias("content"))
+    body = texts.join(of_text, ["id", "check"])
+    return body.withColumn("bytes", F.col("text").cast("binary")).select(F.inline(cut))
+
+
+def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
+    """``id, check, first, last``: runs of starts of repeated windows, by text.
+
+    One lazy plan: the places by anchor and the texts by name are each shuffled
+    once and read twice.
+    """
+    shared = (
+        texts.select("text").mapInArrow(lambda b: _anchors(b, length), "anchor long not null, n long not null")
+        .groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    )
+    found = texts.select("id", "check", "text").mapInArrow(lambda b: _places(b, length), _PLACES)
+    places = found.join(shared, "anchor")
+    distinct = places.groupBy("anchor", "piece").agg(
+        F.count(F.lit(1)).alias("weight"), F.min(F.struct("id", "check", "place")).alias("at")
+    )
+    # ``last`` keeps all columns in use, so that the shuffle of the places is read again.
+    many = (
+        distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
+        .where((F.col("n") > ANCHOR_PIECES) & F.col("last").isNotNull()).select("anchor")
     )
-    content = stored(content, "repeat-pieces")
-    many = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ANCHOR_PIECES).select("anchor")
     usual = (
-        content.join(many, "anchor", "left_anti")
+        _contents(texts, distinct.join(many, "anchor", "left_anti"), length)
         .repartition("anchor").sortWithinPartitions("anchor", "piece")
-        .select("anchor", "piece", "weight", "content")
         .mapInArrow(lambda b: _repeated_pieces(b, length), _RUNS)
     )
-    window = F.posexplode(F.sequence(F.lit(1), F.octet_length("content") - (length - 1))).alias("first", "at")
-    windows = content.join(many, "anchor", "left_semi").select("anchor", "piece", "weight", "content", window)
-    windows = windows.withColumn("window", F.substring("content", F.col("at"), F.lit(length)))
     # A window of a split anchor is dealt by its content and weighs what all its pieces do.
-    names = windows.withColumn("name", F.xxhash64("window"))
-    single = names.groupBy("name", "window").agg(F.sum("weight").alias("weight")).select(
-        F.col("name").alias("anchor"), F.lit(0).cast("long").alias("piece"), "weight", F.col("window").alias("content")
-    )
+    split = _contents(texts, distinct.join(many, "anchor", "left_semi"), length).dropDuplicates(["anchor", "piece"])
+    at = F.posexplode(F.sequence(F.lit(1), F.octet_length("content") - (length - 1))).alias("first", "byte")
+    windows = split.select("anchor", "piece", "weight", "content", at)
+    windows = windows.select(
+        "anchor", "piece", "weight", "first", F.substring("content", F.col("byte"), F.lit(length)).alias("window")
+    ).withColumn("name", F.xxhash64("window"))
     often = (
-        single.repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(lambda b: _repeated_pieces(b, length), _RUNS).select(F.col("anchor").alias("name")).distinct()
+        windows.groupBy("name", "window").agg(F.sum("weight").alias("weight"))
+        .select(F.col("name").alias("anchor"), F.lit(0).cast("long").alias("piece"), "weight", "window")
+        .repartition("anchor").sortWithinPartitions("anchor")
+        .mapInArrow(lambda b: _repeated_pieces(b, length), _RUNS)
+    ).select(F.col("anchor").alias("name"))
+    first = F.col("first").cast("int")
+    of_split = windows.join(often.distinct(), "name").select(
+        "anchor", "piece", F.array(F.struct(first.alias("first"), (first + 1).alias("last"))).alias("runs")
     )
-    split = names.select("anchor", "piece", "first", "name").join(often, "name").select(
-        "anchor", "piece", F.array(F.struct(F.col("first").cast("int").alias("first"), (F.col("first") + 1).cast("int").alias("last"))).alias("runs")
+    runs = places.join(usual.unionByName(of_split), ["anchor", "piece"])
+    start = F.shiftright("place", 8)
+    return runs.select("id", "check", start.alias("start"), F.explode("runs").alias("run")).select(
+        "id", "check", (F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last")).alias("last")
     )
-    runs = usual.unionByName(split)
-    return places.join(runs, ["anchor", "piece"]).select(
-        "id", "text_hash", "start", F.explode("runs").alias("run")
-    ).select("id", "text_hash", (F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last")).alias("last"))
 
 
-def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, with_bytes: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept_sha256, kept`` of every row of ``docs``.
 
-    Every byte inside a string of ``length`` bytes that also starts elsewhere, in
-    this or another text, goes; strings are judged on the input.  ``spans`` are
-    the maximal removed ranges of bytes, ``kept`` the remaining bytes; null where
-    nothing was removed, and then the text stays as it is.  A null or short text
-    holds no string.  Equal rows are copies of each other; a null ``doc_id``
-    stays null.  Other columns are ignored.
+    Every byte inside a string of ``length`` bytes (more than a gram's, at most
+    255 more) that also starts elsewhere, in this or another text, goes; strings
+    are judged on the input.  ``spans`` are the maximal removed ranges of bytes,
+    ``kept`` the remaining bytes (null where nothing was removed, or without
+    ``with_bytes``).  A null or short text holds no string.  Equal rows are copies
+    of each other; a null ``doc_id`` stays null.  Other columns are ignored.
     """
-    texts = docs.select(
-        "doc_id", _id(docs), F.xxhash64("text").alias("text_hash"), "text"
-    )
-    meta = texts.select(
-        "doc_id", "id", "text_hash",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"),
-    )
-    runs = repeated_windows(docs, length).groupBy("id", "text_hash").agg(
+    if not GRAM <= length < GRAM + 255:
+        raise ValueError(f"length must be from {GRAM} to {GRAM + 254}")
+    texts = _texts(docs)
+    runs = repeated_windows(texts, length).groupBy("id", "check").agg(
         F.collect_list(F.struct("first", "last")).alias("runs")
     )
-    hit = texts.drop("doc_id").join(runs, ["id", "text_hash"]).select("id", "text_hash", "text", "runs")
-    cut = hit.mapInArrow(lambda b: _cut(b, length), _CUT)
-    # Equal rows have equal results.
-    cut = cut.dropDuplicates(["id", "text_hash"])
-    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    return meta.join(cut, ["id", "text_hash"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("spans", none).alias("spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept",
+    # The same projection of the texts as above, so that its shuffle is read again.
+    joined = texts.join(runs, ["id", "check"], "left")
+    doc_id = F.nullif(F.col("id"), F.lit(_NO_ID)).alias("doc_id")
+    return joined.select(doc_id, "text", "runs.first", "runs.last").mapInArrow(
+        lambda b: _cut(b, length, with_bytes), _CUT
     )
