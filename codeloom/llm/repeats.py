@@ -10,8 +10,8 @@ with a weight.
 
 There the suffixes of the pieces are sorted to a depth of ``length`` bytes, which
 gives a Burrows-Wheeler transform.  Common prefixes between neighbours follow by
-breadth-first backward extension: starting with the interval of the empty string,
-each interval is extended to the left by every byte before its suffixes; the end
+breadth-first backward extension: starting with the intervals of 16 bytes, which the
+sort has told apart, each interval is extended to the left by every byte before its suffixes; the end
 of an extended interval that no shorter string has marked is a place where the
 common prefix has the length of the interval's string.  Intervals come by
 increasing length and the search stops at ``length``.  Neighbours not marked by
@@ -23,6 +23,7 @@ their own, dealt by their content.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -31,18 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.bytewise import SpanHasher, chunks, expand, mix
+from codeloom.llm.bytewise import SpanHasher, chunks, expand
 from codeloom.llm.groups import whole_groups
 
 #: Bytes of a gram.
 GRAM = 32
+#: Bytes of the shortest prefixes that the search for longer ones begins with.
+_SEED = 16
 #: Bytes of text whose suffixes are sorted at a time.
 SORT_BYTES = 1 << 21
 #: Different pieces of one anchor that are sorted together.
 ANCHOR_PIECES = 16_384
 #: Bytes of a long text taken at a time, and bits for a place in up to twice as many.
 _SEGMENT = 1 << 21
-_PLACE_BITS = 23
+_PLACES_MASK = np.uint64((1 << 23) - 1)
 _GRAM_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # ------------------------------------------------------------------- anchors
@@ -56,18 +59,18 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
         size *= 2
         with np.errstate(over="ignore"):
             step = step * step
-    return mix(value)
+    # The upper bits of the sums depend on all bytes; the anchors compare these.
+    return (value ^ (value >> np.uint64(29))) * _GRAM_STEP
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Minima of all windows of ``width``, by prefix and suffix minima of blocks."""
-    count = len(values) - width + 1
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    before = np.minimum.accumulate(blocks, axis=1).ravel()
-    return np.minimum(after[:count], before[width - 1 : width - 1 + count])
+    """Minima of all windows of ``width``: of two halves that may overlap."""
+    size = 1
+    while 2 * size <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -81,26 +84,28 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
         return empty
     grams = _gram_hashes(data)
     # The upper bits of the hash decide; of equal ones the rightmost gram.
-    places = np.arange(len(grams), dtype=np.uint64)
-    last = np.uint64((1 << _PLACE_BITS) - 1)
-    bits = np.uint64(_PLACE_BITS)
-    least = _window_minima((grams >> bits << bits) | (last - places), length - GRAM + 1)
-    anchors = (last - (least & last)).astype(np.int64)
-    # Windows do not cross texts.
-    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = row_of[: len(anchors)] == row_of[length - 1 : length - 1 + len(anchors)]
-    where = np.flatnonzero(inside)
-    if not len(where):
+    least = _window_minima((grams & ~_PLACES_MASK) | _backwards(len(grams)), length - GRAM + 1)
+    # Runs of windows with one anchor, apart for each text; windows that would go
+    # on into the next text are runs of their own.
+    new = np.ones(len(least), dtype=bool)
+    new[1:] = least[1:] != least[:-1]
+    for edge in (offsets[:-1], offsets[1:] - length + 1):
+        new[edge[(edge >= 0) & (edge < len(new))]] = True
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(new)))
+    row = np.searchsorted(offsets, start, side="right") - 1
+    own = start + length <= offsets[row + 1]
+    start, count, row = start[own], count[own], row[own]
+    if not len(start):
         return empty
-    own, row = anchors[where], row_of[where]
-    new = np.ones(len(where), dtype=bool)
-    new[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(where)))
-    starts = where[first]
-    content = SpanHasher(data)(starts, starts + count + length - 1)
-    return row[first], starts - offsets[row[first]], count, grams[own[first]], content
+    anchor = (_PLACES_MASK - (least[start] & _PLACES_MASK)).astype(np.int64)
+    content = SpanHasher(data)(start, start + count + length - 1)
+    return row, start - offsets[row], count, grams[anchor], content
+
 
+@functools.lru_cache(maxsize=4)
+def _backwards(size: int) -> np.ndarray:
+    return _PLACES_MASK - np.arange(size, dtype=np.uint64)
 
 
 def _segments(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -164,8 +169,10 @@ def _sorted_places(key: np.ndarray, bits: int, place_bits: int) -> tuple[np.ndar
     return order, new
 
 
-def _suffix_order(symbols: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols or more, by doubling.
+def _suffix_order(symbols: np.ndarray, rest: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``order, new, near``: suffixes sorted by their first ``depth`` symbols or more,
+    by doubling; where one differs from the one before in the first ``_SEED``
+    symbols; and where it does so in the last of these only.
 
     ``rest`` is the number of symbols to the end of the piece, which ends a suffix.
     """
@@ -178,28 +185,40 @@ def _suffix_order(symbols: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarr
         part[rest <= k] = 0
         key = key << np.uint64(9) | part
     order, new = _sorted_places(key, 9 * known, bits)
-    while known < depth and not new.all():
+    names: dict[int, np.ndarray] = {}
+    while True:
         rank = np.empty(size, dtype=np.uint64)
         rank[order] = np.cumsum(new).astype(np.uint64)
+        names[known] = rank
+        if known >= depth or (known >= _SEED and new.all()):
+            break
         later = np.zeros(size, dtype=np.uint64)
         later[: max(size - known, 0)] = rank[known:]
         later[rest <= known] = 0
         order, new = _sorted_places(rank << np.uint64(bits) | later, 2 * bits, bits)
         known *= 2
-    return order
+    whole, half, shift = names[_SEED][order], names[_SEED // 2], _SEED // 2 - 1
+    differs = np.ones(size, dtype=bool)
+    differs[1:] = whole[1:] != whole[:-1]
+    first, second = half[order], np.append(half[shift:], np.zeros(shift, dtype=np.uint64))[order]
+    full = rest[order] >= _SEED
+    near = np.zeros(size, dtype=bool)
+    near[1:] = differs[1:] & (first[1:] == first[:-1]) & (second[1:] == second[:-1]) & full[1:] & full[:-1]
+    return order, differs, near
 
 
 def repeat_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """``order, new``: suffixes of at least ``length`` bytes in order, and where
     one differs from the one before in the first ``length`` bytes.
 
-    ``text`` holds the pieces one after the other; piece ``i`` ends at ``ends[i]``.
+    ``text`` holds the pieces one after the other; piece ``i`` ends at ``ends[i]``;
+    ``length`` is above ``_SEED``.
     """
     size = len(text)
     symbols = text.astype(np.uint64) + np.uint64(1)
     starts = np.concatenate(([0], ends[:-1]))
     rest = np.repeat(ends, ends - starts) - np.arange(size)
-    order = _suffix_order(symbols, rest, length)
+    order, differs, near = _suffix_order(symbols, rest, length)
     place = np.empty(size, dtype=np.int64)
     place[order] = np.arange(size)
     # The transform: the byte before each suffix, and the place of the suffix
@@ -210,13 +229,14 @@ def repeat_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
     step = previous[order]
     first_byte = text[order]
 
-    marked = np.zeros(size + 1, dtype=bool)
-    marked[0] = marked[size] = True
-    # Level 0 extends the empty string, which also ends every piece: one interval for each byte.
-    highs = np.append(np.flatnonzero(first_byte[1:] != first_byte[:-1]) + 1, size)
-    lows = np.append(0, highs[:-1])
-    marked[highs] = True
-    for _ in range(1, length):
+    # The sort tells apart all prefixes of fewer than _SEED bytes.  The search
+    # begins with the intervals of _SEED bytes that end where the common prefix is
+    # one byte shorter, and goes on by one byte a level.
+    marked = np.append(differs, True)
+    highs = np.flatnonzero(near)
+    begins = np.flatnonzero(differs)
+    lows = begins[np.searchsorted(begins, highs) - 1] if len(highs) else highs
+    for _ in range(_SEED, length):
         # All suffixes of the intervals at hand, moved one byte to the left.
         which = np.repeat(np.arange(len(lows)), highs - lows)
         target = step[expand(lows, highs - lows)]
@@ -235,8 +255,7 @@ def repeat_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
         fresh = ~marked[high]
         lows, highs = low[fresh], high[fresh]
         marked[highs] = True
-    long_enough = rest[order] >= length
-    chosen = np.flatnonzero(long_enough)
+    chosen = np.flatnonzero(rest[order] >= length)
     new = np.ones(len(chosen), dtype=bool)
     new[1:] = marked[chosen[1:]] | (chosen[1:] != chosen[:-1] + 1)
     return order[chosen], new

@@ -85,9 +85,14 @@ def test_long_text_is_cut_with_overlap(monkeypatch):
 
 def test_classes_by_backward_extension():
     rng = random.Random(5)
-    for _ in range(60):
-        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))).encode() for _ in range(rng.randint(1, 8))]
-        length = rng.randint(2, 9)
+    for _ in range(300):
+        unit = "".join(rng.choice("ab") for _ in range(rng.randint(1, 60)))
+        texts = [
+            (unit * 9)[rng.randint(0, 40) : rng.randint(41, 200)][: rng.randint(1, 150)] + "".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))
+            for _ in range(rng.randint(1, 8))
+        ]
+        texts = [t.encode() for t in texts if t] or [b"a"]
+        length = rng.randint(17, 60)
         ends = np.cumsum([len(t) for t in texts])
         joined = b"".join(texts)
         order, new = repeats.repeat_classes(np.frombuffer(joined, dtype=np.uint8), ends, length)
