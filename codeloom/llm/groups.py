@@ -64,8 +64,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each links the neighbours of a node
     to the smallest of them, so trees become stars in few rounds.  A step is a
-    minimum by node, combined before its shuffle, and a join; a hub is a skewed
-    key that a join can split.  Every round is stored.
+    minimum by node, combined before its shuffle, and a join.  The minima are
+    stored, so that both sides of the join are plain shuffles, of which Spark
+    splits the partition of a hub.  Every round is stored.
     """
     # ``a > b`` throughout.
     edges = stored(
@@ -75,11 +76,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
         large = (
             both.where("b > a").join(low, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         ).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = stored(large, "links")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("low")), "lowest")
         small = large.join(least, "a")
         small = small.where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
             least.select("a", F.col("low").alias("b"))
