@@ -3,7 +3,8 @@
 Words may be disguised by look-alike signs (``1d10t``), by spaces or signs between
 letters (``i d i o t``) or by repeated letters (``idiiiot``).  A disguised word is a
 lattice: each sign stands for letters that it looks like, or for nothing; each
-letter for itself, or for nothing if it repeats the one before.  Viterbi search
+letter for itself, or for nothing if it repeats the one before.  Words of one sign
+in a row are one lattice with a possible word break at each blank.  Viterbi search
 finds the path that is likeliest under the channel and a character trigram model,
 whose counts come from all texts.
 
@@ -17,6 +18,7 @@ were not counted on.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,6 +91,10 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 _SUBSTITUTE, _DROP_SIGN, _DROP_REPEAT = -1.0, -3.5, -1.5
+#: A word break between spaced-out signs, and one where the blank is wider.  Trigrams
+#: alone tell words apart poorly, so a run is searched with several reliefs of both.
+_BREAKS = {" ": -2.0, "\n": 0.0}
+RELIEFS = (0.0, 1.0, 2.0, 3.0)
 
 
 class Channel:
@@ -96,22 +102,34 @@ class Channel:
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, float], str] = {}
 
-    def restore(self, word: str) -> str:
-        """The likeliest plain word (a-z) for a disguised one."""
-        if word not in self.known:
+    def restore(self, word: str, relief: float = 0.0) -> str:
+        """The likeliest plain word (a-z) for a disguised one.
+
+        A blank may end a word, at a lower cost if it is a line feed: the result
+        may be several words, with a blank between them.  ``relief`` adds to the
+        score of every break.
+        """
+        if (word, relief) not in self.known:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            self.known[word] = self._search(word)
-        return self.known[word]
+            self.known[word, relief] = self._search(word, relief)
+        return self.known[word, relief]
 
-    def _search(self, word: str) -> str:
+    def _search(self, word: str, relief: float) -> str:
         model = self.model
         # State: the last two letters; value: score and text so far.
         states = {(0, 0): (0.0, "")}
         before = ""
         for sign in word:
+            if sign in _BREAKS:
+                # A word is left for the state of a word's start.
+                ended = [(s + _BREAKS[sign] + relief + model[a, b, 0], t + " ") for (a, b), (s, t) in states.items() if b]
+                best = max(ended, default=None)
+                if best and ((0, 0) not in states or best[0] > states[0, 0][0]):
+                    states[0, 0] = best
+                continue
             options = [(ord(sign) - 96, 0.0)] if "a" <= sign <= "z" else [
                 (ord(x) - 96, _SUBSTITUTE) for x in LOOKS_LIKE.get(sign, "")
             ]
@@ -127,7 +145,7 @@ class Channel:
                     if (b, letter) not in after or total > after[b, letter][0]:
                         after[b, letter] = (total, text + chr(letter + 96))
             states, before = after, sign
-        return max(((s + model[a, b, 0], t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1]
+        return max(((s + model[a, b, 0], t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1].strip()
 
 
 _SIGNS = np.zeros(256, dtype=bool)
@@ -136,6 +154,17 @@ _ASCII = np.zeros(256, dtype=bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
 _WORD = _ASCII.copy()
 _WORD[128:] = True
+_LOOK = np.zeros(256, dtype=bool)
+_LOOK[[ord(c) for c in LOOKS_LIKE if ord(c) < 128]] = True
+#: Look-alikes that are punctuation at the edges of a word.
+_CLOSING = np.zeros(256, dtype=bool)
+_CLOSING[[ord(c) for c in "!("]] = True
+_WIDE_SIGN = re.compile("|".join(c for c in LOOKS_LIKE if ord(c) > 127).encode())
+#: Bytes of a look-alike of several bytes, by its first byte.
+_SIZES = np.zeros(256, dtype=np.int64)
+for _c in LOOKS_LIKE:
+    if ord(_c) > 127:
+        _SIZES[_c.encode()[0]] = len(_c.encode())
 
 
 def _core(starts: np.ndarray, stops: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,23 +209,15 @@ def word_features(data: np.ndarray, offsets: np.ndarray, channel: Channel) -> Wo
     some = ascii_letters[stops] - ascii_letters[starts] > 0
     # No plain letter at all, as in 1337: two signs or more that look like letters.
     disguised = some & (inner | tripled | leaning) & (stops - starts <= LONGEST)
-    # Single letters in a row are one word, spaced out.
-    single = (end - begin == 1) & _ASCII[lowered[np.minimum(begin, max(len(data) - 1, 0))]] if len(data) else np.zeros(0, bool)
     raw = lowered.tobytes()
     texts: list[str] = []
     rows: list[int] = []
     for k in np.flatnonzero(disguised):
         texts.append(channel.restore(raw[starts[k] : stops[k]].decode("utf-8", "replace")))
         rows.append(int(row[k]))
-    if len(single):
-        change = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
-        for a, b in zip(change[::2], change[1::2], strict=True):
-            # A run does not cross texts.
-            cuts = [a, *(np.flatnonzero(np.diff(row[a:b])) + a + 1).tolist(), b]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if 3 <= y - x <= LONGEST:
-                    texts.append("".join(chr(lowered[begin[k]]) for k in range(x, y)))
-                    rows.append(int(row[x]))
+    for words, k in _spaced(lowered, raw, starts, stops, row, channel):
+        texts += words
+        rows += [k] * len(words)
     found = _features(lowered, begin, end)
     if texts:
         joined = "".join(texts).encode()
@@ -207,6 +228,49 @@ def word_features(data: np.ndarray, offsets: np.ndarray, channel: Channel) -> Wo
     return Words(found, row)
 
 
+def _spaced(
+    data: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray, row: np.ndarray, channel: Channel
+) -> Iterator[tuple[list[str], int]]:
+    """(restored words, row) of each run of words of one sign, repeated or not.
+
+    Signs at the edges of a word are not its own, nor are words of such signs only.
+    """
+    own, leading = _own_signs(data, raw)
+    begin, end = _core(starts, stops, own & ~_CLOSING[data])
+    # A word may be an exclamation mark or a bracket alone.
+    bare = begin == end
+    begin[bare], end[bare] = (x[bare] for x in _core(starts, stops, own))
+    has = begin < end
+    begin, end, row = begin[has], end[has], row[has]
+    other = np.zeros(len(data) + 1, dtype=np.int64)
+    other[2:] = np.cumsum(data[1:] != data[:-1])
+    heads = np.concatenate(([0], np.cumsum(leading)))
+    one = (own[begin] & (data[begin] < 128) & (other[end] == other[begin + 1])) if len(begin) else np.zeros(0, dtype=bool)
+    # A look-alike of several bytes.
+    one |= (heads[end] - heads[begin] == 1) & (end - begin == _SIZES[data[begin]])
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], one.astype(np.int8), [0]))))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        # A run does not cross texts.
+        cuts = [a, *(np.flatnonzero(np.diff(row[a:b])) + a + 1).tolist(), b]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if 3 <= y - x <= LONGEST:
+                signs = [raw[p:q].decode() for p, q in zip(begin[x:y].tolist(), end[x:y].tolist(), strict=True)]
+                gaps = begin[x + 1 : y] - end[x : y - 1]
+                blanks = ["\n" if wide else " " for wide in (gaps > gaps.min()).tolist()]
+                run = "".join(s + t for s, t in zip(signs, [*blanks, ""], strict=True))
+                words = {w for relief in RELIEFS for w in channel.restore(run, relief).split()}
+                # As one word, too, from one wider blank to the next.
+                words.update(channel.restore(piece.replace(" ", "")) for piece in run.split("\n"))
+                yield sorted(words - {""}), int(row[x])
+
+
+def _own_signs(data: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a byte is of a letter or a look-alike, and whether a look-alike of several bytes starts there."""
+    leading = np.zeros(len(data), dtype=bool)
+    leading[[m.start() for m in _WIDE_SIGN.finditer(raw)]] = True
+    return _WORD[data] | _LOOK[data], leading
+
+
 def _edge_look_alike(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Whether the byte next to the letters, before or after, looks like a letter."""
     like = np.zeros(256, dtype=bool)

@@ -114,3 +114,38 @@ def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([(1, "a b", "", "")], DOCS), spark.createDataFrame([], LABELS)
     assert [r["predicted"] for r in toxicity.toxicity(docs, labels).collect()] == [0]
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def english():
+    rng = random.Random(3)
+    counts = np.zeros((27, 27, 27)) + 0.01
+    for word in ["idiot", "stupid", "moron", "worthless", "you", "i", "a", "the", "an", "am", "is"] * 20:
+        codes = [0, 0, *(ord(c) - 96 for c in word), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            counts[a, b, c] += 1 + rng.random() / 100
+    return toxicity.Channel(np.log(counts / counts.sum(axis=2, keepdims=True)))
+
+
+def holds(text, word, channel):
+    """Whether the whole ``word`` is a feature of ``text``, between two other texts."""
+    texts = [b"x y", text.encode(), b"a n"]
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    found = toxicity.word_features(data, np.cumsum([0, *map(len, texts)]), channel)
+    raw = np.frombuffer(word.encode(), dtype=np.uint8)
+    wanted = toxicity._features(raw, np.array([0]), np.array([len(raw)]))[0, 0]
+    return bool((found.features[found.row == 1, 0] == wanted).any())
+
+
+def test_spaced_words_are_one_lattice():
+    c = english()
+    for text in ["i d i o t", "i d 1 o t", "1 D 1 0 T", "i i d i o t", "i dd i oo t", "i d ¡ o t", "a i d i o t", "I i d i o t",
+                 "y o u i d i o t", "y o u  i d i o t", "so i  d  i  o  t", "i, d, i, o, t", "i - d - i - o - t", "i d ! o t !"]:
+        assert holds(text, "idiot", c), text
+    assert holds("m 0 r 0 n", "moron", c) and holds("y o u m 0 r o n", "you", c)
+    assert not holds("i d i", "idiot", c) and not holds("o t", "idiot", c)
+
+
+def test_word_breaks_of_the_channel():
+    c = english()
+    assert c.restore("y o u\ni d 1 o t", 1.0) == "you idiot"
+    assert c.restore("i d i o t") == "idiot" == c.restore("idiot")
