@@ -39,10 +39,9 @@ BEGINNINGS = (4, 5, 6)
 #: A feature counts if at least so many toxic texts have it, and so many standard
 #: deviations more than expected.
 LEAST_TEXTS, LEAST_DEVIATION = 3, 4.0
-#: Disguised words whose restored form a task remembers.
-MEMORY = 200_000
-#: Longer runs are not words; they stay as they are.
-LONGEST = 40
+#: Disguised words whose restored form a task remembers, and the signs of the
+#: longest: longer ones are restored each time.
+MEMORY, REMEMBERED = 200_000, 64
 
 # ------------------------------------------------------------ character model
 
@@ -111,6 +110,8 @@ class Channel:
         may be several words, with a blank between them.  ``relief`` adds to the
         score of every break.
         """
+        if len(word) > REMEMBERED:
+            return self._search(word, relief)
         if (word, relief) not in self.known:
             if len(self.known) >= MEMORY:
                 self.known.clear()
@@ -119,14 +120,14 @@ class Channel:
 
     def _search(self, word: str, relief: float) -> str:
         model = self.model
-        # State: the last two letters; value: score and text so far.
-        states = {(0, 0): (0.0, "")}
+        # State: the last two letters; value: score and text so far, as (text before, last sign).
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
         for sign in word:
             if sign in _BREAKS:
                 # A word is left for the state of a word's start.
-                ended = [(s + _BREAKS[sign] + relief + model[a, b, 0], t + " ") for (a, b), (s, t) in states.items() if b]
-                best = max(ended, default=None)
+                ended = [(s + _BREAKS[sign] + relief + model[a, b, 0], (t, " ")) for (a, b), (s, t) in states.items() if b]
+                best = max(ended, key=lambda x: x[0], default=None)
                 if best and ((0, 0) not in states or best[0] > states[0, 0][0]):
                     states[0, 0] = best
                 continue
@@ -136,20 +137,27 @@ class Channel:
             drop = None if "a" <= sign <= "z" else _DROP_SIGN
             if sign == before:
                 drop = _DROP_REPEAT
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, text) in states.items():
                 if drop is not None and ((a, b) not in after or score + drop > after[a, b][0]):
                     after[a, b] = (score + drop, text)
                 for letter, cost in options:
                     total = score + cost + model[a, b, letter]
                     if (b, letter) not in after or total > after[b, letter][0]:
-                        after[b, letter] = (total, text + chr(letter + 96))
+                        after[b, letter] = (total, (text, chr(letter + 96)))
             states, before = after, sign
-        return max(((s + model[a, b, 0], t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1].strip()
+        ended = [(s + model[a, b, 0], t) for (a, b), (s, t) in states.items()]
+        _, text = max(ended, key=lambda x: x[0], default=(0.0, None))
+        signs = []
+        while text:
+            text, sign = text
+            signs.append(sign)
+        return "".join(reversed(signs)).strip()
 
 
 _SIGNS = np.zeros(256, dtype=bool)
 _SIGNS[[ord(c) for c in LOOKS_LIKE if ord(c) < 128] + [ord(c) for c in "*#.-_"]] = True
+_BETWEEN = re.compile(r"[*#.\-_]+")
 _ASCII = np.zeros(256, dtype=bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
 _WORD = _ASCII.copy()
@@ -208,13 +216,15 @@ def word_features(data: np.ndarray, offsets: np.ndarray, channel: Channel) -> Wo
     leaning = (edge > 0) & (edge <= 2) & (signs[stops] - signs[starts] >= edge) & _edge_look_alike(lowered, starts, stops, begin, end)
     some = ascii_letters[stops] - ascii_letters[starts] > 0
     # No plain letter at all, as in 1337: two signs or more that look like letters.
-    disguised = some & (inner | tripled | leaning) & (stops - starts <= LONGEST)
+    disguised = some & (inner | tripled | leaning)
     raw = lowered.tobytes()
     texts: list[str] = []
     rows: list[int] = []
     for k in np.flatnonzero(disguised):
-        texts.append(channel.restore(raw[starts[k] : stops[k]].decode("utf-8", "replace")))
-        rows.append(int(row[k]))
+        word = raw[starts[k] : stops[k]].decode("utf-8", "replace")
+        words = {channel.restore(word), *_between(word, channel)} - {""}
+        texts += sorted(words)
+        rows += [int(row[k])] * len(words)
     for words, k in _spaced(lowered, raw, starts, stops, row, channel):
         texts += words
         rows += [k] * len(words)
@@ -228,6 +238,12 @@ def word_features(data: np.ndarray, offsets: np.ndarray, channel: Channel) -> Wo
     return Words(found, row)
 
 
+def _between(word: str, channel: Channel) -> set[str]:
+    """The words that a word with signs between its letters is, if they are blanks."""
+    parts = _BETWEEN.sub(" ", word).strip()
+    return {w for relief in RELIEFS for w in channel.restore(parts, relief).split()} if " " in parts else set()
+
+
 def _spaced(
     data: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray, row: np.ndarray, channel: Channel
 ) -> Iterator[tuple[list[str], int]]:
@@ -253,7 +269,7 @@ def _spaced(
         # A run does not cross texts.
         cuts = [a, *(np.flatnonzero(np.diff(row[a:b])) + a + 1).tolist(), b]
         for x, y in zip(cuts, cuts[1:], strict=False):
-            if 3 <= y - x <= LONGEST:
+            if y - x >= 3:
                 signs = [raw[p:q].decode() for p, q in zip(begin[x:y].tolist(), end[x:y].tolist(), strict=True)]
                 gaps = begin[x + 1 : y] - end[x : y - 1]
                 blanks = ["\n" if wide else " " for wide in (gaps > gaps.min()).tolist()]

@@ -149,3 +149,13 @@ def test_word_breaks_of_the_channel():
     c = english()
     assert c.restore("y o u\ni d 1 o t", 1.0) == "you idiot"
     assert c.restore("i d i o t") == "idiot" == c.restore("idiot")
+
+
+def test_disguises_of_any_length():
+    c = english()
+    assert holds("i" * 40 + "diot", "idiot", c) and holds(("." * 12).join("idiot"), "idiot", c)
+    passage = "   ".join(" ".join(w) for w in ["you", "idiot", "moron", "stupid"] * 30)
+    assert all(holds(passage, w, c) for w in ["you", "idiot", "moron", "stupid"])
+    assert holds(".".join("youidiotmoron" * 5), "idiot", c)
+    assert holds(" ".join("youidiot" * 40), "idiot", c)
+    assert c.restore("i" * 200_000 + "diot") == "idiot"
