@@ -90,6 +90,8 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 _SUBSTITUTE, _DROP_SIGN, _DROP_REPEAT = -1.0, -3.5, -1.5
+#: Look-alikes that may as well open or close a word; blanks are between such.
+_OPENS, _CLOSES = "(¡ \n", "! \n"
 #: A word break between spaced-out signs, and one where the blank is wider.  Trigrams
 #: alone tell words apart poorly, so a run is searched with several reliefs of both.
 _BREAKS = {" ": -2.0, "\n": 0.0}
@@ -123,7 +125,9 @@ class Channel:
         # State: the last two letters; value: score and text so far, as (text before, last sign).
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
-        for sign in word:
+        # Closing signs at the edges cost nothing.
+        first, last = len(word) - len(word.lstrip(_OPENS)), len(word.rstrip(_CLOSES))
+        for place, sign in enumerate(word):
             if sign in _BREAKS:
                 # A word is left for the state of a word's start.
                 ended = [(s + _BREAKS[sign] + relief + model[a, b, 0], (t, " ")) for (a, b), (s, t) in states.items() if b]
@@ -137,6 +141,8 @@ class Channel:
             drop = None if "a" <= sign <= "z" else _DROP_SIGN
             if sign == before:
                 drop = _DROP_REPEAT
+            if not first <= place < last:
+                drop = 0.0
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, text) in states.items():
                 if drop is not None and ((a, b) not in after or score + drop > after[a, b][0]):
@@ -158,6 +164,7 @@ class Channel:
 _SIGNS = np.zeros(256, dtype=bool)
 _SIGNS[[ord(c) for c in LOOKS_LIKE if ord(c) < 128] + [ord(c) for c in "*#.-_"]] = True
 _BETWEEN = re.compile(r"[*#.\-_]+")
+_EDGE = "".join(LOOKS_LIKE) + "*#.-_"
 _ASCII = np.zeros(256, dtype=bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
 _WORD = _ASCII.copy()
@@ -200,31 +207,13 @@ def word_features(data: np.ndarray, offsets: np.ndarray, channel: Channel) -> Wo
     """Hashed features of all words, a column for each kind; each with its row."""
     lowered = LOWER[data]
     starts, stops, row = runs(~BLANK[data], offsets)
-    letter = _WORD[lowered]
-    begin, end = _core(starts, stops, letter)
-    plain = np.concatenate(([0], np.cumsum(letter)))
-    ascii_letters = np.concatenate(([0], np.cumsum(_ASCII[lowered])))
-    signs = np.concatenate(([0], np.cumsum(_SIGNS[lowered])))
-    same = np.zeros(len(data) + 1, dtype=np.int64)
-    if len(data) > 2:
-        same[3:] = np.cumsum((lowered[2:] == lowered[1:-1]) & (lowered[1:-1] == lowered[:-2]) & _ASCII[lowered[2:]])
-    # Disguised: signs among letters, or a letter three times in a row.
-    inner = (plain[end] - plain[begin] < end - begin) & (signs[end] - signs[begin] == end - begin - (plain[end] - plain[begin]))
-    tripled = same[end] - same[np.minimum(begin + 2, end)] > 0
-    # A look-alike at an edge of a word counts where there are one or two.
-    edge = stops - starts - (end - begin)
-    leaning = (edge > 0) & (edge <= 2) & (signs[stops] - signs[starts] >= edge) & _edge_look_alike(lowered, starts, stops, begin, end)
-    some = ascii_letters[stops] - ascii_letters[starts] > 0
-    # No plain letter at all, as in 1337: two signs or more that look like letters.
-    disguised = some & (inner | tripled | leaning)
+    begin, end = _core(starts, stops, _WORD[lowered])
     raw = lowered.tobytes()
     texts: list[str] = []
     rows: list[int] = []
-    for k in np.flatnonzero(disguised):
-        word = raw[starts[k] : stops[k]].decode("utf-8", "replace")
-        words = {channel.restore(word), *_between(word, channel)} - {""}
-        texts += sorted(words)
-        rows += [int(row[k])] * len(words)
+    for words, k in _disguised(lowered, raw, offsets, channel):
+        texts += words
+        rows += [k] * len(words)
     for words, k in _spaced(lowered, raw, starts, stops, row, channel):
         texts += words
         rows += [k] * len(words)
@@ -238,6 +227,35 @@ def word_features(data: np.ndarray, offsets: np.ndarray, channel: Channel) -> Wo
     return Words(found, row)
 
 
+def _disguised(data: np.ndarray, raw: bytes, offsets: np.ndarray, channel: Channel) -> Iterator[tuple[list[str], int]]:
+    """(restored words, row) of each word with signs beside or instead of letters.
+
+    Other signs than look-alikes and ``*#.-_`` are apart from it, at its edges the
+    latter, too.  A word has an ASCII letter, and a sign or a letter three times in
+    a row, or it has none and two look-alikes, one of them no closing sign.
+    """
+    own, leading = _own_signs(data, raw)
+    starts, stops, row = runs(own | _SIGNS[data], offsets)
+    begin, end = _core(starts, stops, own)
+    look = _LOOK[data] | leading
+    letters, likes, hard, signs = (
+        np.concatenate(([0], np.cumsum(x))) for x in (_ASCII[data], look, look & ~_CLOSING[data], _SIGNS[data] | leading)
+    )
+    same = np.zeros(len(data) + 1, dtype=np.int64)
+    if len(data) > 2:
+        same[3:] = np.cumsum((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _ASCII[data[2:]])
+    tripled = same[end] - same[np.minimum(begin + 2, end)] > 0
+    some = letters[end] > letters[begin]
+    wanted = some & ((signs[end] > signs[begin]) | tripled)
+    # No letter at all, as in 1337.
+    wanted |= ~some & (likes[end] - likes[begin] >= 2) & (hard[end] > hard[begin])
+    for k in np.flatnonzero(wanted):
+        word = raw[begin[k] : end[k]].decode("utf-8", "replace")
+        words = {channel.restore(word), *_between(word, channel)} - {"", word.strip(_EDGE)}
+        if words:
+            yield sorted(words), int(row[k])
+
+
 def _between(word: str, channel: Channel) -> set[str]:
     """The words that a word with signs between its letters is, if they are blanks."""
     parts = _BETWEEN.sub(" ", word).strip()
@@ -287,17 +305,6 @@ def _own_signs(data: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _WORD[data] | _LOOK[data], leading
 
 
-def _edge_look_alike(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether the byte next to the letters, before or after, looks like a letter."""
-    like = np.zeros(256, dtype=bool)
-    like[[ord(c) for c in LOOKS_LIKE if ord(c) < 128 and c not in "!("]] = True
-    if not len(data):
-        return np.zeros(0, dtype=bool)
-    left = (begin > starts) & like[data[np.maximum(begin - 1, 0)]]
-    right = (end < stops) & like[data[np.minimum(end, len(data) - 1)]]
-    return left | right
-
-
 def _features(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Feature numbers: the whole word, then its beginnings; -1 for none."""
     hasher = SpanHasher(data)

@@ -159,3 +159,27 @@ def test_disguises_of_any_length():
     assert holds(".".join("youidiotmoron" * 5), "idiot", c)
     assert holds(" ".join("youidiot" * 40), "idiot", c)
     assert c.restore("i" * 200_000 + "diot") == "idiot"
+
+
+def test_look_alikes_beside_or_instead_of_letters():
+    c = english()
+    for text in ["1diot!!!", '"1diot",', "(1d10t)", "!d!ot!", "¡diot", "¡d¡ot!", "so,1d10t/you", "1diot...", "1d10+", "id10t;"]:
+        assert holds(text, "idiot", c), text
+    assert holds("57up1d", "stupid", c) and holds("w0rth1€ss", "worthless", c) and holds("wor7h£e$$!!", "worthless", c)
+    # Without a letter.
+    assert c.restore("15") == "is" and holds("15", "is", c) and holds("!5!!", "is", c)
+    assert not holds("!!!", "i", c)
+
+
+def leet():
+    rng = random.Random(4)
+    counts = np.zeros((27, 27, 27)) + 0.01
+    for word in ["leet", "tea"] * 20:
+        codes = [0, 0, *(ord(c) - 96 for c in word), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            counts[a, b, c] += 1 + rng.random() / 100
+    return toxicity.Channel(np.log(counts / counts.sum(axis=2, keepdims=True)))
+
+
+def test_words_of_look_alikes_only():
+    assert holds("1337", "leet", leet()) and holds("1337!!", "leet", leet()) and holds("(7€4)", "tea", leet())
