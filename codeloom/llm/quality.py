@@ -56,9 +56,11 @@ LABELLERS = {
     "long_words": (0.2, 0.1),  # words of more than 24 bytes
 }
 GOOD, BAD, NONE = 0, 1, 2
-#: Bounds for the chance of a bad vote on good and on bad texts.  A text is often
-#: bad in one way only, so on bad texts most labellers may still vote good.
-BOUNDS = {GOOD: (0.002, 0.02), BAD: (0.1, 0.5)}
+#: Expected chance of a bad vote on good and on bad texts, and of a bad text.  A text
+#: is often bad in one way only, so on bad texts most labellers may still vote good.
+EXPECTED, EXPECTED_SHARE = {GOOD: 0.01, BAD: 0.3}, 0.1
+#: Votes that an expected chance weighs as much as; more texts outweigh it.
+PRIOR_VOTES = 100
 
 
 def _mean(values: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
@@ -162,22 +164,22 @@ def agreement(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tu
     pattern the chance to be good.
 
     Votes are independent given the class; no vote says nothing.  Labellers are
-    taken to be better than chance: a bad vote is rare on good texts, and not on
-    bad ones.  It starts with the texts without a bad vote as good ones and settles
+    expected to be better than chance: a bad vote is rare on good texts, and not on
+    bad ones.  That is a prior of ``PRIOR_VOTES`` votes, no bound.  It starts with the texts without a bad vote as good ones and settles
     in at most ``rounds`` rounds.
     """
     m = len(LABELLERS)
     votes = (patterns[:, None] // 3 ** np.arange(m)) % 3
     table = np.zeros((m, 2, 3))
-    total = max(counts.sum(), 1)
+    total = counts.sum()
     good = (votes != BAD).all(axis=1).astype(np.float64)
     for _ in range(rounds):
         for c, weight in ((GOOD, counts * good), (BAD, counts * (1 - good))):
-            bad, fine = (((votes == v) * weight[:, None]).sum(axis=0) + 0.1 for v in (BAD, GOOD))
-            table[:, c, BAD] = np.clip(bad / (bad + fine), *BOUNDS[c])
+            bad, fine = (((votes == v) * weight[:, None]).sum(axis=0) for v in (BAD, GOOD))
+            table[:, c, BAD] = (bad + PRIOR_VOTES * EXPECTED[c]) / (bad + fine + PRIOR_VOTES)
             table[:, c, GOOD] = 1 - table[:, c, BAD]
             table[:, c, NONE] = 1
-        share = float(np.clip((counts * (1 - good)).sum() / total, 1e-4, 0.9))
+        share = float(((counts * (1 - good)).sum() + PRIOR_VOTES * EXPECTED_SHARE) / (total + PRIOR_VOTES))
         logs = np.log(table)
         scores = [np.log(1 - share if c == GOOD else share) + logs[np.arange(m), c, votes].sum(axis=1) for c in (0, 1)]
         now = 1 / (1 + np.exp(np.clip(scores[BAD] - scores[GOOD], -500, 500)))

@@ -66,3 +66,22 @@ def test_expectation_maximisation_recovers_rates():
     assert np.abs(table[:, quality.BAD, quality.BAD] - 0.4).max() < 0.03
     assert np.abs(table[:, quality.GOOD, quality.BAD] - 0.01).max() < 0.005
     assert ((good[inverse] < 0.5) == bad).mean() > 0.95
+
+
+def test_rates_are_learnt_from_the_votes():
+    """Noisy, sharp and weak labellers, and one that tells nothing."""
+    rng = np.random.default_rng(1)
+    m, n = len(quality.LABELLERS), 40_000
+    on_good = np.array([0.3, 0.001, 0.001, 0.05, 0.05, 0.05, 0.01, 0.01])
+    on_bad = np.array([0.3, 0.8, 0.95, 0.6, 0.6, 0.05, 0.3, 0.3])
+    bad = rng.random(n) < 0.2
+    votes = np.where(rng.random((n, m)) < np.where(bad[:, None], on_bad, on_good), quality.BAD, quality.GOOD)
+    votes[rng.random((n, m)) < 0.1] = quality.NONE
+    patterns, inverse, counts = np.unique((votes * 3 ** np.arange(m)).sum(axis=1), return_inverse=True, return_counts=True)
+    share, table, good = quality.agreement(patterns, counts.astype(float))
+    assert abs(share - 0.2) < 0.02
+    assert np.abs(table[:, quality.BAD, quality.BAD] - on_bad).max() < 0.03
+    assert np.abs(table[:, quality.GOOD, quality.BAD] - on_good).max() < 0.015
+    assert ((good[inverse] < 0.5) == bad).mean() > 0.97
+    # The bad vote of the one that tells nothing moves no text.
+    assert good[patterns == quality.BAD][0] > 0.95
