@@ -273,6 +273,19 @@ def _family_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``label, node, name1, name2, text``: the rows of ``docs`` that are the first of a class."""
+    wanted = classes.select(
+        "label", "node", "name1", "name2",
+        F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("id"), F.col("first.text_hash").alias("hash"),
+    )
+    named = docs.select(
+        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"), "text"
+    )
+    # Null ids are told apart by their texts.
+    return wanted.join(named, ["id", "hash"]).select("label", "node", "name1", "name2", "text")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, first`` of every row of ``docs``.
 
@@ -302,11 +315,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             F.ceil(F.count(F.lit(1)) / FAMILY_ROWS), F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES)
         ).cast("long").alias("blocks")
     )
-    wanted = family.join(classes, "node").select(
-        "label", "node", "name1", "name2", F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("id")
-    )
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("id"), "text")
-    sets = wanted.join(named, "id").select("label", "node", "name1", "name2", "text")
+    sets = class_texts(docs, family.join(classes, "node"))
     full = sets.mapInArrow(lambda b: _sets(b, words), "label long, node long, members binary")
     spread = full.join(sizes, "label").select("label", "node", _blocks(F.col("node"), F.col("blocks")).alias("pair"), "members")
     dealt = (

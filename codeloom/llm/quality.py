@@ -218,10 +218,18 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n)], names=["pattern", "n"])
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each mark in a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        kept = [k for k, mark in enumerate(batch.column(0).to_pylist()) if not (mark in seen or seen.add(mark))]
+        yield batch.take(pa.array(kept, type=pa.int64()))
+
+
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = FEATURES + _RELATIONS
-    for batch in batches:
-        for _, data, offsets in chunks(batch.column(0)):
+    for batch in _once(batches):
+        for first, data, offsets in chunks(batch.column(1)):
             texts = Texts(data, offsets)
             trigram, row, relation, word_row = texts.features()
             shares = np.bincount(row * size + trigram, minlength=texts.count * size).reshape(-1, size).astype(np.float32)
@@ -229,8 +237,12 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.bincount(word_row * size + relation, minlength=texts.count * size).reshape(-1, size)
             shares += words / np.maximum(np.diff(texts.first), 1)[:, None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts.votes()), pa.array([s.astype(np.float32).tobytes() for s in shares], type=pa.binary())],
-                names=["pattern", "shares"],
+                [
+                    batch.column(0).slice(first, texts.count),
+                    pa.array(texts.votes()),
+                    pa.array([s.astype(np.float32).tobytes() for s in shares], type=pa.binary()),
+                ],
+                names=["mark", "pattern", "shares"],
             )
 
 
@@ -268,13 +280,24 @@ def _scored(batches: Iterator[pa.RecordBatch], model: list[float], known: dict[i
             )
 
 
+def sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """``pattern, shares`` of ``sample_rows`` different rows (id and text) at most."""
+    # The ids of the sample are found first, so that no text is sorted.
+    marked = rows.select(F.xxhash64("doc_id", "text_hash", F.lit("quality")).alias("mark"), "text")
+    last = marked.select("mark").distinct().orderBy("mark").limit(sample_rows).agg(F.max("mark")).first()[0]
+    shares = marked.where(F.col("mark") <= F.lit(last).cast("long")).mapInArrow(
+        _shares, "mark long, pattern long, shares binary"
+    )
+    return shares.dropDuplicates(["mark"]).select("pattern", "shares")
+
+
 def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, text_hash, votes, weak_label, score`` of every row of ``docs``.
 
     ``votes`` is the vote pattern, ``weak_label`` the chance to be good that the
     label model gives it, ``score`` (0 to 1) the scorer's.  The label model counts
     the patterns of all texts; the scorer is fitted on the ``sample_rows`` rows
-    with the smallest hashes of id and text.  Null and empty texts have no votes
+    with the smallest hashes of id and text; equal rows count once.  Null and empty texts have no votes
     and the score of an empty text.  ``doc_id`` may be null or repeated.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -285,13 +308,8 @@ def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     patterns = np.array([r["pattern"] for r in counted], dtype=np.int64)
     _, _, good = agreement(patterns, np.array([r["n"] for r in counted], dtype=np.float64))
     known = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    # The ids of the sample are found first, so that no text is sorted.
-    mark = F.xxhash64("doc_id", "text_hash", F.lit("quality"))
-    ids = rows.select(mark.alias("mark")).orderBy("mark").limit(sample_rows).agg(F.max("mark")).first()[0]
-    sample = rows.where(mark <= F.lit(ids).cast("long")).select("text")
-    shares = sample.mapInArrow(_shares, "pattern long, shares binary")
     model = stored(
-        shares.repartition(1).mapInArrow(lambda b: _fitted(b, known), "model array<double>"), "quality-model"
+        sampled(rows, sample_rows).repartition(1).mapInArrow(lambda b: _fitted(b, known), "model array<double>"), "quality-model"
     ).first()["model"]
     return rows.mapInArrow(lambda b: _scored(b, model, known), _SCORES)
 

@@ -94,3 +94,15 @@ def test_linked_matrix():
         for b in range(20):
             inner = len(np.intersect1d(sets[a], sets[b]))
             assert matrix[a, b] == (100 * inner >= 60 * (len(sets[a]) + len(sets[b]) - inner))
+
+
+def test_texts_without_an_id_meet_their_own_class_only(spark):
+    from codeloom.llm.near_duplicates import class_texts
+
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(30)] + [(7, "text 3"), (8, None)], "doc_id long, text string")
+    classes = docs.where("doc_id IS NULL").selectExpr(
+        "1L AS label", "xxhash64(text) AS node", "1L AS name1", "2L AS name2",
+        "struct(true AS unnamed, doc_id, xxhash64(text) AS text_hash) AS first",
+    )
+    got = class_texts(docs, classes).collect()
+    assert sorted(r["text"] for r in got) == sorted(f"text {k}" for k in range(30))

@@ -85,3 +85,9 @@ def test_rates_are_learnt_from_the_votes():
     assert ((good[inverse] < 0.5) == bad).mean() > 0.97
     # The bad vote of the one that tells nothing moves no text.
     assert good[patterns == quality.BAD][0] > 0.95
+
+
+def test_sample_is_bounded_with_copies_without_an_id(spark):
+    rows = [(None, "copy of the one text " * 3)] * 300 + [(k, f"text number {k} of some more words") for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
+    assert quality.sampled(frame, 20).count() == 20 and quality.sampled(frame, 1000).count() == 41
