@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, fingerprints, mixing, near_duplicates, quality, repeats, token_counts, tokens, toxicity, url_lists
+from codeloom.llm import (
+    alignment, decontamination, fingerprints, lines, mixing, near_duplicates, periodic, quality, repeats, token_counts,
+    tokens, toxicity, url_lists,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 VOCABULARY = "piece_bpe_32k.model"
@@ -268,6 +271,61 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines that three documents or more share."""
+    found = lines.report(table(spark, folder, "documents").select("doc_id", "text"), least_chars=20, least_docs=3)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+placed AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+keyed AS (
+  SELECT doc_id, line, place,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM placed),
+common AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT k.doc_id, k.line, k.place, coalesce(k.doc_id <> c.last, false) AS lost
+  FROM keyed k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN lost THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words, some planted."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic.periodic_runs(periodic.planted(docs))
+    # Quotients of numbers below 2**26 are equal only if the fractions are.
+    by_exponent = F.transform("runs", lambda r: F.struct(
+        (r["length"] / r["period"]).alias("exponent"), (-r["start"]).alias("start"), (-r["period"]).alias("period"),
+        r["length"].alias("length"),
+    ))
+    named = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # The best run is taken after the projection, so that it is found once.
+    best = found.select("*", F.array_max(by_exponent).alias("best"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(F.array_join(named, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of two tokenizers that cover the same bytes."""
+    found = alignment.align(table(spark, folder, "documents"), tokenizer_path(), tokenizer_path(VOCABULARY))
+    return found.drop("groups")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeats": op1_repeats,
@@ -280,8 +338,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_decontaminate": op10_decontaminate,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {
+        "op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_near_duplicates": OP9_SQL, "op10_decontaminate": OP10_SQL,
+        "op11_line_dedup": OP11_SQL,
+    }

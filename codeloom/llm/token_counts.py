@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.bytewise import SpanHasher, chunks
+from codeloom.llm.bytewise import SpanNumbers, chunks
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
@@ -76,11 +76,11 @@ def sentencepiece_vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    """Remembers the counts of words by their hashes, in sorted arrays."""
+    """Remembers the counts of words by their numbers."""
 
     def __init__(self, path: str) -> None:
         self.model = Unigram(sentencepiece_vocabulary(path))
-        self.keys = np.zeros(0, dtype=np.uint64)
+        self.words = SpanNumbers()
         self.values = np.zeros((0, 3))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -109,22 +109,15 @@ class Counter:
         row = np.concatenate((row[counted], extra))
         if not len(starts):
             return totals
-        keys, where, inverse = np.unique(SpanHasher(data)(starts, stops), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        if len(self.keys) + int((~known).sum()) > MEMORY:
-            self.keys, self.values = self.keys[:0], self.values[:0]
-            known[:] = False
-        raw, missed = data.tobytes(), where[~known]
-        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[missed], stops[missed], strict=True)]
+        if self.words.count > MEMORY:
+            self.words.clear()
+            self.values = self.values[:0]
+        numbers, fresh = self.words(data, starts, stops)
+        raw = data.tobytes()
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[fresh], stops[fresh], strict=True)]
         if words:
-            found = np.array([self.model.count(SPACE + word) for word in words])
-            keys_now = np.concatenate((self.keys, keys[~known]))
-            order = np.argsort(keys_now)
-            self.keys, self.values = keys_now[order], np.concatenate((self.values, found))[order]
-        values = self.values[np.searchsorted(self.keys, keys)][inverse]
+            self.values = np.concatenate((self.values, np.array([self.model.count(SPACE + word) for word in words])))
+        values = self.values[numbers]
         for k in range(3):
             totals[:, k] = np.bincount(row, weights=values[:, k], minlength=len(totals))
         return totals

@@ -23,7 +23,7 @@ import functools
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.bytewise import SpanHasher, chunks, expand
+from codeloom.llm.bytewise import SpanNumbers, chunks, expand
 from codeloom.llm.tables import stored
 
 SHARD_IDS = 1 << 20
@@ -141,62 +141,62 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:-1])
 
 
-class Encoder:
-    """Byte-level BPE over many texts: each distinct piece is encoded once."""
+class Pieces:
+    """Ids of texts that are cut into pieces; each distinct piece is encoded once.
 
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    ``cut`` gives the byte positions at which pieces of a chunk start, ``encode``
+    the ids of a list of pieces.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, cut: Callable[..., np.ndarray], encode: Callable[[list[str]], list[list[int]]]) -> None:
+        self._cut, self._encode = cut, encode
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.firsts = np.zeros(0, dtype=np.int64)
-        self.counts = np.zeros(0, dtype=np.int64)
+        self.pieces = SpanNumbers()
+        self.ends = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > MEMORY:
-            self._forget()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(counts.sum()))
-        firsts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate((self.ids, ids))
-        keys = np.concatenate((self.keys, keys))
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.firsts = np.concatenate((self.firsts, firsts))[order]
-        self.counts = np.concatenate((self.counts, counts))[order]
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, and the number of ids of each text."""
-        starts = cuts(data, offsets)
+        starts = self._cut(data, offsets)
         if not len(starts):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets) - 1, dtype=np.int64)
         stops = np.append(starts[1:], len(data))
-        keys, first, inverse = np.unique(SpanHasher(data)(starts, stops), return_index=True, return_inverse=True)
-        known = np.zeros(len(keys), dtype=bool)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            known = self.keys[at] == keys
-        if not known.all():
-            if len(self.keys) + int((~known).sum()) > MEMORY:
-                self._forget()
-                known[:] = False
-            missed = first[~known]
+        if self.pieces.count > MEMORY:
+            self._forget()
+        numbers, fresh = self.pieces(data, starts, stops)
+        if len(fresh):
             raw = data.tobytes()
-            pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[missed], stops[missed], strict=True)]
-            self._learn(keys[~known], pieces)
-        at = np.searchsorted(self.keys, keys)[inverse]
-        counts = self.counts[at]
-        ids = self.ids[expand(self.firsts[at], counts)]
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[fresh], stops[fresh], strict=True)]
+            found = self._encode(texts)
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            ids = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(sizes.sum()))
+            self.ids = np.concatenate((self.ids, ids))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        firsts = self.ends[numbers]
+        counts = self.ends[numbers + 1] - firsts
+        ids = self.ids[expand(firsts, counts)]
         sums = np.concatenate(([0], np.cumsum(counts)))
         return ids, np.diff(sums[np.searchsorted(starts, offsets)])
 
 
+class Encoder(Pieces):
+    """Byte-level BPE over many texts.  ``plain``: the strings of special tokens
+    inside a text are text like any other."""
+
+    def __init__(self, path: str, plain: bool = False) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        super().__init__(cuts, self._ids)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
