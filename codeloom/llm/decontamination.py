@@ -1,8 +1,10 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams.
 
-Built-in expressions only.  A task hashes the windows of its documents, looks
-each up in the broadcast set and compares the words of what it finds.  Texts are
-not shuffled.
+Built-in expressions only.  A task splits each text once, hashes its windows, looks
+each up in the broadcast sets, one for each length of windows, and compares the
+words of what it finds.  What leaves the task, into a stored table, is one row for
+each text and one for each occurrence; texts are not shuffled.  The items of a
+window are joined to the occurrences, they are not broadcast.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.tables import same
+from codeloom.llm.tables import same, stored, text_name, without_places
 
 #: Words of a window.
 WINDOW = 10
@@ -30,73 +32,96 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _BREAK), "")
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_MIXED_WORD)), F.lit(0)).cast("long")
-
-
-def _hashes(hashed: Column, length: int) -> Column:
-    """Hashes of all windows of ``length`` of an array of word hashes."""
-    last = F.size(hashed) - length
-    places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(length)]))
-
-
-def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``length, hash, phrase, items``: each distinct window once, with its items."""
+def _items(benchmark: DataFrame, size: int) -> DataFrame:
+    """``item_id, length, window, phrase`` of all windows of all items."""
     items = benchmark.select("item_id", words(F.col("text")).alias("words"))
     length = F.least(F.size("words"), F.lit(size))
     starts = F.when(length > 0, F.sequence(F.lit(1), F.size("words") - length + 1))
     each = items.select("item_id", "words", length.alias("length"), F.explode(starts).alias("start"))
     window = each.select("item_id", "length", F.slice("words", F.col("start"), F.col("length")).alias("window"))
-    phrase = window.groupBy("length", F.array_join("window", " ").alias("phrase")).agg(
-        F.collect_set("item_id").alias("items"), F.min("window").alias("window")
-    )
-    hashed = F.transform("window", lambda w: F.xxhash64(w))
-    by_length = F.coalesce(*[
-        F.when(F.col("length") == n, F.xxhash64(*[F.get(hashed, F.lit(k)) for k in range(n)])) for n in range(1, size + 1)
-    ])
-    return phrase.select("length", by_length.alias("hash"), "phrase", "items")
+    return window.withColumn("phrase", F.array_join("window", " "))
+
+
+def _hash(hashed: Column, length: int, first: Column | int = 0) -> Column:
+    """The hash of ``length`` elements of an array of word hashes."""
+    return F.xxhash64(*[F.get(hashed, F.lit(first) + k) for k in range(length)])
+
 
+def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``length, hash, phrase``: each distinct window once."""
+    phrase = _items(benchmark, size).groupBy("length", "phrase").agg(F.min("window").alias("window"))
+    hashed = phrase.select("length", "phrase", F.transform("window", lambda w: F.xxhash64(w)).alias("hashed"))
+    by_length = F.coalesce(*[F.when(F.col("length") == n, _hash(F.col("hashed"), n)) for n in range(1, size + 1)])
+    return hashed.select("length", by_length.alias("hash"), "phrase")
+
+
+_NAME = ("doc_id", "t1", "t2")
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``doc_id, text_hash, spans, items`` of the documents with an occurrence.
 
-    ``spans`` are ``(place, length)`` in words, one for each occurrence; equal
-    rows of ``docs`` come out as one.
+def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``doc_id, t1, t2, n_words, place, length, phrase``, stored: for each row of
+    ``docs`` one without ``place``, and one for each occurrence of a window.
+
+    ``t1, t2`` are hashes of the text; ``place`` and ``length`` are in words.
     """
     windows = benchmark_windows(benchmark, size)
     # At most ``size`` rows.
-    counts = windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
-    parts = -(-sum(row["n"] for row in counts) // SET_ROWS)
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
+    counts = {row["length"]: row["n"] for row in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Passes over the documents: the sets of a pass hold SET_ROWS windows at most.
+    parts = max(1, -(-sum(counts.values()) // SET_ROWS))
+    split = docs.select("doc_id", *text_name(F.col("text")), words(F.col("text")).alias("words"))
     hashed = split.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    # The outer form: for the plain one Catalyst infers a filter that hashes all words twice.
+    each = hashed.select(
+        *_NAME, "words", F.size("words").cast("long").alias("n_words"), "hashed", F.posexplode_outer("hashed").alias("at", "h")
+    ).drop("h")
     found = None
-    for length in sorted(row["length"] for row in counts):
-        # The outer form: for the plain one Catalyst infers a filter that hashes all windows twice.
-        places = hashed.select(
-            "doc_id", "text_hash", "words",
-            F.posexplode_outer(_hashes(F.col("hashed"), length)).alias("place", "hash"),
-        ).where(F.col("hash").isNotNull())
-        for part in range(parts):
-            wanted = windows.where((F.col("length") == length) & (F.pmod("hash", F.lit(parts)) == part))
-            seen = F.array_join(F.slice("words", F.col("place") + 1, F.lit(length)), " ")
-            joined = places.join(F.broadcast(wanted), (places["hash"] == wanted["hash"]) & (seen == wanted["phrase"]))
-            rows = joined.select("doc_id", "text_hash", "place", "length", "items")
-            found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        found = hashed.join(windows, F.lit(False)).select(
-            "doc_id", "text_hash", F.lit(0).alias("place"), "length", "items"
+    for part in range(parts):
+        rows, matches = each, []
+        for length in sorted(counts):
+            wanted = windows.where((F.col("length") == length) & (F.pmod("hash", F.lit(parts)) == part)).select(
+                F.col("hash").alias(f"hash{length}"), F.col("phrase").alias(f"phrase{length}")
+            )
+            # The places are rows, so this is generated code.
+            own = F.when(F.col("at") + length <= F.col("n_words"), _hash(F.col("hashed"), length, F.col("at")))
+            seen = F.array_join(F.slice("words", F.col("at") + 1, F.lit(length)), " ")
+            rows = rows.withColumn("own", own).join(
+                F.broadcast(wanted), (F.col("own") == F.col(f"hash{length}")) & (seen == F.col(f"phrase{length}")), "left"
+            )
+            matches.append(F.struct(F.lit(length).alias("length"), F.col(f"phrase{length}").alias("phrase")))
+        # One row of a text says how many words it has.
+        first = F.lit(part == 0) & (F.coalesce("at", F.lit(0)) == 0)
+        hit = F.coalesce(*[m["phrase"] for m in matches], F.lit(None).cast("string")).isNotNull()
+        kept = rows.where(first | hit).select(
+            *_NAME, "n_words", "at", first.alias("first"),
+            F.filter(F.array(*matches), lambda m: m["phrase"].isNotNull()).alias("matches") if matches
+            else F.array().cast("array<struct<length:int,phrase:string>>").alias("matches"),
         )
-    return found.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("place", "length")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        found = kept if found is None else found.unionByName(kept)
+    kept = stored(found, "occurrences")
+    of_text = kept.where("first").select(
+        *_NAME, "n_words", F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("length"),
+        F.lit(None).cast("string").alias("phrase"),
+    )
+    each = kept.select(*_NAME, "n_words", "at", F.explode("matches").alias("match"))
+    return of_text.unionByName(
+        each.select(*_NAME, "n_words", F.col("at").alias("place"), "match.length", "match.phrase")
+    )
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """``doc_id, t1, t2, n_words, rows, spans``: equal rows of the documents as one."""
+    return found.groupBy(*_NAME).agg(
+        F.max("n_words").alias("n_words"), F.count_if(F.col("place").isNull()).alias("rows"),
+        # Equal rows find the same; a struct without place is no occurrence.
+        F.collect_set(F.when(F.col("place").isNotNull(), F.struct("place", "length"))).alias("spans"),
     )
 
 
 def hit_places(spans: Column) -> Column:
-    """The distinct word places inside the spans; none for null."""
+    """The ascending word places inside the spans; none for null."""
     each = F.transform(spans, lambda s: F.sequence(s["place"], s["place"] + s["length"] - 1))
-    return F.coalesce(F.array_distinct(F.flatten(each)), F.array().cast("array<int>"))
+    return F.coalesce(F.array_sort(F.array_distinct(F.flatten(each))), F.array().cast("array<int>"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -106,13 +131,17 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
     one window; one without words, or null, has none.  A null or empty document
     has no words.  Rows with a null or repeated ``doc_id`` keep their own result.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("n_words"))
-    found = hits(docs, benchmark, size)
-    joined = rows.join(found, same(rows, found, "doc_id", "text_hash"), "left")
-    return joined.select(
-        rows["doc_id"], "n_words", F.size(hit_places(F.col("spans"))).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("items"),
+    found = occurrences(docs, benchmark, size)
+    rows = _spans(found)
+    hit = found.where(F.col("place").isNotNull()).select(*_NAME, "length", "phrase").distinct()
+    named = hit.join(_items(benchmark, size).select("item_id", "length", "phrase").distinct(), ["length", "phrase"])
+    items = named.groupBy(*_NAME).agg(F.collect_set("item_id").alias("items"))
+    joined = rows.join(items, same(rows, items, *_NAME), "left").select(
+        rows["doc_id"], "n_words", "rows", F.size(hit_places(F.col("spans"))).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"),
     )
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy")
+    return joined.select("doc_id", "n_words", "n_hit", "items", copies).drop("copy")
 
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -122,10 +151,10 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
     left go; all others, those without words included, stay as they are.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_hash")
+        "row", F.col("row.doc_id").alias("doc_id"), *text_name(F.col("row.text"))
     )
-    found = hits(docs, benchmark, size)
-    joined = rows.join(found, same(rows, found, "doc_id", "text_hash"), "left")
+    found = _spans(occurrences(docs, benchmark, size).where(F.col("place").isNotNull()))
+    joined = rows.join(found, same(rows, found, *_NAME), "left")
     text = F.col("row.text")
     parts = joined.select(
         "row", "spans",
@@ -133,11 +162,10 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
         F.when(F.col("spans").isNotNull(), F.array_remove(F.split(text, _MIXED_BREAK), "")).alias("found_words"),
         F.when(F.col("spans").isNotNull(), F.split(text, _MIXED_WORD)).alias("gaps"),
     )
-    kept = F.transform(
-        "found_words",
-        lambda w, i: F.when(F.array_contains("hit", i), "").otherwise(F.concat(F.get("gaps", i), w)),
-    )
-    cleaned = F.concat(F.array_join(kept, ""), F.element_at("gaps", -1))
+    shown = F.zip_with(F.slice("gaps", F.lit(1), F.size("found_words")), "found_words", lambda gap, w: F.concat(gap, w))
+    # Bound to a name, so that the words are joined with their signs once for each text.
+    kept = F.transform(F.array(shown), lambda each: F.array_join(without_places(each, F.col("hit")), ""))
+    cleaned = F.concat(F.get(kept, F.lit(0)), F.element_at("gaps", -1))
     left = parts.where(F.col("spans").isNull() | (F.size("hit") < F.size("found_words")))
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cleaned)
     columns = [

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.tables import same, stored
+from codeloom.llm.tables import same, stored, text_name, without_places
 
 #: Code points of the shortest key, and documents from which on a key is common.
 LEAST_CHARS = 20
@@ -36,15 +36,11 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hashes(text: Column, names: tuple[str, str]) -> list[Column]:
-    return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit(1), text).alias(names[1])]
-
-
 def _named(docs: DataFrame) -> DataFrame:
     """``row`` with the name of its text: equal rows have one name and one result."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.select(
-        "row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), *_hashes(F.col("row.text"), _NAME[1:])
+        "row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), *text_name(F.col("row.text"))
     )
 
 
@@ -54,7 +50,7 @@ def _keys(named: DataFrame, least_chars: int) -> DataFrame:
     each = named.select(*_NAME, F.posexplode_outer(lines(F.col("text"))).alias("place", "line"))
     bare = each.select(*_NAME, "place", F.btrim("line", F.lit(_BLANKS)).alias("line"))
     lowered = F.translate("line", _UPPER, _UPPER.lower())
-    return bare.where(F.char_length("line") >= least_chars).select(*_NAME, "place", *_hashes(lowered, ("h1", "h2")))
+    return bare.where(F.char_length("line") >= least_chars).select(*_NAME, "place", *text_name(lowered, ("h1", "h2")))
 
 
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -80,16 +76,9 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: i
 
 def _without(text: Column, places: Column) -> Column:
     """``text`` without the lines at the ascending ``places``."""
-
-    def kept(every: Column) -> Column:
-        def between(k: Column) -> Column:
-            first = F.coalesce(F.get(places, k - 1) + 1, F.lit(0))
-            return F.slice(every, first + 1, F.coalesce(F.get(places, k), F.size(every)) - first)
-
-        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), between)), "\n")
-
     # The lines are bound to a name, so that they are split once for each text.
-    return F.get(F.transform(F.array(lines(text)), kept), F.lit(0))
+    kept = F.transform(F.array(lines(text)), lambda every: F.array_join(without_places(every, places), "\n"))
+    return F.get(kept, F.lit(0))
 
 
 def _cleaned(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:

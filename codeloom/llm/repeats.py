@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.bytewise import SpanHasher, chunks, expand
 from codeloom.llm.groups import whole_groups
+from codeloom.llm.tables import text_name
 
 #: Bytes of a gram.
 GRAM = 32
@@ -47,6 +48,7 @@ ANCHOR_PIECES = 16_384
 _SEGMENT = 1 << 21
 _PLACES_MASK = np.uint64((1 << 23) - 1)
 _GRAM_STEP = np.uint64(0x9E3779B97F4A7C15)
+_NAME = ("id", "t1", "t2")
 
 # ------------------------------------------------------------------- anchors
 
@@ -122,12 +124,12 @@ def _segments(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndar
 
 #: ``place`` holds the first byte of a piece and, in the low 8 bits, its windows.
 #: Without nulls, so that no branch of the plan filters them and all share a shuffle.
-_PLACES = "anchor long not null, piece long not null, id long not null, check int not null, place long not null"
+_PLACES = "anchor long not null, piece long not null, id long not null, t1 long not null, t2 long not null, place long not null"
 
 
 def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, at, data, offsets in _segments(batch.column(2), length):
+        for first, at, data, offsets in _segments(batch.column(3), length):
             row, start, count, anchor, piece = pieces(data, offsets, length)
             rows = pa.array(row + first)
             yield pa.RecordBatch.from_arrays(
@@ -136,6 +138,7 @@ def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                     pa.array(piece.view(np.int64)),
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
+                    batch.column(2).take(rows),
                     pa.array((start + at) << 8 | count),
                 ],
                 names=[x.split()[0] for x in _PLACES.split(", ")],
@@ -363,22 +366,21 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_bytes: bool) -> It
         )
 
 
-#: Stands for a null ``doc_id``.
-_NO_ID = -(2**63)
-
-
 def _texts(docs: DataFrame) -> DataFrame:
-    """``id, check, text``: ``id`` and ``check`` name a text and are never null."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.shiftright(F.xxhash64("text"), 32).cast("int").alias("check"),
-        "text",
-    )
+    """``id, t1, t2, doc_id, text``: ``id, t1, t2`` name a text and are never null.
+
+    Rows without ``doc_id`` are told apart by the hashes alone, 128 bits; equal
+    texts with one name share their result, so a meeting of a hash and a real id
+    does no harm.
+    """
+    t1, t2 = text_name(F.col("text"))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, t1).alias("id"), t1, t2, doc_id.alias("doc_id"), "text")
 
 
 def _contents(texts: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
     """``anchor, piece, weight, content``: the bytes of pieces, cut from one text each."""
-    of_text = distinct.groupBy("at.id", "at.check").agg(
+    of_text = distinct.groupBy("at.id", "at.t1", "at.t2").agg(
         F.collect_list(F.struct("anchor", "piece", "weight", "at.place")).alias("pieces")
     )
     cut = F.transform(
@@ -392,12 +394,12 @@ def _contents(texts: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
             ).alias("content"),
         ),
     )
-    body = texts.join(of_text, ["id", "check"])
+    body = texts.join(of_text, list(_NAME))
     return body.withColumn("bytes", F.col("text").cast("binary")).select(F.inline(cut))
 
 
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
-    """``id, check, first, last``: runs of starts of repeated windows, by text.
+    """``id, t1, t2, first, last``: runs of starts of repeated windows, by text.
 
     One lazy plan: the places by anchor and the texts by name are each shuffled
     once and read twice.
@@ -406,10 +408,10 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
         texts.select("text").mapInArrow(lambda b: _anchors(b, length), "anchor long not null, n long not null")
         .groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     )
-    found = texts.select("id", "check", "text").mapInArrow(lambda b: _places(b, length), _PLACES)
+    found = texts.select(*_NAME, "text").mapInArrow(lambda b: _places(b, length), _PLACES)
     places = found.join(shared, "anchor")
     distinct = places.groupBy("anchor", "piece").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("id", "check", "place")).alias("at")
+        F.count(F.lit(1)).alias("weight"), F.min(F.struct(*_NAME, "place")).alias("at")
     )
     # ``last`` keeps all columns in use, so that the shuffle of the places is read again.
     many = (
@@ -440,8 +442,8 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     )
     runs = places.join(usual.unionByName(of_split), ["anchor", "piece"])
     start = F.shiftright("place", 8)
-    return runs.select("id", "check", start.alias("start"), F.explode("runs").alias("run")).select(
-        "id", "check", (F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last")).alias("last")
+    return runs.select(*_NAME, start.alias("start"), F.explode("runs").alias("run")).select(
+        *_NAME, (F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last")).alias("last")
     )
 
 
@@ -458,12 +460,11 @@ def without_repeats(docs: DataFrame, length: int = 200, with_bytes: bool = True)
     if not GRAM <= length < GRAM + 255:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 254}")
     texts = _texts(docs)
-    runs = repeated_windows(texts, length).groupBy("id", "check").agg(
+    runs = repeated_windows(texts, length).groupBy(*_NAME).agg(
         F.collect_list(F.struct("first", "last")).alias("runs")
     )
     # The same projection of the texts as above, so that its shuffle is read again.
-    joined = texts.join(runs, ["id", "check"], "left")
-    doc_id = F.nullif(F.col("id"), F.lit(_NO_ID)).alias("doc_id")
-    return joined.select(doc_id, "text", "runs.first", "runs.last").mapInArrow(
+    joined = texts.join(runs, list(_NAME), "left")
+    return joined.select("doc_id", "text", "runs.first", "runs.last").mapInArrow(
         lambda b: _cut(b, length, with_bytes), _CUT
     )

@@ -33,6 +33,21 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return condition
 
 
+def text_name(text: Column, names: tuple[str, str] = ("t1", "t2")) -> list[Column]:
+    """128 bits of hash that name a text."""
+    return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit(1), text).alias(names[1])]
+
+
+def without_places(values: Column, places: Column) -> Column:
+    """The array ``values`` without its elements at the ascending ``places``: the slices between them."""
+
+    def between(k: Column) -> Column:
+        first = F.coalesce(F.get(places, k - 1) + 1, F.lit(0))
+        return F.slice(values, first + 1, F.coalesce(F.get(places, k), F.size(values)) - first)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), between))
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """``df``, stored, with the global 0-based position of each row in ``order``.
 
