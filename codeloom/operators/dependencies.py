@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom import rules
 from codeloom.functions.text import find_all
-from codeloom.operators import pyfacts, stats
+from codeloom.operators import graphs, pyfacts, stats
 from codeloom.sources.corpus import analysed_files, by_language, language_files
 from codeloom.sources.manifests import package_inventory
 
@@ -106,6 +106,25 @@ def internal_edges(files: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def module_cycles(edges: DataFrame) -> DataFrame:
+    """``repo_id, path, component, members`` of the files that import each other in a
+    circle: ``component`` is the first path of the circle, ``members`` its size."""
+
+    def node(name: str) -> Column:
+        return F.concat_ws(":", F.col("repo_id").cast("string"), name)
+
+    found = graphs.strong_components(edges.select(node("source_file").alias("a"), node("target_file").alias("b")))
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+
+    def path(name: str) -> Column:
+        return F.regexp_extract(name, r"^-?\d+:((?s).*)$", 1)
+
+    return found.join(sizes, "component").select(
+        F.substring_index("node", ":", 1).cast("long").alias("repo_id"), path("node").alias("path"),
+        path("component").alias("component"), "members",
+    )
+
+
 def top_imports(edges: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` most imported targets of each language; ties by name."""
     counts = (

@@ -250,6 +250,67 @@ def previous_files_sql() -> str:
     return files_sql(older)
 
 
+# One schema or generated file per part; file number % 8 is its kind, and the
+# eight files of a group, ``~b~``, belong together.
+_SCHEMAS = (
+    ("api/shop~b~.proto", (
+        (None, "syntax = \"proto3\"; // message No { int32 x = 1; }~n~package shop.v~m~;~n~/* message Never {~n~ int32 x = 1; } */~n~option java_package = \"com.{shop}\";~n~message Part~b~ {~n~  option deprecated = 5;~n~  int32 id = 1;~n~  string name = 2 [deprecated = true];~n~"),
+        ("s % 3 <> 0", "  message Line {~n~    oneof kind { string a = 2; string b = 3; }~n~    message Deep { map<string, int32> m = 1; }~n~    int32 qty = 1;~n~  }~n~  repeated Line lines = 3;~n~"),
+        ("s % 4 = 0", "  enum State { A = 0; B = 1; }~n~  reserved 7, 8;~n~  State state = 6;~n~"),
+        (None, "}~n~message Empty {}~n~service Parts { rpc Get (Part~b~) returns (Empty) {} }~n~"),
+        ("s % 11 = 0", "message Open~b~ { int32 x = 1; message In { int32 y = 1; "),
+    )),
+    ("gen/shop~b~.pb.go", ((None, "// Code generated by protoc-gen-go. DO NOT EDIT.~n~package shop~n~type Part~b~ struct {~n~}~n~type Part~b~_Line struct {}~n~type Part~b~_Line_Deep struct {}~n~type Gone struct {}~n~"),)),
+    ("gen/shop~b~_pb2.py", ((None, "# Generated by the protocol buffer compiler.~n~Part = DESCRIPTOR.message_types_by_name[~q~Part~b~~q~]~n~Empty = DESCRIPTOR.message_types_by_name[~q~Empty~q~]~n~"),)),
+    ("java/d~k~/Line.java", ((None, "// Generated by the protocol buffer compiler.~n~public final class Line extends~n~    com.google.protobuf.GeneratedMessageV3 {}~n~"),)),
+    ("cs/Part~b~.cs", (
+        ("s % 2 = 0", "// Generated by the protocol buffer compiler.~n~"),
+        (None, "public sealed partial class Part~b~ : pb::IMessage<Part~b~> {}~n~"),
+    )),
+    ("web/shop~b~_pb.js", (
+        (None, "// Generated by protoc~n~proto.shop.v1.Part~b~ = function(opt) {};~n~proto.shop.v2.Part~b~.Line = function(opt) {};~n~"),
+        ("s % 2 = 1", "proto.shop.v3.Empty = function(opt) {};~n~"),
+    )),
+    ("idl/base~b~.thrift", ((None, "namespace py shop.base~n~# struct No { 1: i32 x }~n~struct Item~b~ { 1: required i32 id, 2: optional string name = \"}\" }~n~union Any { 1: Item~b~ item; }~n~exception Lost { }~n~service S { Any get(1: i32 id) throws (1: Lost x) }~n~const map<i32, i32> M = { 1: 2 }~n~"),)),
+    ("gen-py/b~b~/ttypes.py", (
+        (None, "# Autogenerated by Thrift Compiler~n~class Item~b~(object):~n~    pass~n~"),
+        ("s % 5 = 0", "# Autogenerated by hand~n~class Lost(Exception):~n~    pass~n~"),
+    )),
+)
+
+
+def schema_files_sql() -> str:
+    """Schemas and generated files; one file per part, a third of them in repository 0."""
+    number = f"p_partkey % {len(_SCHEMAS)}"
+    keys = dict(k=_as_text("p_partkey"), b=_as_text(f"p_partkey - {number}"), m=_as_text("CAST(p_size AS BIGINT) % 4"))
+    kinds = [(p, [(w and w.replace("s ", "p_size ", 1), t) for w, t in text]) for p, text in _SCHEMAS]
+    path = _filled(_case([(f"{number} = {i}", _literal(p)) for i, (p, _) in enumerate(kinds)]), **keys)
+    content = _filled(_case([(f"{number} = {i}", _snippets(t)) for i, (_, t) in enumerate(kinds)]), **keys)
+    group = f"CAST(floor((p_partkey - {number}) / {len(_SCHEMAS)}) AS BIGINT)"
+    return f"""
+SELECT CASE WHEN {group} % 3 = 0 THEN 0 ELSE CAST(floor({group} / 6) AS BIGINT) END AS repo_id,
+       {path} AS path, {content} AS content FROM part"""
+
+
+def cycle_files_sql() -> str:
+    """Python modules that import each other: chains of 60 with ways back, between
+    chains, and short circles; repositories of 600 modules."""
+    def imports(when: str, target: str) -> str:
+        return f"CASE WHEN {when} THEN concat('import pkg.m', CAST({target} AS STRING), chr(10)) ELSE '' END"
+
+    lines = ", ".join([
+        imports("p_partkey % 60 <> 0 OR p_partkey % 180 = 0", "p_partkey + 1"),
+        imports("p_partkey % 60 = 0", "p_partkey - 59 + CAST(floor(p_partkey / 60) AS BIGINT) % 5 * 11"),
+        imports("p_partkey % 60 = 24", "p_partkey + 9"),
+        imports("p_partkey % 240 = 37", "p_partkey - 3"),
+        imports("p_partkey % 420 = 400", "p_partkey - 150"),
+        imports("p_size = 7", "p_partkey"),
+    ])
+    return f"""
+SELECT CAST(floor(p_partkey / 600) AS BIGINT) AS repo_id, concat('pkg/m', CAST(p_partkey AS STRING), '.py') AS path,
+       concat('import os', chr(10), {lines}) AS content FROM part"""
+
+
 LOG_SQL = """
 SELECT repo_id, tool, line_no,
   CASE WHEN tool = 'tsc' AND hot THEN concat('  src/a.ts(', CAST(n AS STRING), ',1): error TS2304: x ')

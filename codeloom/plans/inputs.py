@@ -70,6 +70,12 @@ class Inputs:
     def previous_files(self) -> DataFrame:
         return self._corpus("previous", fixture.previous_files_sql())
 
+    def schema_files(self) -> DataFrame:
+        return self._corpus("schemas", fixture.schema_files_sql())
+
+    def cycle_files(self) -> DataFrame:
+        return self._corpus("cycles", fixture.cycle_files_sql())
+
     def _corpus(self, name: str, sql: str) -> DataFrame:
         """A corpus, stored once per application and data folder as a table.
 

@@ -8,6 +8,7 @@ functions, and join on substrings where Spark uses keys.
 from __future__ import annotations
 
 from codeloom import rules
+from codeloom.operators import schemas
 from codeloom.plans import fixture
 
 
@@ -544,6 +545,57 @@ def _aliases() -> str:
     return f"alias(name, analyser) AS (VALUES {pairs})"
 
 
+_OF_MESSAGES = ", ".join(_q(kind) for kind in schemas.MESSAGES)
+_MESSAGES = f"""schema_files AS ({fixture.schema_files_sql()}),
+tokens AS (
+  SELECT repo_id, path, schema, package, unnest(found) AS token, generate_subscripts(found, 1) AS place
+  FROM (SELECT repo_id, path, regexp_extract(path, {_q(schemas.SCHEMA_FILE)}, 1) AS schema,
+          regexp_extract(body, {_q(schemas.SCHEMA_PACKAGE)}, 1) AS package, regexp_extract_all(body, {_q(schemas.SCHEMA_TOKEN)}) AS found
+        FROM (SELECT repo_id, path, regexp_replace(content, {_q(schemas.SCHEMA_NOISE)}, ' ', 'g') AS body
+              FROM schema_files WHERE regexp_matches(path, {_q(schemas.SCHEMA_FILE)})) b) t),
+levelled AS (
+  SELECT *, suffix(token, '{{') AS opens,
+    coalesce(sum(CASE WHEN suffix(token, '{{') THEN 1 WHEN token = '}}' THEN -1 ELSE 0 END)
+      OVER (PARTITION BY repo_id, path ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS level
+  FROM tokens),
+blocks AS MATERIALIZED (
+  SELECT *, regexp_extract(token, '^(\\w+)\\s', 1) AS kind, regexp_extract(token, '^\\w+\\s+(\\w+)', 1) AS name
+  FROM levelled WHERE opens),
+held AS MATERIALIZED (
+  SELECT t.repo_id, t.path, t.place, max(b.place) AS holder
+  FROM levelled t LEFT JOIN blocks b ON b.repo_id = t.repo_id AND b.path = t.path AND b.place < t.place AND b.level = t.level - 1
+  GROUP BY ALL),
+outward(repo_id, path, place, outer_block, name) AS (
+  SELECT repo_id, path, place, holder, name FROM blocks JOIN held USING (repo_id, path, place) WHERE kind IN ({_OF_MESSAGES})
+  UNION ALL
+  SELECT o.repo_id, o.path, o.place, h.holder, CASE WHEN b.kind IN ({_OF_MESSAGES}) THEN b.name || '.' || o.name ELSE o.name END
+  FROM outward o JOIN blocks b ON b.repo_id = o.repo_id AND b.path = o.path AND b.place = o.outer_block
+  JOIN held h ON h.repo_id = o.repo_id AND h.path = o.path AND h.place = o.outer_block),
+fields AS (
+  SELECT t.repo_id, t.path, CASE WHEN b.kind = 'oneof' THEN u.holder ELSE h.holder END AS place, count(*) AS n
+  FROM levelled t JOIN held h USING (repo_id, path, place)
+  JOIN blocks b ON b.repo_id = t.repo_id AND b.path = t.path AND b.place = h.holder
+  JOIN held u ON u.repo_id = t.repo_id AND u.path = t.path AND u.place = h.holder
+  WHERE NOT t.opens AND regexp_matches(t.token, '^=|:$') GROUP BY ALL),
+messages AS (
+  SELECT o.repo_id, o.path, b.schema, b.package, o.name AS message, coalesce(f.n, 0) AS n_fields
+  FROM outward o JOIN blocks b USING (repo_id, path, place) LEFT JOIN fields f USING (repo_id, path, place) WHERE o.outer_block IS NULL)"""
+
+
+def _symbols(c: schemas.Convention) -> str:
+    form = {
+        "last": "regexp_extract(m.message, '(\\w+)$', 1)", "underscore": "replace(m.message, '.', '_')",
+        "package": "concat_ws('.', nullif(m.package, ''), m.message)",
+    }[c.form]
+    stem = "''" if "()" in c.file else "regexp_extract(m.path, '([^/]+)\\.\\w+$', 1)"
+    return f"""SELECT m.repo_id, m.message, m.n_fields, m.path AS schema_file, {_q(c.name)} AS convention, g.path AS generated_file
+      FROM (SELECT *, {stem} AS stem, {form} AS symbol FROM messages m WHERE schema = {_q(c.schema)}
+        QUALIFY count(*) OVER (PARTITION BY repo_id, {stem}, {form}) = 1) m JOIN (
+        SELECT DISTINCT repo_id, path, regexp_extract(path, {_q(c.file)}, 1) AS stem, unnest(regexp_extract_all(content, {_q(c.symbol)}, 1)) AS symbol
+        FROM schema_files WHERE contains(content, {_q(schemas.GENERATED)}) AND regexp_matches(path, {_q(c.file)})) g
+      ON g.repo_id = m.repo_id AND g.stem = m.stem AND g.symbol = m.symbol"""
+
+
 def _sql() -> dict[str, str]:
     o: dict[str, str] = {}
     # sources
@@ -721,16 +773,28 @@ def _sql() -> dict[str, str]:
         UNION
         SELECT e.repo_id, e.source_file, w.distance + 1 FROM walk w JOIN inner_edges e ON e.repo_id = w.repo_id AND e.target_file = w.path
         WHERE w.distance < 50)""")[len("WITH "):] + "SELECT repo_id, path, min(distance)::BIGINT AS distance FROM walk GROUP BY ALL"
+    o["module_cycles"] = f"""WITH RECURSIVE modules AS MATERIALIZED ({fixture.cycle_files_sql()}),
+      links AS MATERIALIZED (SELECT DISTINCT a.repo_id, a.path AS a, b.path AS b
+        FROM (SELECT repo_id, path, unnest(regexp_extract_all(content, 'import pkg.(m[0-9]+)', 1)) AS name FROM modules) a
+        JOIN modules b ON b.repo_id = a.repo_id AND b.path = 'pkg/' || a.name || '.py' WHERE a.path <> b.path),
+      reach(repo_id, a, b) AS (SELECT repo_id, a, b FROM links
+        UNION SELECT r.repo_id, r.a, l.b FROM reach r JOIN links l ON l.repo_id = r.repo_id AND l.a = r.b)
+      SELECT x.repo_id, x.a AS path, min(x.b) AS component, count(*) AS members
+      FROM reach x JOIN reach y ON y.repo_id = x.repo_id AND y.a = x.b AND y.b = x.a GROUP BY x.repo_id, x.a"""
+    o["schema_messages"] = f"WITH RECURSIVE {_MESSAGES} SELECT * FROM messages"
+    o["schema_bindings"] = f"WITH RECURSIVE {_MESSAGES} " + " UNION ALL ".join(map(_symbols, schemas.CONVENTIONS))
     # catalogue and jobs
     o["repos_by_owner"] = _with(_REPOS) + "SELECT user_id, count(*) AS repositories, max(repository_id) AS newest_repository FROM repos GROUP BY user_id"
     o["repos_of_user"] = _with(_REPOS) + "SELECT repository_id, user_id FROM repos WHERE user_id = 7"
     o["recent_analyses"] = _with(_JOBS, f"req AS ({fixture.REQUEST_SQL})") + f"""SELECT j.job_id, j.status, {_stamp('started_at')}, q.repository_id, q.languages
       FROM (SELECT * FROM jobs ORDER BY started_at DESC, job_id DESC LIMIT 20) j LEFT JOIN req q USING (job_id)"""
-    o["job_summaries"] = _code(_JOBS, f"req AS ({fixture.REQUEST_SQL})", _aliases()) + f"""SELECT j.job_id, {_stamp('started_at')}, {_stamp('completed_at')},
+    o["job_summaries"] = _code(_JOBS, f"req AS ({fixture.REQUEST_SQL})", _aliases(), """known AS (
+        SELECT repo_id, row_number() OVER (ORDER BY repo_id) - 1 AS number, count(*) OVER () AS repositories FROM (SELECT DISTINCT repo_id FROM files) f)""") + f"""SELECT j.job_id, {_stamp('started_at')}, {_stamp('completed_at')},
         a.analyser AS language, coalesce(n.files, 0) AS files_analyzed
       FROM jobs j JOIN (SELECT DISTINCT r.job_id, r.repository_id, a.analyser
           FROM (SELECT job_id, repository_id, unnest(string_split(languages, ',')) AS name FROM req) r JOIN alias a USING (name)) a USING (job_id)
-      LEFT JOIN (SELECT repo_id, language, count(*) AS files FROM src GROUP BY ALL) n ON n.repo_id = a.repository_id % 30 AND n.language = a.analyser"""
+      LEFT JOIN known k ON k.number = a.repository_id % k.repositories
+      LEFT JOIN (SELECT repo_id, language, count(*) AS files FROM src GROUP BY ALL) n ON n.repo_id = k.repo_id AND n.language = a.analyser"""
     o["owned_jobs"] = _with(_REPOS) + """SELECT r.user_id, r.job_id FROM (
       SELECT l_orderkey * 10 + l_linenumber AS job_id, l_suppkey AS user_id, l_orderkey AS repository_id FROM lineitem) r
       WHERE EXISTS (SELECT 1 FROM repos p WHERE p.repository_id = r.repository_id AND p.user_id = r.user_id)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom import rules
@@ -17,6 +17,7 @@ from codeloom.operators import (
     jobs,
     pyfacts,
     retrieval,
+    schemas,
     security,
     stats,
 )
@@ -208,6 +209,22 @@ def blast_radius(inputs: Inputs) -> DataFrame:
     return bridges.blast_radius(edges, changed)
 
 
+@_query
+def module_cycles(inputs: Inputs) -> DataFrame:
+    files = inputs.cycle_files()
+    return dependencies.module_cycles(dependencies.internal_edges(files, pyfacts.python_facts(files)))
+
+
+@_query
+def schema_messages(inputs: Inputs) -> DataFrame:
+    return schemas.messages(inputs.schema_files())
+
+
+@_query
+def schema_bindings(inputs: Inputs) -> DataFrame:
+    return schemas.schema_bindings(inputs.schema_files())
+
+
 # --------------------------------------------------------- catalogue and jobs
 
 
@@ -232,9 +249,17 @@ def recent_analyses(inputs: Inputs) -> DataFrame:
 @_query
 def job_summaries(inputs: Inputs) -> DataFrame:
     tasks = jobs.fan_out(inputs.requests()).filter("analyser <> 'polyglot'")
-    # The corpus has thirty repositories; each one asked for stands for one of them.
-    tasks = tasks.withColumn("repository_id", F.col("repository_id") % 30)
-    counts = corpus.analysed_files(inputs.files()).groupBy(F.col("repo_id").alias("repository_id"), "language").agg(
+    files = inputs.files()
+    # Each repository asked for stands for one of the corpus, by the number of that one.
+    known = files.select("repo_id").distinct()
+    # One row for each repository; a catalogue would have these numbers.
+    numbered = known.select("repo_id", (F.row_number().over(Window.orderBy("repo_id")) - 1).alias("number"))
+    tasks = (
+        tasks.crossJoin(F.broadcast(known.agg(F.count("*").alias("repositories"))))
+        .withColumn("number", F.col("repository_id") % F.col("repositories")).drop("repository_id")
+        .join(numbered, "number").withColumnRenamed("repo_id", "repository_id")
+    )
+    counts = corpus.analysed_files(files).groupBy(F.col("repo_id").alias("repository_id"), "language").agg(
         F.count("*").alias("files")
     )
     found = jobs.job_summaries(jobs.latest_state(inputs.job_events()), tasks, counts)

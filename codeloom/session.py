@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if shared_folder(df.sparkSession) is None:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back.
+
+    For loops: a checkpoint keeps the constraints of its plan, which grow with
+    each round of joins until planning takes longer than the work; a table has none.
+    """
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    path = f"{folder}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
