@@ -48,7 +48,7 @@ ANCHOR_PIECES = 16_384
 _SEGMENT = 1 << 21
 _PLACES_MASK = np.uint64((1 << 23) - 1)
 _GRAM_STEP = np.uint64(0x9E3779B97F4A7C15)
-_NAME = ("id", "t1", "t2")
+_NAME = ("id", "check")
 
 # ------------------------------------------------------------------- anchors
 
@@ -124,12 +124,12 @@ def _segments(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndar
 
 #: ``place`` holds the first byte of a piece and, in the low 8 bits, its windows.
 #: Without nulls, so that no branch of the plan filters them and all share a shuffle.
-_PLACES = "anchor long not null, piece long not null, id long not null, t1 long not null, t2 long not null, place long not null"
+_PLACES = "anchor long not null, piece long not null, id long not null, check long not null, place long not null"
 
 
 def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, at, data, offsets in _segments(batch.column(3), length):
+        for first, at, data, offsets in _segments(batch.column(2), length):
             row, start, count, anchor, piece = pieces(data, offsets, length)
             rows = pa.array(row + first)
             yield pa.RecordBatch.from_arrays(
@@ -138,7 +138,6 @@ def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                     pa.array(piece.view(np.int64)),
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
-                    batch.column(2).take(rows),
                     pa.array((start + at) << 8 | count),
                 ],
                 names=[x.split()[0] for x in _PLACES.split(", ")],
@@ -366,21 +365,28 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_bytes: bool) -> It
         )
 
 
+#: The upper 16 bits of a number.
+_UPPER_BITS = -(1 << 48)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    """``id, t1, t2, doc_id, text``: ``id, t1, t2`` name a text and are never null.
+    """``id, check, doc_id, text``: ``id, check`` name a text and are never null.
 
-    Rows without ``doc_id`` are told apart by the hashes alone, 128 bits; equal
-    texts with one name share their result, so a meeting of a hash and a real id
-    does no harm.
+    Texts of one ``doc_id`` are told apart by 80 bits of hash, 16 of them in ``id``,
+    and texts without one by 128: a name is in every place, so its bytes count.
+    Equal texts with one name share their result, so no harm is done if a hash
+    meets a real id.
     """
-    t1, t2 = text_name(F.col("text"))
+    check, other = text_name(F.col("text"), ("check", "other"))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(doc_id, t1).alias("id"), t1, t2, doc_id.alias("doc_id"), "text")
+    named = docs.select(doc_id.alias("doc_id"), "text", check, other)
+    spread = F.col("doc_id").bitwiseXOR(F.col("other").bitwiseAND(F.lit(_UPPER_BITS)))
+    return named.select(F.coalesce(spread, F.col("other")).alias("id"), "check", "doc_id", "text")
 
 
 def _contents(texts: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
     """``anchor, piece, weight, content``: the bytes of pieces, cut from one text each."""
-    of_text = distinct.groupBy("at.id", "at.t1", "at.t2").agg(
+    of_text = distinct.groupBy("at.id", "at.check").agg(
         F.collect_list(F.struct("anchor", "piece", "weight", "at.place")).alias("pieces")
     )
     cut = F.transform(
@@ -399,7 +405,7 @@ def _contents(texts: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
-    """``id, t1, t2, first, last``: runs of starts of repeated windows, by text.
+    """``id, check, first, last``: runs of starts of repeated windows, by text.
 
     One lazy plan: the places by anchor and the texts by name are each shuffled
     once and read twice.
