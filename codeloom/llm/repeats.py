@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bytewise import SpanHasher, chunks, expand
@@ -370,18 +370,26 @@ _UPPER_BITS = -(1 << 48)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """``id, check, doc_id, text``: ``id, check`` name a text and are never null.
+    """``id, check, text``: ``id, check`` name a text and are never null.
 
-    Texts of one ``doc_id`` are told apart by 80 bits of hash, 16 of them in ``id``,
-    and texts without one by 128: a name is in every place, so its bytes count.
-    Equal texts with one name share their result, so no harm is done if a hash
-    meets a real id.
+    Texts of one ``doc_id`` are told apart by 79 bits of hash, 16 of them in ``id``,
+    and texts without one by 127: a name is in every place, so its bytes count.
+    The lowest bit of ``check`` says that there is no ``doc_id``.
     """
     check, other = text_name(F.col("text"), ("check", "other"))
-    doc_id = F.col("doc_id").cast("long")
-    named = docs.select(doc_id.alias("doc_id"), "text", check, other)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", check, other)
     spread = F.col("doc_id").bitwiseXOR(F.col("other").bitwiseAND(F.lit(_UPPER_BITS)))
-    return named.select(F.coalesce(spread, F.col("other")).alias("id"), "check", "doc_id", "text")
+    marked = F.col("check").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    return named.select(F.coalesce(spread, F.col("other")).alias("id"), marked.alias("check"), "text")
+
+
+def _doc_id() -> Column:
+    """The ``doc_id`` in the name of a text.  It is no column of its own, so that all
+    joins use the same columns of the texts and share their shuffle."""
+    _, other = text_name(F.col("text"))
+    return F.when(
+        F.col("check").bitwiseAND(F.lit(1)) == 0, F.col("id").bitwiseXOR(other.bitwiseAND(F.lit(_UPPER_BITS)))
+    ).alias("doc_id")
 
 
 def _contents(texts: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
@@ -471,6 +479,6 @@ def without_repeats(docs: DataFrame, length: int = 200, with_bytes: bool = True)
     )
     # The same projection of the texts as above, so that its shuffle is read again.
     joined = texts.join(runs, list(_NAME), "left")
-    return joined.select("doc_id", "text", "runs.first", "runs.last").mapInArrow(
+    return joined.select(_doc_id(), "text", "runs.first", "runs.last").mapInArrow(
         lambda b: _cut(b, length, with_bytes), _CUT
     )
