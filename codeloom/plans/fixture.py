@@ -279,19 +279,53 @@ _SCHEMAS = (
 )
 
 
-def schema_files_sql() -> str:
-    """Schemas and generated files; one file per part, a third of them in repository 0."""
-    number = f"p_partkey % {len(_SCHEMAS)}"
-    keys = dict(k=_as_text("p_partkey"), b=_as_text(f"p_partkey - {number}"), m=_as_text("CAST(p_size AS BIGINT) % 4"))
-    kinds = [(p, [(w and w.replace("s ", "p_size ", 1), t) for w, t in text]) for p, text in _SCHEMAS]
+# One file per part that defines or calls routes with parameters; file number % 8 is
+# its kind, and the eight files of a group are one service.
+_ROUTED = (
+    ("svc/a~k~.py", (
+        (None, "@app.route(~q~/api/shops/<int:shop>/parts/~s~~q~)~n~def part(shop): pass~n~"),
+        ("s % 3 = 0", "@app.route(~q~/api/files~m~/<path:rest>~q~)~n~def rest(rest): pass~n~"),
+        ("s % 4 = 1", "@app.route(~q~/api/files~m~/a/<name>/raw~q~)~n~def raw(name): pass~n~"),
+    )),
+    ("web/r~k~.js", (
+        (None, "app.get(~q~/api/shops/:shop/parts/:part~q~, h);~n~app.post(\"/api/parts/:id?\", h);~n~"),
+        ("s % 4 = 0", "app.put(~q~/api/users~m~/me~q~, h);~n~"),
+    )),
+    ("cs/C~k~.cs", (
+        (None, "[Route(\"api/shops/{shop:int}/orders/{order}\")]~n~"),
+        ("s % 5 = 0", "[Route(\"api/orders~m~/{*rest}\")]~n~"),
+    )),
+    ("java/J~k~.java", ((None, "String a = \"/api/shops/~s~/parts/~s~\"; String b = \"/api/parts/~k~\"; String c = \"/api/shops/x~s~/parts/~s~\";~n~"),)),
+    ("web/c~k~.ts", ((None, "fetch(`/api/shops/~d~{id}/parts/~k~`); fetch(\"/api/files~m~/a/b~k~?x=1\"); fetch(\"/api/files~m~/a/b~s~/raw\"); fetch(\"/api/parts/\");~n~"),)),
+    ("go/g~k~.go", ((None, "http.Get(\"http://localhost:8080/api/shops/7/orders/o~s~\")~n~var u = \"/api/users~m~/me\"; v := \"/api/users~m~/~k~\"~n~"),)),
+    ("svc/b~k~.py", ((None, "requests.get(f\"http://127.0.0.1:80/api/orders~m~/~k~/lines\")~n~NONE = \"/v1/none/~s~\"~n~"),)),
+    ("web/u~k~.js", ((None, "app.get(\"/api/users~m~/:name\", h);~n~call(\"/api/users~m~/ann~s~\");~n~"),)),
+)
+
+
+def _grouped_sql(kinds, m: str) -> str:
+    """One file of ``kinds`` per part by its number; a third of the groups in repository 0."""
+    number = f"p_partkey % {len(kinds)}"
+    keys = dict(k=_as_text("p_partkey"), b=_as_text(f"p_partkey - {number}"), s=_as_text("p_size"), m=_as_text(m))
+    kinds = [(p, [(w and w.replace("s ", "p_size ", 1), t) for w, t in text]) for p, text in kinds]
     path = _filled(_case([(f"{number} = {i}", _literal(p)) for i, (p, _) in enumerate(kinds)]), **keys)
     content = _filled(_case([(f"{number} = {i}", _snippets(t)) for i, (_, t) in enumerate(kinds)]), **keys)
-    group = f"CAST(floor((p_partkey - {number}) / {len(_SCHEMAS)}) AS BIGINT)"
+    group = f"CAST(floor((p_partkey - {number}) / {len(kinds)}) AS BIGINT)"
     return f"""
 SELECT CASE WHEN {group} % 3 = 0 THEN 0 ELSE CAST(floor({group} / 6) AS BIGINT) END AS repo_id,
        {path} AS path, {content} AS content FROM part"""
 
 
+def schema_files_sql() -> str:
+    """Schemas and generated files."""
+    return _grouped_sql(_SCHEMAS, "CAST(p_size AS BIGINT) % 4")
+
+
+def route_files_sql() -> str:
+    """Definitions of routes and calls of them."""
+    return _grouped_sql(_ROUTED, "CAST(p_size AS BIGINT) % 7")
+
+
 def cycle_files_sql() -> str:
     """Python modules that import each other: chains of 60 with ways back, between
     chains, and short circles; repositories of 600 modules."""

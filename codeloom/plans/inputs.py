@@ -73,6 +73,9 @@ class Inputs:
     def schema_files(self) -> DataFrame:
         return self._corpus("schemas", fixture.schema_files_sql())
 
+    def route_files(self) -> DataFrame:
+        return self._corpus("routes", fixture.route_files_sql())
+
     def cycle_files(self) -> DataFrame:
         return self._corpus("cycles", fixture.cycle_files_sql())
 

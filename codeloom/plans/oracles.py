@@ -95,6 +95,32 @@ def _cross(*more: str) -> str:
     return _with(_FILES, _POLY, *more)
 
 
+def _route_matches() -> str:
+    """All definitions as regular expressions against all calls of the repository."""
+    plain = "replace(replace(replace({0}, chr(39), ''), chr(34), ''), '`', '')"
+    called = f"regexp_replace(regexp_replace({plain}, '^[^/]*', ''), '[?#].*$|/+$', '', 'g')"
+    defined = f"trim(regexp_replace({plain.format('route')}, '^(GET|POST|PUT|DELETE|PATCH)\\s+', '', 'i'), '/')"
+    kind = """CASE WHEN i = len(steps) AND regexp_full_match(s, '\\{\\*.*\\}|<path:\\w+>|\\*.*|:\\w+[*+]') THEN 3
+        WHEN regexp_full_match(s, '<int:\\w+>|\\{\\w+:int\\??\\}') THEN 1
+        WHEN regexp_matches(s, '^:\\w|^\\*|<\\w+(:\\w+)?>|\\{.*\\}') THEN 2 ELSE 0 END"""
+    corpus = _cross(_ENDPOINTS, _ROUTES).replace(fixture.files_sql(), fixture.route_files_sql())
+    return corpus.rstrip() + f""",
+      defined AS MATERIALIZED (SELECT DISTINCT repo_id, source_file, {called.format('route')} AS called, string_split({defined}, '/') AS steps,
+          regexp_matches({plain.format('route')}, '/(:\\w+|\\{{[\\w:]+)\\?\\}}?$') AS optional FROM routes),
+      kinds AS MATERIALIZED (SELECT *, list_transform(steps, lambda s, i: {kind}) AS kind FROM defined),
+      pieces AS MATERIALIZED (SELECT *, list_transform(steps, lambda s, i: CASE kind[i] WHEN 0 THEN s WHEN 1 THEN '{{int}}' WHEN 2 THEN '{{}}' ELSE '{{*}}' END) AS shown,
+          list_transform(steps, lambda s, i: CASE kind[i] WHEN 0 THEN regexp_escape(s) WHEN 1 THEN '([0-9]+|[^/]*\\{{[^/]*)' WHEN 2 THEN '[^/]+' ELSE '.+' END) AS expression FROM kinds),
+      ends AS (SELECT *, unnest(CASE WHEN optional THEN [len(steps), len(steps) - 1] ELSE [len(steps)] END) AS n FROM pieces),
+      patterns AS MATERIALIZED (SELECT repo_id, array_to_string(kind[:n], '') AS rank, '/' || array_to_string(shown[:n], '/') AS pattern,
+          '/' || array_to_string(expression[:n], '/') AS expression, count(DISTINCT source_file) AS definitions FROM ends GROUP BY ALL),
+      calls AS MATERIALIZED (SELECT repo_id, called AS route, count(DISTINCT source_file) AS callers
+        FROM (SELECT repo_id, source_file, {called.format('endpoint')} AS called FROM endpoints) e
+        WHERE called <> '' AND (repo_id, source_file, called) NOT IN (SELECT (repo_id, source_file, called) FROM defined) GROUP BY ALL),
+      best AS (SELECT c.repo_id, c.route, c.callers, p.*, row_number() OVER (PARTITION BY c.repo_id, c.route ORDER BY p.rank) AS place
+        FROM calls c JOIN patterns p ON p.repo_id = c.repo_id AND regexp_full_match(c.route, p.expression))
+      SELECT repo_id, route, pattern, len(replace(rank, '0', ''))::BIGINT AS parameters, callers, definitions FROM best WHERE place = 1"""
+
+
 # ------------------------------------------------------------- python facts
 
 _PY = """py AS MATERIALIZED (
@@ -781,6 +807,7 @@ def _sql() -> dict[str, str]:
         UNION SELECT r.repo_id, r.a, l.b FROM reach r JOIN links l ON l.repo_id = r.repo_id AND l.a = r.b)
       SELECT x.repo_id, x.a AS path, min(x.b) AS component, count(*) AS members
       FROM reach x JOIN reach y ON y.repo_id = x.repo_id AND y.a = x.b AND y.b = x.a GROUP BY x.repo_id, x.a"""
+    o["route_matches"] = _route_matches()
     o["schema_messages"] = f"WITH RECURSIVE {_MESSAGES} SELECT * FROM messages"
     o["schema_bindings"] = f"WITH RECURSIVE {_MESSAGES} " + " UNION ALL ".join(map(_symbols, schemas.CONVENTIONS))
     # catalogue and jobs

@@ -17,6 +17,7 @@ from codeloom.operators import (
     jobs,
     pyfacts,
     retrieval,
+    routes,
     schemas,
     security,
     stats,
@@ -209,6 +210,12 @@ def blast_radius(inputs: Inputs) -> DataFrame:
     return bridges.blast_radius(edges, changed)
 
 
+@_query
+def route_matches(inputs: Inputs) -> DataFrame:
+    scanned = crosslang.scan(inputs.route_files(), "endpoints", "routes")
+    return routes.route_matches(crosslang.http_apis(scanned), crosslang.api_endpoints(scanned))
+
+
 @_query
 def module_cycles(inputs: Inputs) -> DataFrame:
     files = inputs.cycle_files()
