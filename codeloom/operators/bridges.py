@@ -88,15 +88,17 @@ def bridge_edges(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
     )
 
 
-def typed_graph(imports: DataFrame, cross: DataFrame) -> DataFrame:
-    """Import edges between files and cross-language edges as one edge table."""
+def typed_graph(imports: DataFrame, cross: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Import edges between files, cross-language edges and, if given, the edges of
+    ``symbols.symbol_edges`` as one edge table."""
     inner = imports.select(
         "repo_id",
         F.concat("source_language", F.lit(":"), "source_file").alias("src"),
         F.concat("target_language", F.lit(":"), "target_file").alias("dst"),
         F.col("dependency_type").alias("type"),
     )
-    return inner.unionByName(cross.select("repo_id", "src", "dst", "type"))
+    both = inner.unionByName(cross.select("repo_id", "src", "dst", "type"))
+    return both if symbols is None else both.unionByName(symbols.select("repo_id", "src", "dst", "type"))
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame) -> DataFrame:
