@@ -35,12 +35,15 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 def _powers(prime: int, base: int, count: int) -> np.ndarray:
-    """``base ** k`` modulo ``prime`` for ``k`` below ``count``."""
+    """``base ** k`` modulo ``prime`` for ``k`` below ``count``, in 32 bits each."""
     known = _POWERS.get((prime, base))
     if known is None or len(known) < count:
-        known = np.ones(1, dtype=np.uint64)
-        while len(known) < max(count, CHUNK_BYTES + 1):
-            known = np.concatenate((known, known * np.uint64(pow(base, len(known), prime)) % np.uint64(prime)))
+        size = max(count, CHUNK_BYTES + 1)
+        powers = np.ones(1, dtype=np.uint64)
+        while len(powers) < size:
+            more = powers[: size - len(powers)] * np.uint64(pow(base, len(powers), prime)) % np.uint64(prime)
+            powers = np.concatenate((powers, more))
+        known = powers.astype(np.uint32)
         if count <= CHUNK_BYTES + 1:
             _POWERS[prime, base] = known
     return known[:count]

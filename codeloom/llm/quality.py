@@ -29,6 +29,8 @@ SAMPLE_ROWS = 6_000
 FEATURES = 2048
 _RELATIONS = 16
 _CLASSES = 16
+#: Bytes of text taken at a time: features take some hundred bytes for each.
+_TASK_BYTES = 1 << 19
 
 # ---------------------------------------------------------------- labellers
 
@@ -213,7 +215,7 @@ def fit(shares: np.ndarray, good: np.ndarray, rounds: int = 400) -> tuple[np.nda
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [Texts(d, o).votes() for _, d, o in chunks(batch.column(0))]
+        found = [Texts(d, o).votes() for _, d, o in chunks(batch.column(0), _TASK_BYTES)]
         pattern, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n)], names=["pattern", "n"])
 
@@ -229,7 +231,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = FEATURES + _RELATIONS
     for batch in _once(batches):
-        for first, data, offsets in chunks(batch.column(1)):
+        for first, data, offsets in chunks(batch.column(1), _TASK_BYTES):
             texts = Texts(data, offsets)
             trigram, row, relation, word_row = texts.features()
             shares = np.bincount(row * size + trigram, minlength=texts.count * size).reshape(-1, size).astype(np.float32)
@@ -260,13 +262,17 @@ def _fitted(batches: Iterator[pa.RecordBatch], known: dict[int, float]) -> Itera
 _SCORES = "doc_id long, text_hash long, votes long, weak_label double, score double"
 
 
+def _scores(texts: Texts, weights: np.ndarray, bias: float) -> np.ndarray:
+    trigram, row, relation, word_row = texts.features()
+    total = bias + _mean(weights[trigram], row, texts.count) + _mean(weights[relation], word_row, texts.count)
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model: list[float], known: dict[int, float]) -> Iterator[pa.RecordBatch]:
     weights, bias = np.array(model[:-1]), model[-1]
     for batch in batches:
-        for first, data, offsets in chunks(batch.column(2)):
+        for first, data, offsets in chunks(batch.column(2), _TASK_BYTES):
             texts = Texts(data, offsets)
-            trigram, row, relation, word_row = texts.features()
-            total = bias + _mean(weights[trigram], row, texts.count) + _mean(weights[relation], word_row, texts.count)
             votes = texts.votes()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -274,12 +280,21 @@ def _scored(batches: Iterator[pa.RecordBatch], model: list[float], known: dict[i
                     batch.column(1).slice(first, texts.count),
                     pa.array(votes),
                     pa.array([known.get(int(v)) for v in votes], type=pa.float64()),
-                    pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30)))),
+                    pa.array(_scores(texts, weights, bias)),
                 ],
                 names=[x.split()[0] for x in _SCORES.split(", ")],
             )
 
 
+def _kept(batches: Iterator[pa.RecordBatch], text: int, model: list[float], least: float) -> Iterator[pa.RecordBatch]:
+    """The rows, as they are, whose text scores ``least`` or more."""
+    weights, bias = np.array(model[:-1]), model[-1]
+    for batch in batches:
+        for first, data, offsets in chunks(batch.column(text), _TASK_BYTES):
+            texts = Texts(data, offsets)
+            yield batch.slice(first, texts.count).filter(pa.array(_scores(texts, weights, bias) >= least))
+
+
 def sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
     """``pattern, shares`` of ``sample_rows`` different rows (id and text) at most."""
     # The ids of the sample are found first, so that no text is sorted.
@@ -291,16 +306,9 @@ def sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
     return shares.dropDuplicates(["mark"]).select("pattern", "shares")
 
 
-def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id, text_hash, votes, weak_label, score`` of every row of ``docs``.
-
-    ``votes`` is the vote pattern, ``weak_label`` the chance to be good that the
-    label model gives it, ``score`` (0 to 1) the scorer's.  The label model counts
-    the patterns of all texts; the scorer is fitted on the ``sample_rows`` rows
-    with the smallest hashes of id and text; equal rows count once.  Null and empty texts have no votes
-    and the score of an empty text.  ``doc_id`` may be null or repeated.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+def _learned(docs: DataFrame, sample_rows: int) -> tuple[list[float], dict[int, float]]:
+    """The scorer's weights and the weak label of each vote pattern."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     # At most 3 ** labellers rows.
     counted = (
         docs.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
@@ -311,16 +319,28 @@ def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     model = stored(
         sampled(rows, sample_rows).repartition(1).mapInArrow(lambda b: _fitted(b, known), "model array<double>"), "quality-model"
     ).first()["model"]
+    return model, known
+
+
+def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, text_hash, votes, weak_label, score`` of every row of ``docs``.
+
+    ``votes`` is the vote pattern, ``weak_label`` the chance to be good that the
+    label model gives it, ``score`` (0 to 1) the scorer's.  The label model counts
+    the patterns of all texts; the scorer is fitted on the ``sample_rows`` rows
+    with the smallest hashes of id and text; equal rows count once.  Null and empty texts have no votes
+    and the score of an empty text.  ``doc_id`` may be null or repeated.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    model, known = _learned(rows, sample_rows)
     return rows.mapInArrow(lambda b: _scored(b, model, known), _SCORES)
 
 
 def good_only(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` without the rows of a score below ``least``; equal rows share their fate."""
-    bad = quality(docs, sample_rows).where(F.col("score") < least)
-    bad = bad.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_id"),
-        F.xxhash64("text").alias("_hash"),
-    )
-    return rows.join(bad, ["_id", "_hash"], "left_anti").select("_row.*")
+    """``docs`` without the rows of a score below ``least``; equal texts share their fate.
+
+    Rows are scored and kept in one pass, whatever their other columns; nothing is shuffled.
+    """
+    model, _ = _learned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample_rows)
+    text = docs.columns.index("text")
+    return docs.mapInArrow(lambda b: _kept(b, text, model, least), docs.schema)
