@@ -303,6 +303,33 @@ _ROUTED = (
 )
 
 
+# One file per part that declares or uses symbols; the ten files of a group use each other.
+_SYMBOLS = (
+    ("java/p~b~/Base~b~.java", ((None, "package shop.p~b~;~n~public abstract class Base~b~ { }~n~interface Sized { }~n~interface Big~b~ extends Sized { }~n~"),)),
+    ("java/q~b~/Item~b~.java", (
+        (None, "package shop.q~b~;~n~import shop.p~b~.Base~b~;~n~"),
+        ("s % 3 = 0", "import shop.p~b~.*;~n~"),
+        (None, "// class No~b~ extends Base~b~ { }~n~public class Item~b~<T extends Comparable<T>> extends Base~b~ implements Sized, Other {~n~}~n~"),
+    )),
+    ("cs/m/R~k~.cs", ((None, "namespace Shop.M~m~ {~n~public interface IPart { }~n~public class Root~b~ : IPart { }~n~}~n~"),)),
+    ("cs/n~b~/L~k~.cs", ((None, "using Shop.M~m~;~n~class Leaf~k~ : Root~b~, IPart { }~n~"),)),
+    ("py/g~b~/base.py", ((None, "class Node~b~:~n~    pass~n~~n~def total(x):~n~    return x~n~~n~async def only~b~(x):~n~    return total(x)~n~"),)),
+    ("py/g~b~/sub/use.py", (
+        ("s % 3 = 0", "from ..base import Node~b~, total~n~"),
+        ("s % 3 = 1", "from py.g~b~.base import total~n~"),
+        (None, "~n~class Leaf(Node~b~, dict):~n~    def run(self):~n~        return total(1) + len(\"only~b~(\") + self.only~b~(2)~n~# only~b~(3)~n~"),
+        ("s % 2 = 0", "only~b~(4)~n~"),
+    )),
+    ("web/u~b~.ts", ((None, "export class View~b~ { }~n~export function paint(a) { return a; }~n~export interface Shape { }~n~"),)),
+    ("web/sub/v~b~.ts", (
+        ("s % 2 = 0", "import { paint } from ~q~../u~b~~q~;~n~"),
+        (None, "class Panel~b~ extends View~b~ implements Shape { }~n~function helper~b~() { return paint(helper~b~()); }~n~"),
+    )),
+    ("go/d~m~/a~k~.go", ((None, "package d~n~~n~func Load~b~(x int) int { return x }~n~func same(x int) int { return x }~n~"),)),
+    ("go/d~m~/b~k~.go", ((None, "package d~n~~n~func use~k~() { Load~b~(same(1)); fmt.Println(2) }~n~"),)),
+)
+
+
 def _grouped_sql(kinds, m: str) -> str:
     """One file of ``kinds`` per part by its number; a third of the groups in repository 0."""
     number = f"p_partkey % {len(kinds)}"
@@ -326,6 +353,11 @@ def route_files_sql() -> str:
     return _grouped_sql(_ROUTED, "CAST(p_size AS BIGINT) % 7")
 
 
+def symbol_files_sql() -> str:
+    """Declarations of types and functions, and files that use them."""
+    return _grouped_sql(_SYMBOLS, "CAST(p_size AS BIGINT) % 4")
+
+
 def cycle_files_sql() -> str:
     """Python modules that import each other: chains of 60 with ways back, between
     chains, and short circles; repositories of 600 modules."""

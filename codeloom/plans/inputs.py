@@ -76,6 +76,9 @@ class Inputs:
     def route_files(self) -> DataFrame:
         return self._corpus("routes", fixture.route_files_sql())
 
+    def symbol_files(self) -> DataFrame:
+        return self._corpus("symbols", fixture.symbol_files_sql())
+
     def cycle_files(self) -> DataFrame:
         return self._corpus("cycles", fixture.cycle_files_sql())
 

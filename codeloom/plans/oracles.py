@@ -121,6 +121,64 @@ def _route_matches() -> str:
       SELECT repo_id, route, pattern, len(replace(rank, '0', ''))::BIGINT AS parameters, callers, definitions FROM best WHERE place = 1"""
 
 
+def _symbol_edges() -> str:
+    """Symbols of the derived corpus, each looked for scope by scope."""
+    declared = (
+        ("python", "type", "class", r"(?m)^class\s+(\w+)"), ("python", "function", "function", r"(?m)^(?:async )?def\s+(\w+)"),
+        ("javascript", "type", "class", r"\bclass\s+(\w+)"), ("javascript", "type", "interface", r"\binterface\s+(\w+)"),
+        ("javascript", "function", "function", r"\bfunction\s+(\w+)"), ("csharp", "type", "class", r"\bclass\s+(\w+)"),
+        ("csharp", "type", "interface", r"\binterface\s+(\w+)"), ("java", "type", "class", r"\bclass\s+(\w+)"),
+        ("java", "type", "interface", r"\binterface\s+(\w+)"), ("go", "function", "function", r"(?m)^func\s+(\w+)"),
+    )
+    brace = r"\b(class|interface)\s+(\w+)\s+extends\s+([\w.]+)"
+    listed = r"\b(class)\s+(\w+)(?:\s+extends\s+[\w.]+)?\s+implements\s+([\w., ]+?)\s*\{"
+    bases = (
+        ("python", "extends", r"(?m)^(class)\s+(\w+)\(([^()]*)\):"), ("javascript", "extends", brace), ("java", "extends", brace),
+        ("javascript", "implements", listed), ("java", "implements", listed),
+        ("csharp", "extends", r"\b(class|interface)\s+(\w+)\s*:\s*([\w., ]+?)\s*\{"),
+    )
+    imports = (
+        ("java", r"\bimport\s+([\w.]+(?:\.\*)?);", r"regexp_replace(n, '\.[^.]*$', '')", "nullif(regexp_extract(n, '[^.]*$'), '*')"),
+        ("csharp", r"\busing\s+([\w.]+);", "n", "NULL"),
+        ("python", r"from (\w[\w.]*) import", "n", "NULL"),
+        ("python", r"from \.\.(\w+) import", "array_to_string(parts[:len(parts) - 2], '.') || '.' || n", "NULL"),
+        ("javascript", r"from '\.\./(\w+)'", "array_to_string(parts[:len(parts) - 2], '/') || '/' || n", "NULL"),
+    )
+    names = "\nUNION ALL ".join(
+        f"SELECT repo_id, path, language, {_q(w)} AS what, {_q(k)} AS kind, unnest(regexp_extract_all(plain, {_q(p)}, 1)) AS name FROM code WHERE language = {_q(n)}"
+        for n, w, k, p in declared)
+    heads = "\nUNION ALL ".join(
+        f"SELECT repo_id, path, language, {_q(how)} AS how, unnest(regexp_extract_all(plain, {_q(p)}, 1)) AS owner_kind, unnest(regexp_extract_all(plain, {_q(p)}, 2)) AS owner, unnest(regexp_extract_all(plain, {_q(p)}, 3)) AS names FROM code WHERE language = {_q(n)}"
+        for n, how, p in bases)
+    opened = "\nUNION ALL ".join(
+        f"SELECT repo_id, path, 'import:' || {scope} AS scope, 1 AS level, {only} AS only FROM (SELECT repo_id, path, parts, unnest(regexp_extract_all(content, {_q(p)}, 1)) AS n FROM code WHERE language = {_q(n)}) i"
+        for n, p, scope, only in imports)
+    bare = r"regexp_replace(replace(plain, '(', '( '), '\b(def|func|function|class|new)\s+\w+', '', 'g')"
+    return f"""WITH code AS MATERIALIZED (SELECT *, string_split(path, '/') AS parts, regexp_replace(path, '\\.[^./]*$', '') AS stem,
+        CASE regexp_extract(path, '[^.]*$') WHEN 'py' THEN 'python' WHEN 'ts' THEN 'javascript' WHEN 'cs' THEN 'csharp' ELSE regexp_extract(path, '[^.]*$') END AS language,
+        regexp_replace(regexp_replace(regexp_replace(content, '"[^"\\n]*"|//[^\\n]*|#[^\\n]*', '', 'g'), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g') AS plain
+      FROM ({fixture.symbol_files_sql()}) corpus),
+      declared AS MATERIALIZED ({names}),
+      refs AS MATERIALIZED (SELECT DISTINCT repo_id, path, language, 'type' AS what, how, owner_kind, owner, trim(unnest(string_split(names, ','))) AS name FROM ({heads}) h
+        UNION ALL SELECT DISTINCT repo_id, path, language, 'function', 'calls', '', '', unnest(regexp_extract_all({bare}, '(?:^|[^\\w.])(\\w+)\\s*\\(', 1)) FROM code WHERE language IN ('python', 'javascript', 'go')),
+      looks AS MATERIALIZED (SELECT repo_id, path, 'file:' || path AS scope, 0 AS level, NULL AS only FROM code
+        UNION ALL SELECT repo_id, path, 'folder:' || array_to_string(parts[:len(parts) - 1], '/'), 2, NULL FROM code
+        UNION ALL SELECT repo_id, path, 'repository', 3, NULL FROM code UNION ALL {opened}),
+      scopes AS MATERIALIZED (SELECT repo_id, path, scope FROM looks WHERE level <> 1
+        UNION ALL SELECT repo_id, path, 'import:' || CASE language WHEN 'python' THEN replace(stem, '/', '.') WHEN 'javascript' THEN stem
+          WHEN 'java' THEN regexp_extract(content, 'package ([\\w.]+)', 1) ELSE regexp_extract(content, 'namespace ([\\w.]+)', 1) END FROM code WHERE language <> 'go'),
+      places AS MATERIALIZED (SELECT d.*, s.scope FROM declared d JOIN scopes s ON s.repo_id = d.repo_id AND s.path = d.path),
+      hits AS (SELECT r.repo_id, r.path, r.language, r.what, r.how, r.owner_kind, r.owner, r.name, l.level, count(DISTINCT p.path) AS n, min(p.path) AS target, max(p.kind) AS kind
+        FROM refs r JOIN looks l ON l.repo_id = r.repo_id AND l.path = r.path AND (l.only IS NULL OR l.only = r.name)
+        JOIN places p ON p.repo_id = r.repo_id AND p.language = r.language AND p.scope = l.scope AND p.what = r.what AND p.name = r.name
+        GROUP BY ALL),
+      seen AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, what, how, owner_kind, owner, name ORDER BY level) AS place FROM hits)
+      SELECT DISTINCT repo_id, language || ':' || path || CASE what WHEN 'type' THEN '#' || owner ELSE '' END AS src,
+        language || ':' || target || '#' || name AS dst,
+        CASE WHEN how = 'calls' THEN 'calls' WHEN how = 'implements' OR (kind = 'interface' AND owner_kind <> 'interface') THEN 'implements' ELSE 'inherits' END AS type
+      FROM seen WHERE place = 1 AND n = 1"""
+
+
 # ------------------------------------------------------------- python facts
 
 _PY = """py AS MATERIALIZED (
@@ -807,6 +865,7 @@ def _sql() -> dict[str, str]:
         UNION SELECT r.repo_id, r.a, l.b FROM reach r JOIN links l ON l.repo_id = r.repo_id AND l.a = r.b)
       SELECT x.repo_id, x.a AS path, min(x.b) AS component, count(*) AS members
       FROM reach x JOIN reach y ON y.repo_id = x.repo_id AND y.a = x.b AND y.b = x.a GROUP BY x.repo_id, x.a"""
+    o["symbol_edges"] = _symbol_edges()
     o["route_matches"] = _route_matches()
     o["schema_messages"] = f"WITH RECURSIVE {_MESSAGES} SELECT * FROM messages"
     o["schema_bindings"] = f"WITH RECURSIVE {_MESSAGES} " + " UNION ALL ".join(map(_symbols, schemas.CONVENTIONS))

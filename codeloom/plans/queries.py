@@ -21,6 +21,7 @@ from codeloom.operators import (
     schemas,
     security,
     stats,
+    symbols,
 )
 from codeloom.plans.inputs import Inputs
 from codeloom.sources import corpus, logs, manifests
@@ -216,6 +217,11 @@ def route_matches(inputs: Inputs) -> DataFrame:
     return routes.route_matches(crosslang.http_apis(scanned), crosslang.api_endpoints(scanned))
 
 
+@_query
+def symbol_edges(inputs: Inputs) -> DataFrame:
+    return symbols.symbol_edges(inputs.symbol_files())
+
+
 @_query
 def module_cycles(inputs: Inputs) -> DataFrame:
     files = inputs.cycle_files()
