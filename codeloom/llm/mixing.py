@@ -124,6 +124,26 @@ def thresholds(keyed: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
     return done
 
 
+#: Columns that ``mix`` adds.
+ADDED = ("_size", "_source_size", "_target", "_copies")
+
+
+def _taken(docs: DataFrame, weights: tuple[float, ...], multiple: float, most: float) -> DataFrame:
+    """``row`` with all columns of ``docs``, and the columns of the mix beside it."""
+    sized = docs.select(F.struct("*").alias("row"), F.col("source"), words(F.col("text")).alias("size"), key().alias("key"))
+    keyed = stored(sized.select("source", "size", "key"), "mix-keys")
+    sums = keyed.groupBy("source").agg(F.sum("size").alias("source_size"))
+    limits = thresholds(keyed, targets(sums, weights, multiple, most), most).select(
+        F.col("source").alias("limited"), "source_size", "target", "whole", "last_key"
+    )
+    joined = sized.join(limits, F.col("source").eqNullSafe(F.col("limited")))
+    copies = F.col("whole") + (F.col("key") <= F.col("last_key")).cast("long")
+    return joined.select(
+        "row", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"),
+        F.col("target").alias("_target"), copies.cast("int").alias("_copies"),
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
@@ -137,24 +157,20 @@ def mix(
     of its source.  A null source is a source of its own; a null text has size 0.
     Equal rows have equal keys and are taken together.  A single source is near
     its target by half the size of the document at the boundary.  Reruns agree,
-    as keys depend on the rows alone.
+    as keys depend on the rows alone.  Other columns of ``docs`` are kept, whatever
+    their names; those named like an added column give way to it.
     """
-    sized = docs.withColumn("_size", words(F.col("text"))).withColumn("_key", key())
-    keyed = stored(
-        sized.select("source", F.col("_size").alias("size"), F.col("_key").alias("key")), "mix-keys"
-    )
-    sums = keyed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = thresholds(keyed, targets(sums, weights, multiple, most), most).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("last_key").alias("_last_key"),
-    )
-    joined = sized.join(limits, sized["source"].eqNullSafe(F.col("_source")))
-    copies = F.col("_whole") + (F.col("_key") <= F.col("_last_key")).cast("long")
-    return joined.withColumn("_copies", copies.cast("int")).drop("_key", "_source", "_whole", "_last_key")
+    kept = [F.col("row").getField(name).alias(name) for name in docs.columns if name.lower() not in ADDED]
+    return _taken(docs, weights, multiple, most).select(*kept, *ADDED)
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows that the mix takes, repeated as often as it takes them."""
-    taken = mix(docs, **options).where(F.col("_copies") > 0)
-    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+def mixed(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    multiple: float = 1.5,
+    most: float = 2.0,
+) -> DataFrame:
+    """The rows that the mix takes, repeated as often as it takes them, with all columns
+    of ``docs`` as they were, also those named like a column that ``mix`` adds."""
+    taken = _taken(docs, weights, multiple, most).where(F.col("_copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

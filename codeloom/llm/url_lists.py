@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK, ALLOW, END = "block", "allow", "end"
+#: Columns that ``judge`` adds.
+ADDED = ("pattern", "rule", "valid_from", "valid_to")
 
 
 def host(url: Column) -> Column:
@@ -66,7 +68,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``captures`` has ``url`` and ``fetched`` (a date).  Of the entries that hold,
     the longest pattern decides; all are null if there is none, or no host, or no
-    date.  Equal (url, fetched) are judged once.
+    date.  Equal (url, fetched) are judged once.  Other columns of ``captures`` are
+    kept, whatever their names; those named like one of the four give way to it.
     """
     seen = captures.select(F.col("url").alias("_url"), F.col("fetched").alias("_fetched")).distinct()
     seen = seen.where(F.col("_url").isNotNull() & F.col("_fetched").isNotNull())
@@ -88,5 +91,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     best = found.groupBy("_url", "_fetched").agg(
         F.max_by(F.struct("pattern", "rule", "valid_from", "valid_to"), F.length("pattern")).alias("entry")
     )
-    joined = captures.join(best, (F.col("url") == F.col("_url")) & (F.col("fetched") == F.col("_fetched")), "left")
-    return joined.select(captures["*"], "entry.pattern", "entry.rule", "entry.valid_from", "entry.valid_to")
+    rows = captures.select(F.struct("*").alias("row"), "url", "fetched")
+    joined = rows.join(best, (F.col("url") == F.col("_url")) & (F.col("fetched") == F.col("_fetched")), "left")
+    kept = [F.col("row").getField(name).alias(name) for name in captures.columns if name.lower() not in ADDED]
+    return joined.select(*kept, *[F.col("entry").getField(name).alias(name) for name in ADDED])

@@ -86,3 +86,17 @@ def test_mixed_repeats_rows(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_clashing_names(spark):
+    names = ["_key", "_source", "_whole", "_last_key", "row", "limited", "whole", "a.b", "_Copies", "_size", "_target"]
+    rows = [(k, f"w{k} " * (k % 5 + 1), "ab"[k % 2], *([str(k)] * len(names))) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    plain = {r.doc_id: (r._size, r._source_size, r._target, r._copies) for r in mixing.mix(docs(spark, [r[:3] for r in rows])).collect()}
+    got = mixing.mix(frame)
+    assert got.columns == ["doc_id", "text", "source", *names[:8], *mixing.ADDED]
+    for row in got.collect():
+        assert set(row[3:11]) == {str(row.doc_id)} and tuple(row[11:]) == plain[row.doc_id]
+    taken = mixing.mixed(frame)
+    assert taken.columns == frame.columns
+    assert sorted(tuple(r) for r in taken.collect()) == sorted(r for r in rows for _ in range(plain[r[0]][3]))

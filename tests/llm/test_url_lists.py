@@ -52,9 +52,20 @@ def test_against_brute_force(spark):
         captures, entries = fixture(seed)
         frame = spark.createDataFrame([(*c, "m") for c in captures], CAPTURES)
         listed = spark.createDataFrame([(*e, "h") for e in entries], ENTRIES)
-        got = url_lists.judge(frame.drop("month"), listed)
+        got = url_lists.judge(frame, listed)
         key = lambda r: tuple(str(x) for x in r)
-        assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(((*c, *brute(c, entries)) for c in captures), key=key)
+        assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(((*c, "m", *brute(c, entries)) for c in captures), key=key)
+
+
+def test_clashing_names(spark):
+    names = ["_url", "_fetched", "entry", "row", "a.b", "until", "pattern", "Rule"]
+    frame = spark.createDataFrame(
+        [(1, "http://a.b/c", DAY, *"12345678")], "page_id long, url string, fetched date, " + ", ".join(f"`{n}` string" for n in names)
+    )
+    entries = spark.createDataFrame([(1, "a.b", "block", DAY, "h")], ENTRIES)
+    got = url_lists.judge(frame, entries)
+    assert got.columns == ["page_id", "url", "fetched", *names[:6], *url_lists.ADDED]
+    assert tuple(got.first()) == (1, "http://a.b/c", DAY, *"123456", "a.b", "block", DAY, None)
 
 
 def test_empty_tables(spark):
@@ -67,7 +78,7 @@ def test_empty_tables(spark):
 def test_no_python(spark):
     captures, entries = fixture(1)
     frame = spark.createDataFrame([(*c, "m") for c in captures], CAPTURES)
-    got = url_lists.judge(frame.drop("month"), spark.createDataFrame([(*e, "h") for e in entries], ENTRIES))
+    got = url_lists.judge(frame, spark.createDataFrame([(*e, "h") for e in entries], ENTRIES))
     got.collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search("MapInArrow|MapInPandas|EvalPython|NestedLoop|Cartesian", plan)
