@@ -61,13 +61,18 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, filtered: bool = False)
     holds blocks x queries x k rows and never the pairs.  A hot repository is
     many blocks.
     """
-    by = ["repository_id"] if filtered else []
+    return search(queries, corpus, k, ["repository_id"] if filtered else [])
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """``top_k`` among corpus rows with the values of ``by`` of the query; a query that has
+    several rows gets the best of all of them."""
     asked = _packed(_blocks(queries.select("query_id", "embedding", *by), "query_id", QUERY_ROWS, *by), "query_id", "q", *by)
     kept = _packed(_blocks(corpus.select("id", "embedding", *by), "id", CORPUS_ROWS, *by), "id", "c", *by)
     # A stated set of queries against all rows, in blocks.
     pairs = (asked.join(kept, by) if by else asked.crossJoin(kept)).select("q", "c")
 
-    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q, c in zip(batch["q"], batch["c"], strict=True):
                 points, rows = (np.array([x["embedding"] for x in side], dtype=np.float64) for side in (q, c))
@@ -79,7 +84,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, filtered: bool = False)
                     "distance": np.concatenate([far for _, far in found]),
                 })
 
-    hits = pairs.repartition(F.xxhash64(F.col("q")[0]["key"], F.col("c")[0]["key"])).mapInPandas(search, _HIT_SCHEMA)
+    hits = pairs.repartition(F.xxhash64(F.col("q")[0]["key"], F.col("c")[0]["key"])).mapInPandas(hits_of, _HIT_SCHEMA)
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

