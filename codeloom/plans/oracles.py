@@ -915,6 +915,8 @@ def _sql() -> dict[str, str]:
     o["rag_documents"] = _code() + f"""SELECT repo_id, path, chr(10) || 'File: ' || path || chr(10) || 'Language: ' || language || chr(10) || 'Analysis Results: loc=' || {_LOC} || chr(10) AS text,
       CAST(repo_id AS VARCHAR) AS meta_repository, language AS meta_language, 'code_analysis' AS meta_type FROM src"""
     o["rag_doc_ids"] = "SELECT doc_id, 'public_docs_' || (row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), CAST(doc_id AS VARCHAR)) - 1) AS id FROM documents"
+    o["dependency_map"] = f"""SELECT CAST(to_json({{'repo_id': repo_id, 'src': src, 'dst': dst, 'type': type}}) AS VARCHAR) AS value
+      FROM ({o["graph_edges"]}) e"""
     o["impact"] = f"""WITH RECURSIVE imports AS MATERIALIZED ({o["internal_edges"]}),
       bridge AS MATERIALIZED ({o["bridge_edges"]}), shared AS MATERIALIZED ({o["shared_resources"]}),
       seeds AS MATERIALIZED ({o["changed_files"]}),

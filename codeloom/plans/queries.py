@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,7 +27,8 @@ from codeloom.operators import (
     symbols,
 )
 from codeloom.plans.inputs import Inputs
-from codeloom.sources import corpus, logs, manifests
+from codeloom.session import shared_folder
+from codeloom.sources import corpus, logs, manifests, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -178,6 +180,19 @@ _on_extracts("graph_nodes", lambda e: crosslang.graph_nodes(e.edges()), *_GRAPH)
 _on_extracts("graph_metrics", lambda e: crosslang.graph_metrics(e.edges()).withColumn(
     "density", F.round("density", 6)), *_GRAPH)
 _on_extracts("hotspots", lambda e: crosslang.hotspots(e.edges()), *_GRAPH)
+
+
+def _dependency_map(extracts: crosslang.Extracts) -> DataFrame:
+    edges = extracts.edges()
+    shared = shared_folder(edges.sparkSession)
+    if shared is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    folder = f"{shared}/map-{uuid.uuid4().hex}"
+    sinks.write_dependency_map(edges, folder)
+    return edges.sparkSession.read.text(folder)
+
+
+_on_extracts("dependency_map", _dependency_map, *_GRAPH)
 _on_extracts("arch_insights", lambda e: crosslang.insights(e.counts()))
 _on_extracts("recommendations", lambda e: crosslang.recommendations(e.counts(), e.edges()))
 _on_extracts("polyglot_rows", crosslang.polyglot_rows)
