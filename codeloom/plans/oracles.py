@@ -297,6 +297,10 @@ def _file_stats(language: str) -> str:
     )
 
 
+def _fields(language: str) -> str:
+    return ", ".join(f"'{name}': {name}" for name in ["loc", *[f"{kind}_count" for kind in _KINDS[language]]])
+
+
 _IMPORTS = "edges AS MATERIALIZED (" + "\nUNION ALL\n".join([
     f"SELECT f.repo_id, f.path, f.language, i.target FROM src f LEFT JOIN (SELECT repo_id, path, unnest({_js_imports()}) AS target FROM src WHERE language = 'javascript') i ON i.repo_id = f.repo_id AND i.path = f.path WHERE f.language = 'javascript'",
     f"SELECT DISTINCT f.repo_id, f.path, f.language, i.target FROM src f LEFT JOIN (SELECT repo_id, path, unnest({_KINDS['java']['import']}) AS target FROM src WHERE language = 'java') i ON i.repo_id = f.repo_id AND i.path = f.path WHERE f.language = 'java'",
@@ -915,6 +919,14 @@ def _sql() -> dict[str, str]:
     o["rag_documents"] = _code() + f"""SELECT repo_id, path, chr(10) || 'File: ' || path || chr(10) || 'Language: ' || language || chr(10) || 'Analysis Results: loc=' || {_LOC} || chr(10) AS text,
       CAST(repo_id AS VARCHAR) AS meta_repository, language AS meta_language, 'code_analysis' AS meta_type FROM src"""
     o["rag_doc_ids"] = "SELECT doc_id, 'public_docs_' || (row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), CAST(doc_id AS VARCHAR)) - 1) AS id FROM documents"
+    o["job_lookup"] = f"SELECT job_id, status, progress, started_at, completed_at FROM ({o['job_latest']}) j WHERE job_id = 7"
+    # The counts of a file as a JSON object, without the columns that name it.
+    o["stored_results"] = " UNION ALL ".join(
+        f"""SELECT path AS file_path, CAST(to_json(counts) AS VARCHAR) AS results, CAST(7 AS BIGINT) AS job_id,
+          'syntax_analysis' AS analysis_type, language
+        FROM (SELECT path, language, {{{_fields(name)}}} AS counts FROM ({_file_stats(name)}) s) t"""
+        for name in ("go", "java")
+    )
     o["dependency_map"] = f"""SELECT CAST(to_json({{'repo_id': repo_id, 'src': src, 'dst': dst, 'type': type}}) AS VARCHAR) AS value
       FROM ({o["graph_edges"]}) e"""
     o["impact"] = f"""WITH RECURSIVE imports AS MATERIALIZED ({o["internal_edges"]}),

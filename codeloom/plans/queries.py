@@ -319,6 +319,29 @@ def owned_jobs(inputs: Inputs) -> DataFrame:
     return jobs.owned_jobs(asked, lines.drop("user_id"), inputs.repositories())
 
 
+@_query
+def stored_results(inputs: Inputs) -> DataFrame:
+    """The results of one job, written twice as by a job that ran again, and read back."""
+    shared = shared_folder(inputs.spark)
+    if shared is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    folder = f"{shared}/results-{uuid.uuid4().hex}"
+    for language in ("go", "java"):
+        rows = sinks.file_results(stats.file_stats(inputs.files(), language), 7, "syntax_analysis")
+        for _ in range(2):
+            sinks.write_file_results(rows, folder)
+    schema = "file_path string, results string, job_id long, analysis_type string, language string"
+    return inputs.spark.read.schema(schema).parquet(folder)
+
+
+@_query
+def job_lookup(inputs: Inputs) -> DataFrame:
+    found = jobs.job_status(jobs.latest_state(inputs.job_events()), 7)
+    return found.select(
+        "job_id", "status", F.col("progress").cast("long").alias("progress"), _stamp("started_at"), _stamp("completed_at")
+    )
+
+
 @_query
 def job_latest(inputs: Inputs) -> DataFrame:
     return jobs.latest_state(inputs.job_events()).select(
