@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from codeloom.functions.arrays import unnest
 from codeloom.session import written
 
-#: Parts of a trie edge's rows: a popular wildcard is one edge that most calls take.
-SALTS = 16
-
 #: Kinds of a step, from the most to the least specific; the names stand in patterns.
 STEPS = ("", "{int}", "{}", "{*}")
 
@@ -66,9 +63,10 @@ def route_definitions(routes: DataFrame) -> DataFrame:
 
 
 def _trie(definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges ``repo_id, node, step, next, salt`` and leaves ``repo_id, node, definitions``.
+    """Edges ``repo_id, level, node, step, next`` and leaves ``repo_id, node, definitions``.
 
-    A node is named by the pattern up to it, so equal beginnings are one row.
+    A node is named by the pattern up to it, so equal beginnings are one row; its level is
+    the number of its steps.
     """
     def prefix(length: Column) -> Column:
         return F.array_join(F.transform(F.slice(F.col("pattern"), 1, length), lambda s: F.concat(F.lit("/"), s)), "")
@@ -79,11 +77,12 @@ def _trie(definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>"))
     at = F.transform(
         places,
-        lambda i: F.struct(prefix(i - 1).alias("node"), F.get(F.col("pattern"), i - 1).alias("step"), prefix(i).alias("next")),
+        lambda i: F.struct(
+            (i - 1).alias("level"), prefix(i - 1).alias("node"), F.get(F.col("pattern"), i - 1).alias("step"), prefix(i).alias("next")
+        ),
     )
     edges = ends.select("repo_id", F.inline(at)).distinct()
-    salted = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted, ends.select("repo_id", prefix(whole).alias("node"), "definitions")
+    return edges, ends.select("repo_id", prefix(whole).alias("node"), "definitions")
 
 
 def route_matches(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -102,9 +101,11 @@ def route_matches(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
 
     The patterns are a trie, stored as a table of edges; the calls walk it together, a
     join for each level, and take the edge of their text and those of parameters.  Paths
-    that many files call walk once.  The edges are repeated for ``SALTS`` parts of the
-    calls, as an edge that most calls take is one key.  There are as many rounds as the
-    longest pattern has steps.
+    that many files call walk once.  A level's join reads the edges of that level only.  An
+    edge that most calls take is one key of one row, so the calls at it can be split by
+    AQE.  Edges and leaves are merged and never broadcast: their stored size, by which Spark
+    would choose, is a small part of their size in memory.  There are as many rounds as
+    the longest pattern has steps.
     """
     definitions = route_definitions(routes)
     edges, leaves = _trie(definitions)
@@ -117,8 +118,7 @@ def route_matches(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
     )
     state = written(
         calls.select(
-            "repo_id", "route", "callers", _steps(F.col("route")).alias("rest"), F.lit("").alias("node"),
-            F.lit("").alias("rank"), F.pmod(F.xxhash64("route"), F.lit(SALTS)).cast("int").alias("salt"),
+            "repo_id", "route", "callers", _steps(F.col("route")).alias("rest"), F.lit("").alias("node"), F.lit("").alias("rank"),
         )
     )
     segment = F.get("rest", F.lit(0))
@@ -137,13 +137,14 @@ def route_matches(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
         done.append(state.where(F.size("rest") == 0))
         if open_.isEmpty():
             break
-        kept = ["repo_id", "route", "callers", "rest", "node", "rank", "salt"]
+        ahead = edges.where(F.col("level") == len(done) - 1).drop("level").hint("merge")
+        kept = ["repo_id", "route", "callers", "rest", "node", "rank"]
         state = written(
-            open_.select(*kept, F.inline(tried)).join(edges, ["repo_id", "node", "step", "salt"]).select(
+            open_.select(*kept, F.inline(tried)).join(ahead, ["repo_id", "node", "step"]).select(
                 "repo_id", "route", "callers",
                 F.when(F.col("kind") == "3", F.array().cast("array<string>"))
                 .otherwise(F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))).alias("rest"),
-                F.col("next").alias("node"), F.concat("rank", "kind").alias("rank"), "salt",
+                F.col("next").alias("node"), F.concat("rank", "kind").alias("rank"),
             )
         )
     ended = done[0]
@@ -151,7 +152,7 @@ def route_matches(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
         ended = ended.unionByName(more)
     # An end inside the trie is no answer; among the others the best rank is one node.
     return (
-        ended.join(leaves, ["repo_id", "node"])
+        ended.join(leaves.hint("merge"), ["repo_id", "node"])
         .groupBy("repo_id", "route").agg(F.min(F.struct("rank", "node", "callers", "definitions")).alias("best"))
         .select(
             "repo_id", "route", F.col("best.node").alias("pattern"),

@@ -61,6 +61,27 @@ def test_optional_ends_own_texts_and_empty_tables(spark):
     assert matched(spark, defined, []) == {}
 
 
+def test_the_trie_is_not_broadcast(spark):
+    # Stored edges are far smaller than in memory; Spark would send all of them through the driver.
+    defined = [(1, "a", f"/p{k}/:x/q{k}") for k in range(50)]
+    d = spark.createDataFrame(
+        [(r, f, "python", 1, None, t) for r, f, t in defined],
+        "repo_id long, source_file string, source_language string, pattern_id long, method string, route string",
+    )
+    c = spark.createDataFrame([(1, "z", "java", "'/p7/1/q7'")], "repo_id long, source_file string, source_language string, endpoint string")
+    plans = []
+    listened = routes.written
+    try:
+        routes.written = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or listened(df)
+        result = routes.route_matches(d, c)
+    finally:
+        routes.written = listened
+    plans.append(result._jdf.queryExecution().executedPlan().toString())
+    walks = [p for p in plans if "step#" in p and "Join" in p] + plans[-1:]
+    assert len(walks) > 2 and not any("Broadcast" in p for p in walks)
+    assert [r.pattern for r in result.collect()] == ["/p7/{}/q7"]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equal_to_all_pairs(spark, seed):
     draw = random.Random(seed)
