@@ -47,6 +47,13 @@ def as_source(derived: DataFrame) -> DataFrame:
 
 FILES_SCHEMA = "repo_id long, path string, content string, is_utf8 boolean, kind string"
 _STORED: dict[tuple[str, str, str], str] = {}
+#: Tables of which a corpus is made: short rows that become a text, and texts.
+SHORT_TABLES, TEXT_TABLES = ("part", "customer"), ("documents", "pages")
+#: Short rows that become files in one task.
+SPREAD_ROWS = 25_000
+#: Files that a task may write at a time, more than there are kinds, and bytes of their row groups.
+OPEN_FILES, KINDS = "spark.sql.maxConcurrentOutputFileWriters", 32
+ROW_GROUP = 32 << 20
 
 
 class Inputs:
@@ -59,9 +66,17 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def _sql(self, text: str, *names: str) -> DataFrame:
+    def _spread(self, name: str) -> DataFrame:
+        """A table dealt by key, so that what is derived from its short rows is derived in
+        many tasks, however few files and row groups it is stored in."""
+        rows = self.table(name)
+        return rows.repartition(-(-max(rows.count(), 1) // SPREAD_ROWS), rows.columns[0])
+
+    def _sql(self, text: str, *names: str, spread: tuple[str, ...] = ()) -> DataFrame:
         for name in names:
             self.table(name).createOrReplaceTempView(name)
+        for name in spread:
+            self._spread(name).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     def files(self) -> DataFrame:
@@ -91,18 +106,35 @@ class Inputs:
         spark = self.spark
         key = (spark.sparkContext.applicationId, self.folder, name)
         if key not in _STORED:
-            tables = ("part", "customer", "documents", "pages")
-            derived = from_text(self._sql(sql, *tables))
             shared = shared_folder(spark)
             if shared is None:
-                return as_source(derived)
+                return as_source(from_text(self._sql(sql, *SHORT_TABLES, *TEXT_TABLES)))
             target = f"{shared}/corpus-{name}-{uuid.uuid4().hex}"
-            # Spread by path, whatever the number of input files or the size of a
-            # repository; one partition for each kind of file.
-            derived.repartition("repo_id", "path").write.partitionBy("kind").parquet(target)
+            self._store(self._derived(sql), target)
             _STORED[key] = target
         return spark.read.schema(FILES_SCHEMA).parquet(_STORED[key])
 
+    def _derived(self, sql: str) -> DataFrame:
+        """The files to store: short rows are dealt before texts are made of them, long
+        texts stay in the parts in which they are read, so no text is shuffled."""
+        return from_text(self._sql(sql, *TEXT_TABLES, spread=SHORT_TABLES))
+
+    def _store(self, derived: DataFrame, target: str) -> None:
+        """One partition for each kind of file.
+
+        A task has a file open for each kind, so that it need not sort texts by kind; row
+        groups are small for that, and for readers that share a large file.
+        """
+        before = self.spark.conf.get(OPEN_FILES, None)
+        self.spark.conf.set(OPEN_FILES, KINDS)
+        try:
+            derived.write.partitionBy("kind").option("parquet.block.size", ROW_GROUP).parquet(target)
+        finally:
+            if before is None:
+                self.spark.conf.unset(OPEN_FILES)
+            else:
+                self.spark.conf.set(OPEN_FILES, before)
+
     def logs(self) -> DataFrame:
         return as_source(self._sql(fixture.LOG_SQL, "lineitem"))
 
