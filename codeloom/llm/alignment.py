@@ -140,17 +140,28 @@ class Side:
 # ------------------------------------------------------------------- alignment
 
 
-def _digits(numbers: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The decimal numbers, each followed by its separator, as bytes, and the size of each."""
-    width = len(str(int(numbers.max(initial=0))))
+@functools.lru_cache(maxsize=2)
+def _decimals(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All numbers of so many bits: digits with a byte after them, which of these count,
+    and their number."""
+    numbers = np.arange(1 << bits, dtype=np.int64)
+    width = len(str(len(numbers) - 1))
     powers = 10 ** np.arange(width - 1, -1, -1, dtype=np.int64)
-    table = np.empty((len(numbers), width + 1), dtype=np.uint8)
+    table = np.zeros((len(numbers), width + 1), dtype=np.uint8)
     table[:, :width] = numbers[:, None] // powers % 10 + 48
-    table[:, width] = separators
     size = np.ones(len(numbers), dtype=np.int64)
     for power in powers[:-1]:
         size += numbers >= power
-    return table[np.arange(width + 1) >= width - size[:, None]], size + 1
+    return table, np.arange(width + 1) >= width - size[:, None], size + 1
+
+
+def _digits(numbers: np.ndarray, separators: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal numbers of at most ``bits`` bits, each followed by its separator, as
+    bytes, and the size of each."""
+    table, counts, size = _decimals(bits)
+    rows = table[numbers]
+    rows[:, -1] = separators
+    return rows[counts[numbers]], size[numbers]
 
 
 class Aligned:
@@ -158,11 +169,17 @@ class Aligned:
 
     def __init__(self, sides: tuple[Side, Side], ids: tuple[np.ndarray, ...], docs: tuple[np.ndarray, ...]) -> None:
         self.ids, self.docs = ids, docs
+        self.bits = max(side.bits for side in sides)
         ends = [np.cumsum(side.sizes[i]) for side, i in zip(sides, ids, strict=True)]
-        both = np.intersect1d(*[np.unique(e) for e in ends], assume_unique=True)
+        # Ends ascend, so they are marks on the bytes and need no sort or hash.
+        marks = np.zeros((2, max(int(e[-1]) if len(e) else 0 for e in ends) + 1), dtype=bool)
+        for mark, e in zip(marks, ends, strict=True):
+            mark[e] = True
+        both = marks[0] & marks[1]
+        upto = np.cumsum(both)
+        self.groups = int(upto[-1])
         # A token without bytes would belong to the group that it ends.
-        self.group = tuple(np.searchsorted(both, e) for e in ends)
-        self.groups = len(both)
+        self.group = tuple(upto[e] - both[e] for e in ends)
         self.sizes = tuple(np.bincount(g, minlength=self.groups) for g in self.group)
         first = np.searchsorted(self.group[0], np.arange(self.groups))
         self.doc = docs[0][first] if self.groups else np.zeros(0, dtype=np.int64)
@@ -177,7 +194,7 @@ class Aligned:
         both[expand(before + sizes_a, sizes_b)] = self.ids[1]
         separators[before + sizes_a - 1] = ord("|")
         separators[before + sizes_a + sizes_b - 1] = ord(";")
-        text, size = _digits(both, separators)
+        text, size = _digits(both, separators, self.bits)
         ends = np.concatenate(([0], np.cumsum(size)))
         return text, np.diff(ends[np.append(before, len(both))])
 
