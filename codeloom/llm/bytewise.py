@@ -38,7 +38,8 @@ def _powers(prime: int, base: int, count: int) -> np.ndarray:
     """``base ** k`` modulo ``prime`` for ``k`` below ``count``, in 32 bits each."""
     known = _POWERS.get((prime, base))
     if known is None or len(known) < count:
-        size = max(count, CHUNK_BYTES + 1)
+        # Kept as long as the worker: no more than twice what its chunks have needed.
+        size = max(count, min(1 << (count - 1).bit_length() if count else 1, CHUNK_BYTES + 1))
         powers = np.ones(1, dtype=np.uint64)
         while len(powers) < size:
             more = powers[: size - len(powers)] * np.uint64(pow(base, len(powers), prime)) % np.uint64(prime)

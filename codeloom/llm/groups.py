@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from codeloom.llm.tables import stored
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+#: Rows for callers of ``whole_groups`` that have long rows.
+GROUP_ROWS = 1024
+
+
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 20
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by their first ``keys`` columns, regrouped so that no group is
-    cut: tables with the offsets of their groups."""
+    cut: tables with the offsets of their groups.  At most ``rows`` rows of a batch
+    are taken at a time, so what is copied beside the batch is these and a group."""
     held: list[pa.RecordBatch] = []
 
     def edges(table: pa.Table) -> np.ndarray:
@@ -25,9 +32,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
             new[1:] |= column[1:] != column[:-1]
         return np.flatnonzero(new)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
         held.append(batch)
         last = [batch.column(k)[-1] for k in range(keys)]
         if [held[0].column(k)[0] for k in range(keys)] == last:

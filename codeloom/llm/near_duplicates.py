@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bytewise import BLANK, LOWER, SpanHasher, chunks, mix, runs
-from codeloom.llm.groups import components, spanning_forest, whole_groups
+from codeloom.llm.groups import GROUP_ROWS, components, spanning_forest, whole_groups
 from codeloom.llm.tables import stored
 
 #: Members of a bucket, and members and shingles of a family, compared in one task.
 BUCKET_ROWS = 4096
 FAMILY_ROWS = 1024
 FAMILY_SHINGLES = 1 << 20
+#: Bytes of text taken at a time: shingles take some hundred bytes for each.
+TASK_BYTES = 1 << 19
 #: Chance of a linked pair to be above the signature distance.
 MISS = 1e-6
 #: Columns of a matrix product.
@@ -119,7 +121,7 @@ _SETS = "doc_id long, text_hash long, n_shingles long, name1 long, name2 long, s
 def _signatures(batches: Iterator[pa.RecordBatch], shape: Signature) -> Iterator[pa.RecordBatch]:
     factors = mix(np.arange(1000, 1000 + shape.slots, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
-        for first, data, offsets in chunks(batch.column(2)):
+        for first, data, offsets in chunks(batch.column(2), TASK_BYTES):
             values, ends = shingle_sets(data, offsets, shape.words)
             sizes = np.diff(ends)
             some = sizes > 0
@@ -172,7 +174,7 @@ def _keys(batches: Iterator[pa.RecordBatch], shape: Signature) -> Iterator[pa.Re
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for table, starts in whole_groups(batches, 3):
+    for table, starts in whole_groups(batches, 3, GROUP_ROWS):
         nodes, slots = table.column(3).to_numpy(), _slot_matrix(table.column(4))
         sizes = np.diff(starts)
         two = starts[:-1][sizes == 2]
@@ -214,7 +216,7 @@ def families(classes: DataFrame, shape: Signature) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The sets of texts, where they have the names of the class they are joined to."""
     for batch in batches:
-        for first, data, offsets in chunks(batch.column(4)):
+        for first, data, offsets in chunks(batch.column(4), TASK_BYTES):
             values, ends = shingle_sets(data, offsets, size)
             count = len(ends) - 1
             some = np.diff(ends) > 0
@@ -257,7 +259,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _family_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for table, starts in whole_groups(batches, 3):
+    for table, starts in whole_groups(batches, 3, GROUP_ROWS):
         nodes, members = table.column(3).to_numpy(), table.column(4)
         edges = []
         for first, last in zip(starts[:-1], starts[1:], strict=True):

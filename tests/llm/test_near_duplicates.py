@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from codeloom.llm import near_duplicates
+from codeloom.llm import groups, near_duplicates
 
 SCHEMA = "doc_id long, text string, label string, node int"
 
@@ -106,3 +107,22 @@ def test_texts_without_an_id_meet_their_own_class_only(spark):
     )
     got = class_texts(docs, classes).collect()
     assert sorted(r["text"] for r in got) == sorted(f"text {k}" for k in range(30))
+
+
+def test_little_is_held_beside_a_batch():
+    # Groups of one to five rows in one batch, and a group over two batches.
+    keys = np.repeat(np.arange(4000), np.arange(4000) % 5 + 1)
+    table = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys)))], names=["key", "node"])
+    found = list(groups.whole_groups(iter([table.slice(0, 7001), table.slice(7001)]), 1, groups.GROUP_ROWS))
+    assert max(t.num_rows for t, _ in found) <= groups.GROUP_ROWS + 5
+    rows = [t.column(1).to_pylist()[a:b] for t, starts in found for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert [len(x) for x in rows] == (np.arange(4000) % 5 + 1).tolist()
+    assert [k for x in rows for k in x] == list(range(len(keys)))
+
+
+def test_texts_are_taken_in_small_chunks():
+    texts = pa.array(["some words of a text " * 2000] * 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), texts], names=["doc_id", "text_hash", "text"])
+    made = list(near_duplicates._signatures(iter([batch]), near_duplicates.signature(5, 80)))
+    assert sum(b.num_rows for b in made) == 40
+    assert max(b.num_rows for b in made) * 42_000 <= near_duplicates.TASK_BYTES
