@@ -4,11 +4,16 @@ that occurs more than once.
 The work is dealt by content.  Of the 32-byte grams in a window of ``length``
 bytes, the one with the smallest hash is the *anchor* of the window; equal
 windows have equal anchors at equal distances.  The windows with one anchor form
-a *piece* of text.  Anchors whose hash occurs once can hold no repeat and drop
-out after a count; the pieces of the others meet by the hash, equal pieces as one
-with a weight.
+a *piece* of text, all of them different.  Anchors whose hash occurs once can hold
+no repeat and drop out after a count; the pieces of the others meet by the hash,
+equal pieces as one with a weight.  Where all pieces of an anchor are equal, their
+windows are repeated and there is nothing to tell apart.
 
-There the suffixes of the pieces are sorted to a depth of ``length`` bytes, which
+A repeated window shares more than its anchor: all windows that begin far before
+it share the bytes on its left, the others those on its right.  A piece is cut to
+the half whose bytes another piece shares.
+
+What is left meets in a sort: the suffixes of the pieces are sorted to a depth of ``length`` bytes, which
 gives a Burrows-Wheeler transform.  Common prefixes between neighbours follow by
 breadth-first backward extension: starting with the intervals of 16 bytes, which the
 sort has told apart, each interval is extended to the left by every byte before its suffixes; the end
@@ -31,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from codeloom.llm.bytewise import SpanHasher, chunks, expand
+from codeloom.llm.bytewise import SpanHasher, chunks, expand, mix
 from codeloom.llm.groups import whole_groups
 from codeloom.llm.tables import text_name
 
@@ -40,12 +46,13 @@ from codeloom.llm.tables import text_name
 GRAM = 32
 #: Bytes of the shortest prefixes that the search for longer ones begins with.
 _SEED = 16
-#: Bytes of text whose suffixes are sorted at a time.
-SORT_BYTES = 1 << 20
+#: Bytes of pieces that are compared at a time.
+SORT_BYTES = 1 << 19
 #: Different pieces of one anchor that are sorted together.
 ANCHOR_PIECES = 16_384
-#: Bytes of a long text taken at a time, and bits for a place in up to twice as many.
-_SEGMENT = 1 << 21
+#: Bytes of text taken at a time, also of a long one: few enough for the arrays to
+#: stay in a core's cache; bits for a place in up to twice as many and more.
+_SEGMENT = 1 << 16
 _PLACES_MASK = np.uint64((1 << 23) - 1)
 _GRAM_STEP = np.uint64(0x9E3779B97F4A7C15)
 _NAME = ("id", "check")
@@ -75,15 +82,13 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """``row, start, windows, anchor, piece`` of all runs of windows with one anchor.
+def anchored(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``row, start, windows, anchor`` of all runs of windows with one anchor.
 
-    ``start`` is a byte in the text; ``anchor`` and ``piece`` are hashes of the
-    anchor's gram and of all bytes of the run.
+    ``start`` is a byte of ``data``; ``anchor`` is a hash of the anchor's gram.
     """
-    empty = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < length:
-        return empty
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
     grams = _gram_hashes(data)
     # The upper bits of the hash decide; of equal ones the rightmost gram.
     least = _window_minima((grams & ~_PLACES_MASK) | _backwards(len(grams)), length - GRAM + 1)
@@ -98,22 +103,36 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     row = np.searchsorted(offsets, start, side="right") - 1
     own = start + length <= offsets[row + 1]
     start, count, row = start[own], count[own], row[own]
-    if not len(start):
-        return empty
     anchor = (_PLACES_MASK - (least[start] & _PLACES_MASK)).astype(np.int64)
+    return row, start, count, grams[anchor]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``row, start, windows, anchor, piece`` of all runs of windows with one anchor.
+
+    ``start`` is a byte in the text; ``anchor`` and ``piece`` are hashes of the
+    anchor's gram and of all bytes of the run.
+    """
+    row, start, count, anchor = anchored(data, offsets, length)
+    if not len(start):
+        return row, start, count, anchor, np.zeros(0, dtype=np.uint64)
     content = SpanHasher(data)(start, start + count + length - 1)
-    return row, start - offsets[row], count, grams[anchor], content
+    return row, start - offsets[row], count, anchor, content
 
 
-@functools.lru_cache(maxsize=4)
 def _backwards(size: int) -> np.ndarray:
+    return _backwards_from(1 << (size - 1).bit_length())[:size]
+
+
+@functools.lru_cache(maxsize=2)
+def _backwards_from(size: int) -> np.ndarray:
     return _PLACES_MASK - np.arange(size, dtype=np.uint64)
 
 
 def _segments(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, first byte, bytes, offsets): chunks, with a longer text cut into
     parts that overlap by a window less a byte."""
-    for first, data, offsets in chunks(column):
+    for first, data, offsets in chunks(column, _SEGMENT):
         if len(offsets) > 2 or len(data) <= 2 * _SEGMENT:
             yield first, 0, data, offsets
             continue
@@ -147,7 +166,7 @@ def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in _segments(batch.column(0), length):
-            anchor, count = np.unique(pieces(data, offsets, length)[3], return_counts=True)
+            anchor, count = np.unique(anchored(data, offsets, length)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(count)], names=["anchor", "n"])
 
 
@@ -264,18 +283,84 @@ def repeat_classes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
     return order[chosen], new
 
 
-def repeated(texts: list[bytes], weights: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece, which of its windows occur more than once in all pieces."""
+def repeated(texts: list[bytes], weights: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``piece, first, last``: the runs of windows that occur more than once in all
+    pieces, in the order of these."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     text = np.frombuffer(b"".join(texts), dtype=np.uint8)
     order, new = repeat_classes(text, ends, length)
-    weight = np.repeat(weights, sizes)[order]
-    group = np.cumsum(new) - 1
-    often = np.bincount(group, weights=weight)[group] > 1
-    flags = np.zeros(len(text), dtype=bool)
-    flags[order] = often
-    return [flags[e - s : e - length + 1] for s, e in zip(sizes, ends, strict=True)]
+    alone = new & np.append(new[1:], True)
+    flags = np.repeat(weights > 1, sizes)
+    # No window starts in the last bytes of a piece, so no run crosses pieces.
+    within = np.zeros(len(text), dtype=bool)
+    within[order] = ~alone | flags[order]
+    first, last = _spans(within)
+    piece = np.searchsorted(ends, first, side="right")
+    begin = (ends - sizes)[piece]
+    return piece, first - begin, last - begin
+
+
+def _halves(
+    text: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, group: np.ndarray, weights: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """``low, high``: the windows of each piece to be compared with those of others.
+
+    Equal windows begin equally far before their anchor.  Those that begin
+    ``reach`` bytes before it or more hold these bytes, the others as many after
+    it or more.  Where no other piece of the anchor has a half's bytes, its windows
+    occur as often as the piece does; where all that have them weigh more than one,
+    that is known too.  Unequal bytes with equal hashes are compared in vain.
+    """
+    ends = np.cumsum(sizes)
+    windows = sizes - (length - 1)
+    grams = _gram_hashes(text)
+    hits = np.flatnonzero(grams == np.repeat(anchors.view(np.uint64), sizes)[: len(grams)])
+    owner = np.searchsorted(ends, hits, side="right")
+    inside = hits + GRAM <= ends[owner]
+    # The anchor is the last gram with its hash: an earlier one was not chosen.
+    place = np.full(len(sizes), -1, dtype=np.int64)
+    place[owner[inside]] = hits[inside]
+    found = np.flatnonzero(place >= 0)
+    reach = (length - GRAM) // 2
+    # Names that are no gram of the piece leave all its windows on one side.
+    left = windows.copy()
+    left[found] = np.clip(place[found] - (ends - sizes)[found] - reach + 1, 0, windows[found])
+    low, high = left.copy(), left.copy()
+    for side, offsets in ((low, range(-reach, 0, GRAM)), (high, range(length + 1 - reach - GRAM, 0, -GRAM))):
+        own = left > 0 if side is low else left < windows
+        key = group.astype(np.uint64) + np.uint64(1)
+        hashed = np.flatnonzero(own & (place >= 0))
+        for offset in offsets:
+            key[hashed] = mix(key[hashed]) + grams[place[hashed] + offset]
+        own = np.flatnonzero(own)
+        _, which, count = np.unique(key[own], return_inverse=True, return_counts=True)
+        light = np.bincount(which[weights[own] == 1], minlength=len(count)) > 0
+        needed = own[(light & (count > 1))[which]]
+        side[needed] = 0 if side is low else windows[needed]
+    return low, high
+
+
+def _repeats_of_groups(
+    texts: list[bytes], anchors: np.ndarray, group: np.ndarray, weights: np.ndarray, length: int
+) -> tuple[np.ndarray, ...]:
+    """``piece, first, last``: the runs of windows that occur more than once, by piece."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    low, high = _halves(np.frombuffer(b"".join(texts), dtype=np.uint8), sizes, anchors, group, weights, length)
+    # All windows of a piece that occurs more than once do.
+    heavy = np.flatnonzero(weights > 1)
+    runs = [(heavy, np.zeros(len(heavy), dtype=np.int64), sizes[heavy] - (length - 1))]
+    compared = np.flatnonzero(low < high)
+    if len(compared):
+        bounds = zip(compared.tolist(), low[compared].tolist(), high[compared].tolist(), strict=True)
+        parts = [texts[k][a : b + length - 1] for k, a, b in bounds]
+        piece, first, last = repeated(parts, weights[compared], length)
+        piece = compared[piece]
+        light = weights[piece] == 1
+        runs.append((piece[light], (first + low[piece])[light], (last + low[piece])[light]))
+    piece, first, last = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(piece, kind="stable")
+    return piece[order], first[order], last[order]
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,26 +381,26 @@ def _repeated_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator
         starts = np.concatenate(([0], np.cumsum(once)))[starts]
         anchors, names, weights = anchors[once], names[once], table.column(2).to_numpy()[once]
         texts = table.column(3).take(pa.array(np.flatnonzero(once))).to_pylist()
-        sizes = np.cumsum([0, *map(len, texts)])
+        sizes = np.cumsum([0, *map(len, texts)])[starts]
         at = 0
         while at < len(starts) - 1:
             # As many whole groups as the limit allows, one at least.
-            limit = sizes[starts[at]] + SORT_BYTES
-            upto = int(np.searchsorted(sizes[starts], limit, side="right")) - 1
+            upto = int(np.searchsorted(sizes, sizes[at] + SORT_BYTES, side="right")) - 1
             upto = min(max(upto, at + 1), len(starts) - 1)
             first, last = starts[at], starts[upto]
-            found = [_spans(x) for x in repeated(texts[first:last], weights[first:last], length)]
-            kept = [k for k, (a, _) in enumerate(found) if len(a)]
-            if kept:
-                counts = np.array([len(found[k][0]) for k in kept])
-                ends = [np.concatenate([found[k][side] for k in kept]).astype(np.int32) for side in (0, 1)]
+            group = np.repeat(np.arange(upto - at), np.diff(starts[at : upto + 1]))
+            found, *ends = _repeats_of_groups(
+                texts[first:last], anchors[first:last], group, weights[first:last], length
+            )
+            if len(found):
+                kept, counts = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchors[first:last][kept]),
                         pa.array(names[first:last][kept]),
                         pa.ListArray.from_arrays(
                             pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)),
-                            pa.StructArray.from_arrays([pa.array(x) for x in ends], names=["first", "last"]),
+                            pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in ends], names=["first", "last"]),
                         ),
                     ],
                     names=["anchor", "piece", "runs"],
@@ -426,19 +511,14 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     places = found.join(shared, "anchor")
     distinct = places.groupBy("anchor", "piece").agg(
         F.count(F.lit(1)).alias("weight"), F.min(F.struct(*_NAME, "place")).alias("at")
-    )
-    # ``last`` keeps all columns in use, so that the shuffle of the places is read again.
-    many = (
-        distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
-        .where((F.col("n") > ANCHOR_PIECES) & F.col("last").isNotNull()).select("anchor")
-    )
+    ).withColumn("different", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
     usual = (
-        _contents(texts, distinct.join(many, "anchor", "left_anti"), length)
+        _contents(texts, distinct.where(F.col("different") <= ANCHOR_PIECES), length)
         .repartition("anchor").sortWithinPartitions("anchor", "piece")
         .mapInArrow(lambda b: _repeated_pieces(b, length), _RUNS)
     )
     # A window of a split anchor is dealt by its content and weighs what all its pieces do.
-    split = _contents(texts, distinct.join(many, "anchor", "left_semi"), length).dropDuplicates(["anchor", "piece"])
+    split = _contents(texts, distinct.where(F.col("different") > ANCHOR_PIECES), length).dropDuplicates(["anchor", "piece"])
     at = F.posexplode(F.sequence(F.lit(1), F.octet_length("content") - (length - 1))).alias("first", "byte")
     windows = split.select("anchor", "piece", "weight", "content", at)
     windows = windows.select(

@@ -111,3 +111,71 @@ def test_many_rows_without_id(spark):
     assert texts.select("id", "check").distinct().count() == texts.count()
     got = repeats.without_repeats(spark.createDataFrame(rows[-3:], SCHEMA), length=100).collect()
     assert sorted((r["doc_id"] or -1, r["n_removed"] > 0) for r in got) == [(-1, False), (-1, True), (7, True)]
+
+
+def found_windows(texts, length):
+    """The repeated windows that the comparison of the pieces of ``texts`` finds, and all of them by brute force."""
+    import pyarrow as pa
+
+    weights, bodies, seen = {}, {}, {}
+    for text in texts:
+        data = np.frombuffer(text, dtype=np.uint8)
+        for _, start, count, anchor, piece in zip(*repeats.pieces(data, np.array([0, len(text)]), length), strict=True):
+            name = int(anchor.view(np.int64)), int(piece.view(np.int64))
+            weights[name] = weights.get(name, 0) + 1
+            bodies[name] = text[start : start + count + length - 1]
+        for k in range(len(text) - length + 1):
+            seen[text[k : k + length]] = seen.get(text[k : k + length], 0) + 1
+    names = sorted(bodies)
+    columns = [[a for a, _ in names], [p for _, p in names], [weights[x] for x in names], [bodies[x] for x in names]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "piece", "weight", "content"])
+    got = [r for out in repeats._repeated_pieces(iter([batch] if names else []), length) for r in out.to_pylist()]
+    windows = {
+        bodies[r["anchor"], r["piece"]][k : k + length]
+        for r in got for run in r["runs"] for k in range(run["first"], run["last"])
+    }
+    assert len({(r["anchor"], r["piece"]) for r in got}) == len(got)
+    return windows, {w for w, n in seen.items() if n > 1}
+
+
+@pytest.mark.parametrize("length", [32, 33, 40, 101])
+def test_halves_against_brute_force(length):
+    rng = random.Random(length)
+    for _ in range(60):
+        units = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(5, 2 * length))) for _ in range(6)]
+        texts = [b"".join(rng.choice(units)[rng.randint(0, 9) :] for _ in range(rng.randint(1, 8))) for _ in range(9)]
+        texts.append(b"ab" * length + rng.choice(texts))
+        found, wanted = found_windows(texts, length)
+        assert found == wanted
+
+
+def compared_bytes(monkeypatch, texts, length=200):
+    sizes, whole = [], repeats.repeated
+    monkeypatch.setattr(repeats, "repeated", lambda t, w, n: sizes.append(sum(map(len, t))) or whole(t, w, n))
+    found, wanted = found_windows(texts, length)
+    assert found == wanted
+    return sum(sizes), len(found)
+
+
+def test_only_shared_halves_are_compared(monkeypatch):
+    shared = noise(1, 100, "abcdefgh").encode()
+    alone = [noise(10 + k, 400, "abcdefgh").encode() + shared + noise(50 + k, 400, "abcdefgh").encode() for k in range(9)]
+    # The pieces share an anchor, but no more than half a window with another.
+    assert compared_bytes(monkeypatch, alone) == (0, 0)
+    copies = [noise(99, 3000, "abcdefgh").encode()] * 3
+    assert compared_bytes(monkeypatch, copies) == (0, 2801)
+    tails = [noise(200 + k, 300, "abcdefgh").encode() + noise(300, 300, "abcdefgh").encode() for k in range(2)]
+    size, windows = compared_bytes(monkeypatch, tails)
+    assert windows == 101 and 0 < size < sum(map(len, tails))
+
+
+def test_counting_anchors_hashes_no_contents(monkeypatch):
+    import pyarrow as pa
+
+    text = noise(3, 5000)
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    wanted = sorted(repeats.pieces(data, np.array([0, len(data)]), 200)[3].view(np.int64).tolist())
+    monkeypatch.setattr(repeats, "SpanHasher", None)
+    batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
+    got = [r for out in repeats._anchors(iter([batch]), 200) for r in out.to_pylist()]
+    assert sorted(r["anchor"] for r in got for _ in range(r["n"])) == wanted
